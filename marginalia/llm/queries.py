@@ -11,6 +11,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, judge_quality
+
+    docs = read(spark, sf_dir, "documents")
+    return judge_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -48,6 +55,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_mix_sources": op5_mix_sources,
     "op6_url_rules": op6_url_rules,
