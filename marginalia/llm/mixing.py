@@ -152,3 +152,10 @@ def mix_sources(
     in_part = F.coalesce((F.col("key") < F.col("edge_key")) | (F.struct("key", "tie") <= F.col("inner")), F.lit(False))
     taken = F.col("size") * (F.col("epochs") + F.when(in_part, 1).otherwise(0))
     return unpack(joined, docs.columns, {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("long")})
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it; documents without words are not in it."""
+    taken = mix_sources(pack(docs).select("row", *[F.col(f"row.`{c}`").alias(c) for c in (options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source"))]), **options)
+    copies = taken.where("taken > 0").select("row", F.explode(F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))))
+    return copies.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
