@@ -53,6 +53,13 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    rows = read(spark, sf_dir, "embeddings")
+    return top_k(rows.where("vec_id % 50 = 0"), rows)
+
+
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
     from .tokens import tokenizer_path
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_mix_sources": op5_mix_sources,
     "op6_url_rules": op6_url_rules,
+    "op7_top_k": op7_top_k,
     "op10_pack_documents": op10_pack_documents,
 }
 
@@ -117,4 +125,15 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM urls u LEFT JOIN fits f ON u.n = f.n AND f.k = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mix_sources": OP5_SQL, "op6_url_rules": OP6_SQL}
+OP7_SQL = r"""
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_mix_sources": OP5_SQL, "op6_url_rules": OP6_SQL, "op7_top_k": OP7_SQL}
