@@ -60,6 +60,12 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows.where("vec_id % 50 = 0"), rows)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract_text
+
+    return extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
     from .tokens import tokenizer_path
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_url_rules": op6_url_rules,
     "op7_top_k": op7_top_k,
+    "op9_html_text": op9_html_text,
     "op10_pack_documents": op10_pack_documents,
 }
 
