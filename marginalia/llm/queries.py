@@ -67,6 +67,12 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows.where("vec_id % 50 = 0"), rows)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .htmltext import extract_text
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_url_rules": op6_url_rules,
     "op7_top_k": op7_top_k,
+    "op8_license_scan": op8_license_scan,
     "op9_html_text": op9_html_text,
     "op10_pack_documents": op10_pack_documents,
 }
