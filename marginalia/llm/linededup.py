@@ -81,7 +81,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     last, then text_hash, then line; rows with one id and text are one document.
     """
     windows = docs.select("doc_id", "text_hash", "text").mapInArrow(_windows(min_words), WINDOWS)
-    windows = materialize(windows.dropDuplicates(["doc_id", "text_hash", "start"]), "line-windows")
+    windows = materialize(windows, "line-windows")
     place = F.xxhash64("doc_id", "text_hash", "fp_at")
     shared = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("fp")
     windows = materialize(windows.join(shared, "fp", "left_semi").withColumn("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start")), "line-shared")
@@ -91,7 +91,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
         (F.col("start") - _same_prefix(F.col("before"), F.col("first.before"))).alias("first"),
         (F.col("stop") - 1 + _same_prefix(F.col("after"), F.col("first.after"))).alias("last"),
     )
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_list(run).alias("runs"))
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(run).alias("runs"))  # a set: repeated rows add nothing
 
 
 def _cut(columns: list[str], text_col: str):
@@ -128,6 +128,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__hash"))
     slim = keyed.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
     runs = materialize(repeated_runs(slim, min_words), "line-runs").select(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__with"), F.col("runs").alias("__runs"))
-    joined = keyed.join(runs, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__with")), "left").drop("__id", "__hash", "__of", "__with")
+    # Texts are dealt out by a sort-merge join at every size: the runs grow with the corpus.
+    joined = keyed.join(runs.hint("merge"), F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__with")), "left").drop("__id", "__hash", "__of", "__with")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in columns]).schema), "n_lines long", "n_removed long"])
     return joined.mapInArrow(_cut(columns, text_col), schema)
