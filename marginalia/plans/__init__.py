@@ -1,6 +1,6 @@
 """Registered queries with their SQL counterparts."""
 
-from . import relational, text  # noqa: F401
+from . import layout, relational, text  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
