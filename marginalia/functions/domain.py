@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Aliases and vocabulary of each domain, in order.
@@ -58,14 +60,21 @@ def has_term(norm: Column, term: str) -> Column:
     return norm.rlike(f"(?<![a-z0-9]){escaped}(?![a-z0-9])")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def evidence(text: Column) -> Column:
     """array<struct<domain, place, score, signals>> in the domains' order; score in tenths.
 
     Terms of one alphanumeric run are found by intersecting the text's runs
     with the domain's; only the few others need a search of their own.
     """
-    norm = normalized(text)
-    runs = F.array_distinct(F.split(norm, "[^a-z0-9]+"))
+    return bound(normalized(text), lambda norm: bound(F.array_distinct(F.split(norm, "[^a-z0-9]+")), lambda runs: _evidence(norm, runs)))
+
+
+def _evidence(norm: Column, runs: Column) -> Column:
     out = []
     for place, (name, (aliases, vocabulary)) in enumerate(DOMAINS.items()):
         score, signals = F.lit(0), F.lit(0)
@@ -74,7 +83,7 @@ def evidence(text: Column) -> Column:
             hits = F.size(F.array_intersect(runs, F.array(*[F.lit(t) for t in single])))
             score, signals = score + hits * short_weight, signals + hits
             for term in others:
-                found = F.when(has_term(norm, term), 1).otherwise(0)
+                found = F.when(norm.contains(term), F.when(has_term(norm, term), 1).otherwise(0)).otherwise(0)
                 score, signals = score + found * (long_weight if " " in term else short_weight), signals + found
         out.append(F.struct(F.lit(name).alias("domain"), F.lit(place).alias("place"), score.alias("score"), signals.alias("signals")))
     return F.array(*out)
@@ -102,14 +111,15 @@ def n_tokens(text: Column) -> Column:
 def detected(text: Column) -> Column:
     """struct<domain, confidence>: the best domain, or general with 0 below the minimum."""
     def pick(order: Column) -> Column:
-        best, runner_up = F.get(order, F.lit(0)), F.get(order, F.lit(1))["score"]
-        return F.struct(best["domain"].alias("domain"), confidence(best, runner_up, n_tokens(text)).alias("value"))
-
-    # Bound by transform, the evidence is computed once.
-    once = F.get(F.transform(F.array(ranked(evidence(text))), pick), F.lit(0))
-    sure = lambda x: x["value"] >= MINIMUM
-    out = lambda x: F.struct(F.when(sure(x), x["domain"]).otherwise("general").alias("domain"), F.when(sure(x), x["value"]).otherwise(0.0).alias("confidence"))
-    return F.get(F.transform(F.array(once), out), F.lit(0))
+        best = F.get(order, F.lit(0))
+        value = bound(n_tokens(text), lambda n: confidence(best, F.get(order, F.lit(1))["score"], n))
+        return F.struct(best["domain"].alias("domain"), value.alias("value"))
+
+    def decide(x: Column) -> Column:
+        sure = x["value"] >= MINIMUM
+        return F.struct(F.when(sure, x["domain"]).otherwise("general").alias("domain"), F.when(sure, x["value"]).otherwise(0.0).alias("confidence"))
+
+    return bound(bound(ranked(evidence(text)), pick), decide)
 
 
 def selected_vocabulary(text: Column, domain: str, limit: int = 24) -> Column:

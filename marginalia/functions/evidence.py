@@ -53,30 +53,48 @@ def remember(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own.distinct(), own.groupBy("term").agg(F.count("*").alias("count"))
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys to a fixed number of partitions: few bytes, but much work for each row."""
+    return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def suggest(probes: DataFrame, document_terms: DataFrame, counts: DataFrame, limit: int = 5) -> DataFrame:
-    """(document_id, probe) -> term, score, place: similar terms of the probe's document, weighted by their counts everywhere."""
-    target = F.lower(F.trim("probe"))
-    near = probes.where(F.trim("probe") != "").join(document_terms, "document_id").where(F.col("term") != target)
-    near = near.withColumn("similarity", similarity(target, F.col("term"))).where(F.col("similarity") >= SIMILAR).join(counts, "term")
+    """(document_id, probe) -> term, score, place: similar terms of the probe's document, weighted by their counts everywhere.
+
+    Terms hold no white space, so they are folded by lower() alone, once each;
+    the edit distance stops at its bound.
+    """
+    asked = _spread(probes.where(F.trim("probe") != ""), "document_id").withColumn("target", F.lower(F.trim("probe")))
+    known = _spread(document_terms, "document_id").withColumn("low", F.lower("term"))
+    near = asked.join(known, "document_id").where(F.col("term") != F.col("target"))
+    near = near.withColumn("n", F.greatest(F.length("target"), F.length("low"))).withColumn("most", F.floor((1 - SIMILAR) * F.col("n") + 1e-9).cast("int"))
+    near = near.where(F.abs(F.length("target") - F.length("low")) <= F.col("most")).withColumn("distance", F.expr("levenshtein(target, low, most)")).where("distance >= 0")
+    near = near.withColumn("similarity", 1 - F.col("distance") / F.col("n").cast("double")).where(F.col("similarity") >= SIMILAR).join(counts, "term")
     scored = near.withColumn("score", F.col("similarity") * (1 + F.least(F.col("count"), F.lit(10)) / 20.0))
     order = Window.partitionBy("document_id", "probe").orderBy(F.col("score").desc(), "term")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("document_id", "probe", "term", "score", "place")
 
 
+def letters(text: Column) -> Column:
+    """The characters that occur, folded into 64 bits."""
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.when(c == "", F.lit(0).cast("long")).otherwise(F.expr("1L") * F.pow(F.lit(2.0), F.pmod(F.ascii(c), F.lit(62))).cast("long"))))
+
+
 def fuzzy_join(probes: DataFrame, memory: DataFrame, at_least: float = SIMILAR) -> DataFrame:
     """(probe) x (term) -> probe, term, distance, for pairs at least so similar, without comparing all pairs.
 
     Similar strings have lengths that differ by no more edits than the longer
-    one allows: an equality join on length finds them, and the edit distance
-    stops at its bound. Both sides are deduplicated first.
+    one allows: an equality join on length finds them. One edit changes at most
+    two of the characters that occur, which drops most pairs before the edit
+    distance is measured, and that stops at its bound. Both sides are
+    deduplicated first.
     """
-    most = lambda n: F.floor((1 - at_least) * n + 1e-9).cast("int")
-    left = probes.select("probe").distinct().withColumn("n", F.length("probe")).where("n > 0")
+    most = F.floor((1 - at_least) * F.greatest("n", "m") + 1e-9).cast("int")
+    left = probes.select("probe").distinct().withColumns({"n": F.length("probe"), "a": letters(F.col("probe"))}).where("n > 0")
     # A longer term of length L allows (1 - s) L edits, so L <= n / s.
     lengths = F.sequence(F.ceil(F.col("n") * at_least - 1e-9).cast("int"), F.floor(F.col("n") / at_least + 1e-9).cast("int"))
-    left = left.withColumn("m", F.explode(lengths))
-    right = memory.select("term").distinct().withColumn("m", F.length("term"))
-    longest = F.greatest("n", "m")
-    pairs = left.join(right, "m").where(F.abs(F.col("n") - F.col("m")) <= most(longest))
-    measured = pairs.withColumn("distance", F.levenshtein("probe", "term")).where(F.col("distance") <= most(longest))
-    return measured.select("probe", "term", "distance")
+    left = _spread(left.withColumn("m", F.explode(lengths)), "probe", "m")
+    right = memory.select("term").distinct().withColumns({"m": F.length("term"), "b": letters(F.col("term"))})
+    pairs = left.join(right, "m").withColumn("most", most)
+    pairs = pairs.where((F.abs(F.col("n") - F.col("m")) <= F.col("most")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * F.col("most")))
+    return pairs.withColumn("distance", F.expr("levenshtein(probe, term, most)")).where("distance >= 0").select("probe", "term", "distance")
