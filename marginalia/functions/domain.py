@@ -57,7 +57,7 @@ def split_terms(terms: list[str]) -> tuple[list[str], list[str]]:
 
 def has_term(norm: Column, term: str) -> Column:
     escaped = "".join(c if c.isalnum() or c == " " else "\\" + c for c in term)
-    return norm.rlike(f"(?<![a-z0-9]){escaped}(?![a-z0-9])")
+    return norm.contains(term) & norm.rlike(f"(?<![a-z0-9]){escaped}(?![a-z0-9])")  # the search is cheap, the pattern is not
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -83,7 +83,7 @@ def _evidence(norm: Column, runs: Column) -> Column:
             hits = F.size(F.array_intersect(runs, F.array(*[F.lit(t) for t in single])))
             score, signals = score + hits * short_weight, signals + hits
             for term in others:
-                found = F.when(norm.contains(term), F.when(has_term(norm, term), 1).otherwise(0)).otherwise(0)
+                found = F.when(has_term(norm, term), 1).otherwise(0)
                 score, signals = score + found * (long_weight if " " in term else short_weight), signals + found
         out.append(F.struct(F.lit(name).alias("domain"), F.lit(place).alias("place"), score.alias("score"), signals.alias("signals")))
     return F.array(*out)
@@ -124,8 +124,61 @@ def detected(text: Column) -> Column:
 
 def selected_vocabulary(text: Column, domain: str, limit: int = 24) -> Column:
     """The domain's terms in the text: longer phrases first, then shorter terms, then list order."""
-    norm = normalized(text)
     vocabulary = DOMAINS[domain][1]
     order = sorted(range(len(vocabulary)), key=lambda i: (" " not in plain(vocabulary[i]), len(vocabulary[i]), i))
-    found = F.array(*[F.when(has_term(norm, plain(vocabulary[i])), F.lit(vocabulary[i])) for i in order])
-    return F.slice(F.filter(found, lambda t: t.isNotNull()), 1, limit)
+    found = lambda norm: F.array(*[F.when(has_term(norm, plain(vocabulary[i])), F.lit(vocabulary[i])) for i in order])
+    return F.slice(F.filter(bound(normalized(text), found), lambda t: t.isNotNull()), 1, limit)
+
+
+def hits(text: Column, domain: str, limit: int = 12) -> Column:
+    """The domain's aliases, then terms, that occur, each once, in list order."""
+    aliases, vocabulary = DOMAINS[domain]
+    found = lambda norm: F.array(*[F.when(has_term(norm, plain(t)), F.lit(t)) for t in dict.fromkeys([*aliases, *vocabulary])])
+    return F.slice(F.filter(bound(normalized(text), found), lambda t: t.isNotNull()), 1, limit)
+
+
+def _guidance(text: Column, domain: str) -> Column:
+    """The domain's terms in the text; its first twelve where there are none."""
+    usual = DOMAINS[domain][1][:12]
+    return bound(selected_vocabulary(text, domain), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(*[F.lit(u) for u in usual])))
+
+
+def context(text: Column, forced: Column | None = None) -> Column:
+    """struct<domain, confidence, vocabulary, evidence, alternatives, score_margin, forced> that guides a reading.
+
+    A forced domain counts as certain, an unknown one as general; null, blank
+    and auto force nothing. Weak evidence gives general, with the confidence
+    and at most two alternatives; strong evidence gives the domain's terms in
+    the text, or its first twelve, and what speaks for it.
+    """
+    asked = F.lower(F.trim(F.coalesce(F.lit(None).cast("string") if forced is None else forced, F.lit(""))))
+    is_forced, is_known = ~asked.isin("", "auto"), asked.isin(*DOMAINS)
+    pairs = lambda items: F.transform(items, lambda e: F.struct(e["domain"].alias("domain"), (e["score"] / 10.0).alias("score")))
+
+    def choose(x: Column) -> Column:
+        chosen = F.when(is_forced, F.when(is_known, asked)).when(x["value"] >= MINIMUM, F.get(x["order"], F.lit(0))["domain"])
+        return F.struct(x["order"].alias("order"), x["value"].alias("value"), chosen.alias("domain"))
+
+    def fill(x: Column) -> Column:
+        order, domain = x["order"], x["domain"]
+        others = F.filter(order, lambda e: (e["domain"] != domain) & (e["score"] > 0))
+        own = F.coalesce(F.get(F.filter(order, lambda e: e["domain"] == domain), F.lit(0))["score"], F.lit(0))
+        terms, evidence_, none = F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), F.array().cast("array<string>")
+        for name in DOMAINS:
+            terms = F.when(domain == name, _guidance(text, name)).otherwise(terms)
+            evidence_ = F.when(domain == name, hits(text, name)).otherwise(evidence_)
+        weak = F.slice(F.filter(order, lambda e: e["score"] > 0), 1, 2)
+        return F.struct(
+            F.coalesce(domain, F.lit("general")).alias("domain"),
+            F.when(is_forced, F.when(is_known, 1.0).otherwise(0.0)).otherwise(x["value"]).alias("confidence"),
+            F.coalesce(terms, none).alias("vocabulary"), F.coalesce(evidence_, none).alias("evidence"),
+            pairs(F.when(domain.isNotNull(), F.slice(others, 1, 2)).when(is_forced, F.slice(order, 1, 0)).otherwise(weak)).alias("alternatives"),
+            F.when(domain.isNotNull(), own / 10.0 - F.coalesce(F.get(F.filter(order, lambda e: e["domain"] != domain), F.lit(0))["score"], F.lit(0)) / 10.0).alias("score_margin"),
+            (is_forced & is_known).alias("forced"),
+        )
+
+    def weigh(order: Column) -> Column:
+        value = bound(n_tokens(text), lambda n: confidence(F.get(order, F.lit(0)), F.get(order, F.lit(1))["score"], n))
+        return F.struct(order.alias("order"), value.alias("value"))
+
+    return bound(bound(bound(ranked(evidence(text)), weigh), choose), fill)

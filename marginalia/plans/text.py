@@ -159,6 +159,13 @@ def domain_alternatives(s, d):
     return rows.select("id", "e.domain", (F.col("p") + 1).alias("k"), (F.col("e.score") / 10.0).alias("score"))
 
 
+@query("dom7_build_context", "WITH " + DOMAIN_SQL + """ SELECT id, CASE WHEN confidence >= 0.62::DOUBLE THEN domain ELSE 'general' END AS domain, confidence,
+CAST(floor(CASE WHEN confidence >= 0.62::DOUBLE THEN score / 10.0::DOUBLE - next_ / 10.0::DOUBLE END * 10 + 0.5::DOUBLE) AS BIGINT) AS margin_tenths, confidence >= 0.62::DOUBLE AS has_vocabulary FROM sure""")
+def build_context(s, d):
+    c = domain_texts(s, d).select("id", D.context(F.col("text")).alias("c"))
+    return c.select("id", "c.domain", "c.confidence", F.floor(F.col("c.score_margin") * 10 + 0.5).alias("margin_tenths"), (F.size("c.vocabulary") > 0).alias("has_vocabulary"))
+
+
 @query("dom8_prompt", "WITH " + DOMAIN_SQL + """ SELECT id, 'Domain: ' || CASE WHEN confidence >= 0.62::DOUBLE THEN domain ELSE 'general' END || ' (' || CAST(CAST(floor(CASE WHEN confidence >= 0.62::DOUBLE THEN confidence ELSE 0.0::DOUBLE END * 100 + 0.5::DOUBLE) AS INTEGER) AS VARCHAR) || ' %)' AS prompt FROM sure""")
 def prompt(s, d):
     f = domain_texts(s, d).select("id", D.detected(F.col("text")).alias("f"))

@@ -41,6 +41,17 @@ def test_domains(spark):
     assert one(spark, D.has_term(D.normalized(F.lit("5mg")), "mg")) is False and one(spark, D.has_term(D.normalized(F.lit("2 mg/ml")), "mg")) is True
 
 
+def test_context(spark):
+    c = lambda text, forced=None: one(spark, D.context(F.lit(text), F.lit(forced).cast("string")))
+    free = c("Patient prescribed metformin 500 mg for diabetes")
+    assert free.domain == "medical" and "patient" in free.evidence and not free.forced and free.vocabulary[0] in ("mg", "patient")
+    weak = c("question about the result")
+    assert (weak.domain, weak.vocabulary, weak.evidence) == ("general", [], []) and [a.domain for a in weak.alternatives] == ["science", "education"]
+    forced = c("take this", " Medical ")
+    assert (forced.domain, forced.confidence, forced.forced, len(forced.vocabulary)) == ("medical", 1.0, True, 12)
+    assert c("patient", "poetry").domain == "general" and c("", "auto").confidence == 0.0
+
+
 def test_gate(spark):
     accept = one(spark, E.gate(F.lit("tomorow"), F.array(*map(F.lit, ("tomorrow", "tomorow", "tomorrov"))), F.lit(0.9), F.lit(1.0)))
     assert (accept.decision, accept.accepted, accept.risk) == ("ACCEPT", "tomorow", 0.2)
