@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .dom import Block, leaf_blocks
+from .workers import map_arrow
 
 #: Marks main text in training pages; a private-use character.
 _MARK = ""
@@ -272,4 +273,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", model: Crf | None = N
     carried = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     rows = pages.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{html_col}`").alias("__html"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__html"), "text string, n_chars long"])
-    return rows.mapInArrow(_extract(model or trained(), "__html"), schema)
+    return map_arrow(rows, _extract(model or trained(), "__html"), schema)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .tokens import chunks, column_bytes
+from .workers import map_arrow
 
 BITS = 18
 #: Share of a template's bigrams that a confirmed paragraph holds, and calibrated probability that a notice needs.
@@ -283,4 +284,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gives an empty result; other columns take no part.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(_scan(model or trained()), "doc_id long, line int, family string, probability double, similarity double, paragraph string")
+    return map_arrow(rows, _scan(model or trained()), "doc_id long, line int, family string, probability double, similarity double, paragraph string")

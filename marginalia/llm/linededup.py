@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import materialize
+from .store import materialize, rows_per_batch
 from .tokens import column_bytes
+from .workers import TEXTS_PER_BATCH, map_arrow
 
 WINDOWS = "doc_id long, text_hash long, start int, stop int, fp long, fp_at int, k1 long, k2 long, before array<long>, after array<long>"
 
@@ -80,8 +81,9 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     ``docs`` has doc_id, text_hash, text. Positions are ordered by doc_id, null
     last, then text_hash, then line; rows with one id and text are one document.
     """
-    windows = docs.select("doc_id", "text_hash", "text").mapInArrow(_windows(min_words), WINDOWS)
-    windows = materialize(windows, "line-windows")
+    windows = map_arrow(docs.select("doc_id", "text_hash", "text"), _windows(min_words), WINDOWS)
+    with rows_per_batch(docs.sparkSession, TEXTS_PER_BATCH):
+        windows = materialize(windows, "line-windows")
     place = F.xxhash64("doc_id", "text_hash", "fp_at")
     shared = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("fp")
     windows = materialize(windows.join(shared, "fp", "left_semi").withColumn("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start")), "line-shared")
@@ -131,4 +133,4 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     # Texts are dealt out by a sort-merge join at every size: the runs grow with the corpus.
     joined = keyed.join(runs.hint("merge"), F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__with")), "left").drop("__id", "__hash", "__of", "__with")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in columns]).schema), "n_lines long", "n_removed long"])
-    return joined.mapInArrow(_cut(columns, text_col), schema)
+    return map_arrow(joined, _cut(columns, text_col), schema)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .graph import components
 from .store import materialize, rows_per_batch
 from .tokens import chunks, column_bytes
+from .workers import TEXTS_PER_BATCH, map_arrow
 
 BANDS, ROWS = 36, 5
 SKETCH_BITS = 512
@@ -230,8 +231,9 @@ def near_duplicates(
     empty table gives an empty result; other columns take no part.
     """
     skinny = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    signed = skinny.mapInArrow(_signatures(words, bands, rows, bits), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary")
-    signed = materialize(signed, "near-signatures")
+    signed = map_arrow(skinny, _signatures(words, bands, rows, bits), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary")
+    with rows_per_batch(docs.sparkSession, TEXTS_PER_BATCH):
+        signed = materialize(signed, "near-signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     # Equal sets: one node, named by its smallest id.
     same = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.count("*").alias("rows"))
@@ -251,7 +253,7 @@ def near_duplicates(
     groups = _block_pairs(members, "node", "blocks").groupBy("key", "low", "high").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
     most = sketch_distance(percent / 100, bands * rows, bits)
     with rows_per_batch(docs.sparkSession, GROUPS_PER_BATCH):
-        close = materialize(groups.select("members").mapInArrow(_close_pairs(most), "u long, v long"), "near-close")
+        close = materialize(map_arrow(groups.select("members"), _close_pairs(most), "u long, v long"), "near-close")
 
     # Families of close nodes; full sets are compared inside them.
     family = materialize(components(close), "near-families")
@@ -261,7 +263,7 @@ def near_duplicates(
     dealt = _block_pairs(texts.join(blocks, "root"), "node", "blocks")
     groups = dealt.groupBy("root", "low", "high").agg(F.collect_list(F.struct("node", "text")).alias("members"))
     with rows_per_batch(docs.sparkSession, GROUPS_PER_BATCH):
-        links = materialize(groups.select("members").mapInArrow(_linked(words, percent), "u long, v long"), "near-links")
+        links = materialize(map_arrow(groups.select("members"), _linked(words, percent), "u long, v long"), "near-links")
     found = components(links.union(copies))
     out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("root", "doc_id")

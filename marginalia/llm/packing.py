@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import materialize
+from .store import materialize, rows_per_batch
 from .tokens import END, WordEncoder, chunks, column_bytes
+from .workers import TEXTS_PER_BATCH, map_arrow
 
 #: Length classes of a sequence, and most documents in a pattern.
 CLASSES, PARTS = 64, 4
@@ -238,8 +239,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: in
     if not 1 <= size < 1 << 22:
         raise ValueError("size must be from 1 to 4194303")
     skinny = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    pieces = skinny.mapInArrow(_pieces(tokenizer, size, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long")
-    pieces = materialize(pieces, "pack-pieces")
+    pieces = map_arrow(skinny, _pieces(tokenizer, size, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long")
+    with rows_per_batch(docs.sparkSession, TEXTS_PER_BATCH):
+        pieces = materialize(pieces, "pack-pieces")
     counts = materialize(pieces.groupBy("chunk", "length").agg(F.count("*").alias("n")), "pack-counts")
     histogram = np.zeros(size + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # at most ``size`` rows
@@ -248,4 +250,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: in
     first = counts.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked = pieces.join(first, ["chunk", "length"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(_placed(*Plan(histogram).arrays(), names), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(ranked, _placed(*Plan(histogram).arrays(), names), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

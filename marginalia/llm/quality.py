@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .tokens import chunks, column_bytes
+from .workers import map_arrow
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -199,7 +200,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     chosen = spark.createDataFrame(chosen.toPandas(), "of long, label int")  # bounded: at most max_labelled rows
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("doc_id", "label", "text")
-    rows = joined.mapInArrow(_featurize, "doc_id long, label int, features array<double>")
+    rows = map_arrow(joined, _featurize, "doc_id long, label int, features array<double>")
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_labelled).toPandas()
     x = np.stack(sample["features"].to_list()) if len(sample) else np.zeros((0, len(FEATURES)))
     return BoostedTrees(list(FEATURES.values())).fit(x, sample["label"].to_numpy(float))
@@ -236,10 +237,10 @@ def judge_quality(docs: DataFrame, model: BoostedTrees, carry: tuple[str, ...] =
     """
     rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), ADDED])
-    return rows.mapInArrow(_judge(model, threshold, list(carry), False), schema)
+    return map_arrow(rows, _judge(model, threshold, list(carry), False), schema)
 
 
 def keep_quality(docs: DataFrame, model: BoostedTrees, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     rows = docs.withColumn("__text", F.col(f"`{text_col}`"))
-    return rows.mapInArrow(_judge(model, threshold, docs.columns, True), docs.schema)
+    return map_arrow(rows, _judge(model, threshold, docs.columns, True), docs.schema)

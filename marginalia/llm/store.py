@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's folder for checkpoints; a fresh local one where none is set (single-machine tests)."""
     found = spark.conf.get(KEY, None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{KEY} must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="marginalia-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set(KEY, found)

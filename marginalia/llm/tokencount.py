@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .tokens import WordEncoder, chunks, column_bytes
+from .workers import map_arrow
 
 RULES = ("first", "middle", "last")
 SECTIONS = "array<struct<section:string,start:bigint,stop:bigint>>"
@@ -100,7 +101,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, sections: Column | None = None
     text = F.col(f"`{text_col}`")
     spans = (edge_sections(text) if sections is None else sections).cast(SECTIONS)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), spans.alias("sections"))
-    return rows.mapInArrow(_attribute(tokenizer, rule), "doc_id long, section string, start long, stop long, n_tokens long, n_crossing long")
+    return map_arrow(rows, _attribute(tokenizer, rule), "doc_id long, section string, start long, stop long, n_tokens long, n_crossing long")
 
 
 def with_sections(docs: DataFrame, frame: DataFrame, id_col: str = "doc_id") -> DataFrame:
