@@ -259,8 +259,10 @@ def near_duplicates(
     family = materialize(components(close), "near-families")
     sized = family.join(nodes.select("node", "n_shingles"), "node")
     blocks = sized.groupBy("root").agg(F.ceil(F.greatest(F.sum("n_shingles") / F.lit(FAMILY_BLOCK), F.count("*") / F.lit(FAMILY_NODES))).alias("blocks"))
-    texts = skinny.join(family, skinny["doc_id"] == family["node"]).select("node", "root", "text")
-    dealt = _block_pairs(texts.join(blocks, "root"), "node", "blocks")
+    # The number of blocks is joined without the texts: these are never gathered by family, only by pairs of blocks.
+    placed = materialize(family.join(blocks, "root"), "near-blocks")
+    texts = skinny.join(placed, skinny["doc_id"] == placed["node"]).select("node", "root", "blocks", "text")
+    dealt = _block_pairs(texts, "node", "blocks")
     groups = dealt.groupBy("root", "low", "high").agg(F.collect_list(F.struct("node", "text")).alias("members"))
     with rows_per_batch(docs.sparkSession, GROUPS_PER_BATCH):
         links = materialize(map_arrow(groups.select("members"), _linked(words, percent), "u long, v long"), "near-links")
