@@ -168,16 +168,22 @@ def diverse(s, d):
 @query("win3_bigram_jaccard", """WITH w AS (SELECT id, lower(trim(substr(text, 1, 30))) AS a, lower(trim(substr(lead(text) OVER (PARTITION BY document_id ORDER BY n), 1, 30))) AS b FROM v_result),
 g AS (SELECT id, CASE WHEN length(a) < 2 THEN list_value(a) ELSE list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) END AS x, CASE WHEN length(b) < 2 THEN list_value(b) ELSE list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) END AS y FROM w WHERE b IS NOT NULL)
 SELECT id, len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE AS jaccard FROM g""")
-def jaccard(s, d):
+def jaccard(s, d, cut=lambda text: F.substring(text, 1, 30)):
     from pyspark.sql import Window
 
-    b = F.substring(F.lead("text").over(Window.partitionBy("document_id").orderBy("n")), 1, 30)
+    b = cut(F.lead("text").over(Window.partitionBy("document_id").orderBy("n")))
     rows = V.results(s, d).withColumn("b", b).where("b is not null")
-    return rows.select("id", T.jaccard(T.bigrams(F.substring("text", 1, 30)), T.bigrams(F.col("b"))).alias("jaccard"))
+    return rows.select("id", T.jaccard(T.bigrams(cut(F.col("text"))), T.bigrams(F.col("b"))).alias("jaccard"))
+
+
+# Over whole lines: the SQL above cuts them, so this has none.
+@query("win3_bigram_jaccard_whole")
+def whole_jaccard(s, d):
+    return jaccard(s, d, cut=lambda text: text)
 
 
 @query("nam1_nam2_trn1_masked_translation")
 def masked_translation(s, d):
-    told = F.concat(F.lit("Our company is called "), F.get(F.split("text", " "), F.lit(0)), F.lit(", and "), F.substring("text", 1, 30))
+    told = F.concat(F.lit("Our company is called "), F.get(F.split("text", " "), F.lit(0)), F.lit(", and "), "text")
     language = F.when(F.col("n") % 4 == 0, "en").when(F.col("n") % 4 == 1, "mixed").otherwise("ta")
     return N.translate(V.results(s, d).select("id", told.alias("text"), language.alias("source")), lambda text, _source, _target: text.lower())

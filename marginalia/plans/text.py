@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import domain as D, evidence as E, script as S, text as T
@@ -22,15 +24,23 @@ weighed AS (SELECT *, CASE script WHEN 'Latin' THEN 'en' WHEN 'Tamil' THEN 'ta'
 by_language AS (SELECT id, language, any_value(script) AS script, sum(score) AS score, sum(length(span)) AS chars, min(place) AS place FROM weighed GROUP BY 1, 2)"""
 
 
+def script_lead():
+    n = F.col("n")
+    return F.when(n % 6 == 0, "நாளைக்கு ").when(n % 6 == 1, "कल बैठक ").when(n % 6 == 2, "10AM 42 ").when(n % 6 == 3, "বাংলা 7 ").when(n % 6 == 4, "123 ").otherwise("")
+
+
 def script_texts(s, d):
     n, doc = F.col("n"), F.col("document_id")
-    lead = F.when(n % 6 == 0, "நாளைக்கு ").when(n % 6 == 1, "कल बैठक ").when(n % 6 == 2, "10AM 42 ").when(n % 6 == 3, "বাংলা 7 ").when(n % 6 == 4, "123 ").otherwise("")
-    return V.results(s, d).select("id", F.concat(lead, F.when((n % 6 == 4) & (doc % 2 == 0), "").otherwise(F.substring("text", 1, 40))).alias("text"))
+    return V.results(s, d).select("id", F.concat(script_lead(), F.when((n % 6 == 4) & (doc % 2 == 0), "").otherwise(F.substring("text", 1, 40))).alias("text"))
+
+
+def whole_script_texts(s, d):
+    return V.results(s, d).select("id", F.concat(script_lead(), "text").alias("text"))
 
 
 @query("lng1_lng2_spans", f"WITH {SPANS_SQL} SELECT id, place, span, script FROM spans")
-def spans(s, d):
-    return S.text_spans(script_texts(s, d)).select("id", "place", "span", "script")
+def spans(s, d, texts=script_texts):
+    return S.text_spans(texts(s, d)).select("id", "place", "span", "script")
 
 
 @query("lng3_detect_language", f"""WITH {SPANS_SQL},
@@ -39,14 +49,14 @@ SELECT id, CASE WHEN real_ > 1 THEN 'mixed' ELSE best END AS language,
   CASE WHEN real_ > 1 THEN 'Mixed' ELSE CASE best WHEN 'en' THEN 'English' WHEN 'ta' THEN 'Tamil' WHEN 'hi' THEN 'Hindi' WHEN 'bn' THEN 'Bengali' ELSE 'Number' END END AS language_name,
   CASE WHEN real_ > 1 OR scripts > 1 THEN 'Mixed' ELSE first_script END AS script,
   floor(CASE WHEN real_ > 1 THEN top / (total * 100.0::DOUBLE) ELSE least(0.99::DOUBLE, top / (total * 100.0::DOUBLE)) END * 10000 + 0.5::DOUBLE) / 10000.0::DOUBLE AS confidence FROM one""")
-def languages(s, d):
-    return S.detect_language(script_texts(s, d))
+def languages(s, d, texts=script_texts):
+    return S.detect_language(texts(s, d))
 
 
 @query("lng4_alternatives", f"""WITH {SPANS_SQL}, whole AS (SELECT id, sum(score) AS total, arg_max(language, (score, -place)) AS best FROM by_language GROUP BY 1)
 SELECT b.id, b.language, floor(b.score::DOUBLE / w.total::DOUBLE * 10000 + 0.5::DOUBLE) / 10000.0::DOUBLE AS share FROM by_language b JOIN whole w ON b.id = w.id WHERE b.language <> w.best""")
-def alternatives(s, d):
-    return S.alternatives(script_texts(s, d))
+def alternatives(s, d, texts=script_texts):
+    return S.alternatives(texts(s, d))
 
 
 @query("lng5_blank_annotation", "SELECT n_nationkey AS id, 'unknown' AS language, 'Unknown' AS language_name, 'Unknown' AS script, 0.0::DOUBLE AS confidence FROM nation")
@@ -61,21 +71,29 @@ def registry(s, d):
 
 
 @query("lng8_result_json", f"WITH {SPANS_SQL} SELECT id, count(*) AS n_spans, min(span) AS least_span FROM spans GROUP BY 1")
-def result_json(s, d):
-    packed = S.text_spans(script_texts(s, d)).groupBy("id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("place", "span", "script")))).alias("json"))
+def result_json(s, d, texts=script_texts):
+    packed = S.text_spans(texts(s, d)).groupBy("id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("place", "span", "script")))).alias("json"))
     read = F.from_json("json", "array<struct<place:int,span:string,script:string>>")
     return packed.select("id", F.size(read).cast("long").alias("n_spans"), F.array_min(F.transform(read, lambda x: x["span"])).alias("least_span"))
 
 
 @query("prj2_translate_eligible", f"""WITH {SPANS_SQL}, one AS (SELECT id, count(*) FILTER (language <> 'numeric') AS real_, arg_max(language, (score, -place)) AS best FROM by_language GROUP BY 1)
 SELECT id, real_ <= 1 AND best NOT IN ('en', 'numeric') AS eligible FROM one""")
-def translate_eligible(s, d):
-    return S.detect_language(script_texts(s, d)).select("id", (~F.col("language").isin("en", "unknown", "mixed", "numeric")).alias("eligible"))
+def translate_eligible(s, d, texts=script_texts):
+    return S.detect_language(texts(s, d)).select("id", (~F.col("language").isin("en", "unknown", "mixed", "numeric")).alias("eligible"))
 
 
 @query("agg13_script_chars", f"WITH {SPANS_SQL} SELECT script, sum(length(span)) AS chars FROM spans GROUP BY 1")
-def script_chars(s, d):
-    return S.text_spans(script_texts(s, d)).groupBy("script").agg(F.sum(F.length("span")).alias("chars"))
+def script_chars(s, d, texts=script_texts):
+    return S.text_spans(texts(s, d)).groupBy("script").agg(F.sum(F.length("span")).alias("chars"))
+
+
+# Over whole lines: the SQL above cuts them, so these have none.
+for _name, _f in (
+    ("lng1_lng2_spans", spans), ("lng3_detect_language", languages), ("lng4_alternatives", alternatives), ("lng8_result_json", result_json),
+    ("prj2_translate_eligible", translate_eligible), ("agg13_script_chars", script_chars),
+):
+    query(f"{_name}_whole")(partial(_f, texts=whole_script_texts))
 
 
 # Subject terms, dealt to the lines, so that every domain occurs with one to four signals.
