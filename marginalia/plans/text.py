@@ -131,33 +131,37 @@ capped AS (SELECT *, CASE WHEN signals = 1 AND score < 24 THEN least(v0, 0.35::D
 sure AS (SELECT *, floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN score <= 0 THEN 0.0::DOUBLE WHEN signals = 1 AND tokens <= 3 THEN least(v1, 0.60::DOUBLE) ELSE v1 END)) * 10000 + 0.5::DOUBLE) / 10000.0::DOUBLE AS confidence FROM capped)"""
 
 
-def domain_texts(s, d):
+def domain_texts(s, d, cut=lambda text: F.substring(text, 1, 20)):
     word = lambda e: F.element_at(F.array(*[F.lit(w) for w in WORDS]), (e % len(WORDS)).cast("int") + 1)
     n, doc = F.col("n"), F.col("document_id")
     tail = F.when(n % 3 == 0, F.concat(F.lit("; "), word(doc + n + 1))).otherwise("")
-    return V.results(s, d).select("id", F.concat(word(doc + n), F.lit(", "), F.substring("text", 1, 20), F.lit(" "), word(n * 3 + 1), tail).alias("text"))
+    return V.results(s, d).select("id", F.concat(word(doc + n), F.lit(", "), cut(F.col("text")), F.lit(" "), word(n * 3 + 1), tail).alias("text"))
+
+
+def whole_domain_texts(s, d):
+    return domain_texts(s, d, cut=lambda text: text)
 
 
 @query("dom1_normalised", "WITH " + DOMAIN_SQL + " SELECT id, norm FROM runs")
-def normalised(s, d):
-    return domain_texts(s, d).select("id", D.normalized(F.col("text")).alias("norm"))
+def normalised(s, d, texts=domain_texts):
+    return texts(s, d).select("id", D.normalized(F.col("text")).alias("norm"))
 
 
 @query("dom2_whole_terms", "WITH " + DOMAIN_SQL + " SELECT id, regexp_matches(norm, '(^|[^a-z0-9])mg($|[^a-z0-9])') AS has_mg, regexp_matches(norm, '(^|[^a-z0-9])cash flow($|[^a-z0-9])') AS has_cash_flow FROM runs")
-def whole_terms(s, d):
+def whole_terms(s, d, texts=domain_texts):
     norm = D.normalized(F.col("text"))
-    return domain_texts(s, d).select("id", D.has_term(norm, "mg").alias("has_mg"), D.has_term(norm, "cash flow").alias("has_cash_flow"))
+    return texts(s, d).select("id", D.has_term(norm, "mg").alias("has_mg"), D.has_term(norm, "cash flow").alias("has_cash_flow"))
 
 
 @query("dom3_evidence", "WITH " + DOMAIN_SQL + " SELECT id, domain, CAST(score AS INTEGER) AS score, CAST(signals AS INTEGER) AS signals FROM evidence WHERE score > 0")
-def domain_evidence(s, d):
-    rows = domain_texts(s, d).select("id", F.explode(D.evidence(F.col("text"))).alias("e"))
+def domain_evidence(s, d, texts=domain_texts):
+    rows = texts(s, d).select("id", F.explode(D.evidence(F.col("text"))).alias("e"))
     return rows.where("e.score > 0").select("id", "e.domain", "e.score", "e.signals")
 
 
 @query("dom4_dom5_detect_domain", "WITH " + DOMAIN_SQL + " SELECT id, CASE WHEN confidence >= 0.62::DOUBLE THEN domain ELSE 'general' END AS domain, CASE WHEN confidence >= 0.62::DOUBLE THEN confidence ELSE 0.0::DOUBLE END AS confidence FROM sure")
-def detect_domain(s, d):
-    return domain_texts(s, d).select("id", D.detected(F.col("text")).alias("f")).select("id", "f.*")
+def detect_domain(s, d, texts=domain_texts):
+    return texts(s, d).select("id", D.detected(F.col("text")).alias("f")).select("id", "f.*")
 
 
 MEDICAL = sorted(D.DOMAINS["medical"][1], key=lambda t: (" " not in t, len(t)))
@@ -165,31 +169,39 @@ MEDICAL = sorted(D.DOMAINS["medical"][1], key=lambda t: (" " not in t, len(t)))
 
 @query("dom6_vocabulary", "WITH " + DOMAIN_SQL + f""", terms AS (SELECT unnest(list_value({', '.join(f"'{t}'" for t in MEDICAL)})) AS term, unnest(range({len(MEDICAL)})) AS place)
 SELECT id, string_agg(term, '|' ORDER BY place) AS vocabulary FROM runs JOIN terms ON regexp_matches(norm, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY 1""")
-def vocabulary(s, d):
-    rows = domain_texts(s, d).select("id", F.array_join(D.selected_vocabulary(F.col("text"), "medical"), "|").alias("vocabulary"))
+def vocabulary(s, d, texts=domain_texts):
+    rows = texts(s, d).select("id", F.array_join(D.selected_vocabulary(F.col("text"), "medical"), "|").alias("vocabulary"))
     return rows.where("vocabulary <> ''")
 
 
 @query("dom7_alternatives", "WITH " + DOMAIN_SQL + " SELECT id, domain, CAST(k AS INTEGER) AS k, score / 10.0::DOUBLE AS score FROM ranked WHERE k <= 2 AND score > 0")
-def domain_alternatives(s, d):
+def domain_alternatives(s, d, texts=domain_texts):
     order = F.slice(D.ranked(D.evidence(F.col("text"))), 1, 2)
-    rows = domain_texts(s, d).select("id", F.posexplode(order).alias("p", "e")).where("e.score > 0")
+    rows = texts(s, d).select("id", F.posexplode(order).alias("p", "e")).where("e.score > 0")
     return rows.select("id", "e.domain", (F.col("p") + 1).alias("k"), (F.col("e.score") / 10.0).alias("score"))
 
 
 @query("dom7_build_context", "WITH " + DOMAIN_SQL + """ SELECT id, CASE WHEN confidence >= 0.62::DOUBLE THEN domain ELSE 'general' END AS domain, confidence,
 CAST(floor(CASE WHEN confidence >= 0.62::DOUBLE THEN score / 10.0::DOUBLE - next_ / 10.0::DOUBLE END * 10 + 0.5::DOUBLE) AS BIGINT) AS margin_tenths, confidence >= 0.62::DOUBLE AS has_vocabulary FROM sure""")
-def build_context(s, d):
-    c = domain_texts(s, d).select("id", D.context(F.col("text")).alias("c"))
+def build_context(s, d, texts=domain_texts):
+    c = texts(s, d).select("id", D.context(F.col("text")).alias("c"))
     return c.select("id", "c.domain", "c.confidence", F.floor(F.col("c.score_margin") * 10 + 0.5).alias("margin_tenths"), (F.size("c.vocabulary") > 0).alias("has_vocabulary"))
 
 
 @query("dom8_prompt", "WITH " + DOMAIN_SQL + """ SELECT id, 'Domain: ' || CASE WHEN confidence >= 0.62::DOUBLE THEN domain ELSE 'general' END || ' (' || CAST(CAST(floor(CASE WHEN confidence >= 0.62::DOUBLE THEN confidence ELSE 0.0::DOUBLE END * 100 + 0.5::DOUBLE) AS INTEGER) AS VARCHAR) || ' %)' AS prompt FROM sure""")
-def prompt(s, d):
-    f = domain_texts(s, d).select("id", D.detected(F.col("text")).alias("f"))
+def prompt(s, d, texts=domain_texts):
+    f = texts(s, d).select("id", D.detected(F.col("text")).alias("f"))
     return f.select("id", F.format_string("Domain: %s (%s %%)", F.col("f.domain"), F.floor(F.col("f.confidence") * 100 + 0.5).cast("string")).alias("prompt"))
 
 
+# Over whole lines: the SQL above cuts them, so these have none.
+for _name, _f in (
+    ("dom1_normalised", normalised), ("dom2_whole_terms", whole_terms), ("dom3_evidence", domain_evidence), ("dom4_dom5_detect_domain", detect_domain),
+    ("dom6_vocabulary", vocabulary), ("dom7_alternatives", domain_alternatives), ("dom7_build_context", build_context), ("dom8_prompt", prompt),
+):
+    query(f"{_name}_whole")(partial(_f, texts=whole_domain_texts))
+
+
 @query("dom9_profile_lookup", """SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'legal' WHEN 1 THEN 'finance' END AS profile FROM nation""")
 def profile_lookup(s, d):
     asked = F.when(F.col("n_nationkey") % 3 == 0, " Legal ").when(F.col("n_nationkey") % 3 == 1, "FINANCE").otherwise("poetry")

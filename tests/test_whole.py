@@ -1,14 +1,19 @@
 """Queries over whole lines against brute force, on lines with their matter far behind the start."""
 
+import math
+import re
 import unicodedata
 
 import pytest
 
 from marginalia import plans
+from marginalia.functions import domain as D
+from marginalia.plans.text import WORDS
 
 FAR = "plain words that fill the line up to far behind its start, "
 #: Lines of document 2, by number; document 3 holds them in reverse.
 LINES = [FAR + "கூட்டம் today", FAR + "कल बैठक है", "Ärger " + FAR + "বাংলা 7", FAR + "Привет ok.", FAR + "10AM", FAR + "Acme Widgets Inc. came", "42", FAR + "10AM"]
+LINES += [FAR + "the patient's heart rate, 500 mg", FAR + "court and p&l", FAR + "Größe der follow-up lecture", "tax"]
 
 
 @pytest.fixture(scope="module")
@@ -79,5 +84,38 @@ def test_bigrams_and_names_of_whole_lines(spark, sf):
     assert {r.id: r.jaccard for r in plans.QUERIES["win3_bigram_jaccard_whole"](spark, sf).collect()} == pytest.approx(expected)
     got = {r.id: r for r in plans.QUERIES["nam1_nam2_trn1_masked_translation"](spark, sf).collect()}
     assert all(r.text.endswith(t) for (i, _, _, t) in numbered() for r in [got[i]])
-    # Line 2 of document 3 is in a language to translate, and its name stands behind character 30.
-    assert got[3002].status == "translated" and "Acme Widgets" in got[3002].translated
+    # Line 6 of document 3 is in a language to translate, and its name stands behind character 30.
+    assert got[3006].status == "translated" and "Acme Widgets" in got[3006].translated
+
+
+def domain_of(text):
+    """(norm, [(-score, place, domain, signals)] by rank, confidence, medical terms) by a search for each term."""
+    norm = re.sub("[^a-z0-9%+./-]+", " ", text.lower()).strip()
+    held = lambda t: re.search(f"(?<![a-z0-9]){re.escape(D.plain(t))}(?![a-z0-9])", norm) is not None
+    order = []
+    for place, (name, (aliases, terms)) in enumerate(D.DOMAINS.items()):
+        found = [(t, a, b) for own, a, b in ((aliases, 24, 30), (terms, 10, 18)) for t in own if held(t)]
+        order.append((-sum(b if " " in D.plain(t) else a for t, a, b in found), place, name, len(found)))
+    order.sort()
+    score, signals, after = -order[0][0] / 10, order[0][3], -order[1][0] / 10
+    sure = 0.55 * min(1, score / 5) + 0.25 * min(1, signals / 3) + 0.2 * max(0, min(1, (score - after) / max(score, 1)))
+    sure = min(sure, 0.35) if signals == 1 and score < 2.4 else sure
+    sure = min(sure, 0.6) if signals == 1 and len(norm.split()) <= 3 else sure
+    medical = D.DOMAINS["medical"][1]
+    return norm, order, math.floor(sure * 10000 + 0.5) / 10000 if signals else 0.0, [t for t in sorted(medical, key=lambda t: (" " not in t, len(t))) if held(t)], held
+
+
+def test_domains_of_whole_lines(spark, sf):
+    rows = lambda name: plans.QUERIES[name](spark, sf).collect()
+    word = lambda k: WORDS[k % len(WORDS)]
+    found = {i: domain_of(f"{word(d + n)}, {t} {word(n * 3 + 1)}" + (f"; {word(d + n + 1)}" if n % 3 == 0 else "")) for i, d, n, t in numbered()}
+    assert {r.id: r.norm for r in rows("dom1_normalised_whole")} == {i: x[0] for i, x in found.items()}
+    assert {r.id: (r.has_mg, r.has_cash_flow) for r in rows("dom2_whole_terms_whole")} == {i: (x[4]("mg"), x[4]("cash flow")) for i, x in found.items()}
+    assert {(r.id, r.domain, r.score, r.signals) for r in rows("dom3_evidence_whole")} == {(i, e[2], -e[0], e[3]) for i, x in found.items() for e in x[1] if e[0]}
+    chosen = {i: (x[1][0][2], x[2]) if x[2] >= 0.62 else ("general", 0.0) for i, x in found.items()}
+    assert {r.id: (r.domain, r.confidence) for r in rows("dom4_dom5_detect_domain_whole")} == chosen and len({c for c, _ in chosen.values()}) > 3
+    assert {r.id: r.vocabulary for r in rows("dom6_vocabulary_whole")} == {i: "|".join(x[3]) for i, x in found.items() if x[3]}
+    assert {(r.id, r.domain, r.k, r.score) for r in rows("dom7_alternatives_whole")} == {(i, e[2], k + 1, -e[0] / 10) for i, x in found.items() for k, e in enumerate(x[1][:2]) if e[0]}
+    margin = {i: (chosen[i][0], x[2], x[1][1][0] - x[1][0][0] if x[2] >= 0.62 else None, x[2] >= 0.62) for i, x in found.items()}
+    assert {r.id: (r.domain, r.confidence, r.margin_tenths, r.has_vocabulary) for r in rows("dom7_build_context_whole")} == margin
+    assert {r.id: r.prompt for r in rows("dom8_prompt_whole")} == {i: f"Domain: {c} ({math.floor(v * 100 + 0.5)} %)" for i, (c, v) in chosen.items()}
