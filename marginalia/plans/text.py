@@ -221,29 +221,38 @@ seen AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, confidence * 0.45::D
 
 
 def gate_rows(s, d):
+    return whole_gate_rows(s, d, V.results(s, d).where(F.col("text").rlike("^[ -~]+$")))
+
+
+def whole_gate_rows(s, d, results=None):
     ws = F.split(F.trim("text"), " ", -1)
-    r = V.results(s, d).where(F.col("text").rlike("^[ -~]+$")).select("id", "confidence", ws.alias("ws"))
+    r = (V.results(s, d) if results is None else results).select("id", "confidence", ws.alias("ws"))
     raw = F.get("ws", F.lit(0))
     options = F.array(F.coalesce(F.get("ws", F.lit(1)), F.lit("")), F.concat(raw, F.lit("s")), F.coalesce(F.get("ws", F.lit(2)), F.lit("")))
     return r.select("id", raw.alias("raw"), options.alias("options"), "confidence")
 
 
 @query("gat1_gat2_similarity", f"WITH {GATE_SQL} SELECT id, s2 AS similarity FROM sim")
-def similarities(s, d):
-    return gate_rows(s, d).select("id", E.similarity(F.col("raw"), F.get("options", F.lit(1))).alias("similarity"))
+def similarities(s, d, rows=gate_rows):
+    return rows(s, d).select("id", E.similarity(F.col("raw"), F.get("options", F.lit(1))).alias("similarity"))
 
 
 @query("gat3_evidence_gate", f"""WITH {GATE_SQL} SELECT id, CASE WHEN visual < 0.45::DOUBLE THEN 'ABSTAIN' WHEN visual < 0.78::DOUBLE THEN 'REVIEW' ELSE 'ACCEPT' END AS decision,
 CASE WHEN visual >= 0.78::DOUBLE THEN best ELSE raw END AS accepted, floor(visual * 10000 + 0.5::DOUBLE) / 10000.0::DOUBLE AS visual, best FROM seen""")
-def evidence_gate(s, d):
+def evidence_gate(s, d, rows=gate_rows):
     found = E.gate(F.col("raw"), F.col("options"), F.col("confidence"), F.lit(0.6))
-    return gate_rows(s, d).select("id", found.alias("g")).select("id", "g.decision", "g.accepted", "g.visual", "g.best")
+    return rows(s, d).select("id", found.alias("g")).select("id", "g.decision", "g.accepted", "g.visual", "g.best")
 
 
 @query("gat4_decision_json", f"WITH {GATE_SQL} SELECT id, best AS best_candidate FROM seen")
-def decision_json(s, d):
+def decision_json(s, d, rows=gate_rows):
     found = F.to_json(E.gate(F.col("raw"), F.col("options"), F.col("confidence"), F.lit(0.6)))
-    return gate_rows(s, d).select("id", F.get_json_object(found, "$.best").alias("best_candidate"))
+    return rows(s, d).select("id", F.get_json_object(found, "$.best").alias("best_candidate"))
+
+
+# Over all lines: the SQL above takes those of ASCII, as DuckDB counts bytes, so these have none.
+for _name, _f in (("gat1_gat2_similarity", similarities), ("gat3_evidence_gate", evidence_gate), ("gat4_decision_json", decision_json)):
+    query(f"{_name}_whole")(partial(_f, rows=whole_gate_rows))
 
 
 TERM_SQL = r"""cut AS (SELECT document_id, unnest(regexp_split_to_array(trim(translate(text, '/-', '  ')), '\s+')) AS w FROM v_result),
@@ -277,13 +286,25 @@ def suggestions(s, d):
 
 
 @query("mem3_allowed", SUGGEST_SQL + " SELECT document_id, max(CASE WHEN term = substr(probe, 1, length(probe) - 1) THEN 1 ELSE 0 END) = 1 AS allowed FROM placed WHERE place <= 5 GROUP BY 1")
-def allowed(s, d):
+def allowed(s, d, suggested=suggestions):
     raw = F.expr("substring(probe, 1, length(probe) - 1)")
     support, margin = F.lit(0.7), F.lit(0.2)
-    found = suggestions(s, d).groupBy("document_id").agg(F.max(F.col("term") == raw).alias("in"))
+    found = suggested(s, d).groupBy("document_id").agg(F.max(F.col("term") == raw).alias("in"))
     return found.select("document_id", (F.col("in") & (support >= 0.5) & (margin <= 0.35)).alias("allowed"))
 
 
+# From all terms: the SQL above takes those of ASCII, so these have none.
+@query("mem2_suggestions_whole")
+def whole_suggestions(s, d):
+    own, counts, probes = memory(s, d)
+    return E.suggest(probes, own, counts).select("document_id", "probe", "term", "place")
+
+
+@query("mem3_allowed_whole")
+def whole_allowed(s, d):
+    return allowed(s, d, suggested=whole_suggestions)
+
+
 @query("jn10_fuzzy_join", f"""WITH {TERM_SQL}, p AS (SELECT DISTINCT probe FROM probes WHERE regexp_matches(probe, '^[A-Z]')), t AS (SELECT term FROM counts WHERE regexp_matches(term, '^[A-Z][a-z]{{3,11}}$'))
 SELECT probe, term, levenshtein(probe, term) AS distance FROM p, t WHERE abs(length(probe) - length(term)) <= 5 AND levenshtein(probe, term) <= floor(0.38::DOUBLE * greatest(length(probe), length(term)) + 1e-9::DOUBLE)""")
 def fuzzy(s, d):

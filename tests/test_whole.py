@@ -14,6 +14,7 @@ FAR = "plain words that fill the line up to far behind its start, "
 #: Lines of document 2, by number; document 3 holds them in reverse.
 LINES = [FAR + "கூட்டம் today", FAR + "कल बैठक है", "Ärger " + FAR + "বাংলা 7", FAR + "Привет ok.", FAR + "10AM", FAR + "Acme Widgets Inc. came", "42", FAR + "10AM"]
 LINES += [FAR + "the patient's heart rate, 500 mg", FAR + "court and p&l", FAR + "Größe der follow-up lecture", "tax"]
+LINES += ["Größe große Größen", "élan elan élans", "कल बैठक", "Akrobat Akröbat Äkrobat akrobaten Akro/Akrobât", "Löwe Acméx"]
 
 
 @pytest.fixture(scope="module")
@@ -84,8 +85,9 @@ def test_bigrams_and_names_of_whole_lines(spark, sf):
     assert {r.id: r.jaccard for r in plans.QUERIES["win3_bigram_jaccard_whole"](spark, sf).collect()} == pytest.approx(expected)
     got = {r.id: r for r in plans.QUERIES["nam1_nam2_trn1_masked_translation"](spark, sf).collect()}
     assert all(r.text.endswith(t) for (i, _, _, t) in numbered() for r in [got[i]])
-    # Line 6 of document 3 is in a language to translate, and its name stands behind character 30.
-    assert got[3006].status == "translated" and "Acme Widgets" in got[3006].translated
+    # In a language to translate, a name stands behind character 30.
+    named = next(got[i] for i, _, n, t in numbered() if "Acme" in t[30:] and n % 4 > 1)
+    assert named.status == "translated" and "Acme Widgets" in named.translated
 
 
 def domain_of(text):
@@ -119,3 +121,56 @@ def test_domains_of_whole_lines(spark, sf):
     margin = {i: (chosen[i][0], x[2], x[1][1][0] - x[1][0][0] if x[2] >= 0.62 else None, x[2] >= 0.62) for i, x in found.items()}
     assert {r.id: (r.domain, r.confidence, r.margin_tenths, r.has_vocabulary) for r in rows("dom7_build_context_whole")} == margin
     assert {r.id: r.prompt for r in rows("dom8_prompt_whole")} == {i: f"Domain: {c} ({math.floor(v * 100 + 0.5)} %)" for i, (c, v) in chosen.items()}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def alike(a, b):
+    x, y = a.lower(), b.lower()
+    return 1 - distance(x, y) / max(len(x), len(y)) if x and y else float(x == y)
+
+
+def test_gate_of_all_lines(spark, sf):
+    rows = lambda name: {r.id: r for r in plans.QUERIES[name](spark, sf).collect()}
+    alikes, gates, best = rows("gat1_gat2_similarity_whole"), rows("gat3_evidence_gate_whole"), rows("gat4_decision_json_whole")
+    assert alikes.keys() == gates.keys() == best.keys() == {i for i, _, _, _ in numbered()}
+    for i, d, n, t in numbered():
+        ws = t.strip().split(" ")
+        options = [ws[1] if len(ws) > 1 else "", ws[0] + "s", ws[2] if len(ws) > 2 else ""]
+        top = max((o for o in options if o), key=lambda o: alike(ws[0], o))
+        quality = (d * 7919 + n * 104729) % 1001 / 1000
+        score = alike(ws[0], top) * 0.6 + quality * 0.15 + 0.09 + 0.05
+        visual = min(1, quality * 0.45 + 0.21 + 0.075 + max(0, score - 0.5) * 0.7)
+        assert alikes[i].similarity == pytest.approx(alike(ws[0], ws[0] + "s"))
+        assert (gates[i].best, best[i].best_candidate, gates[i].decision) == (top, top, "ABSTAIN" if visual < 0.45 else "REVIEW" if visual < 0.78 else "ACCEPT")
+        assert gates[i].visual == pytest.approx(visual, abs=1e-4) and gates[i].accepted == (top if visual >= 0.78 else ws[0])
+
+
+def memory_of():
+    """(each document's terms, counts of all, each document's probe)."""
+    own, counts = {}, {}
+    for _, d, _, t in numbered():
+        for w in re.split(r"\s+", re.sub("[/-]", " ", t).strip()):
+            if len(w := w.strip(".,;:!?()[]{}\"'")) >= 2:
+                own.setdefault(d, set()).add(w)
+                counts[w] = counts.get(w, 0) + 1
+    return own, counts, {d: min(w for w in ws if re.fullmatch("[A-Za-z]{4,12}", w)) + "x" for d, ws in own.items()}
+
+
+def test_suggestions_from_all_terms(spark, sf):
+    own, counts, probes = memory_of()
+    expected = {}
+    for d, p in probes.items():
+        near = sorted((-alike(p, w) * (1 + min(counts[w], 10) / 20), w) for w in own[d] if w != p.lower() and alike(p, w) >= 0.62 - 1e-9)
+        expected |= {(d, p, w): k for k, (_, w) in enumerate(near[:5], 1)}
+    assert {(r.document_id, r.probe, r.term): r.place for r in plans.QUERIES["mem2_suggestions_whole"](spark, sf).collect()} == expected
+    assert any(not w.isascii() for _, _, w in expected)
+    allowed = {d: any(e == (d, p, p[:-1]) for e in expected) for d, p in probes.items()}
+    assert {r.document_id: r.allowed for r in plans.QUERIES["mem3_allowed_whole"](spark, sf).collect()} == allowed
