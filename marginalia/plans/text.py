@@ -312,6 +312,13 @@ def fuzzy(s, d):
     return E.fuzzy_join(probes.where(F.col("probe").rlike("^[A-Z]")), counts.where(F.col("term").rlike("^[A-Z][a-z]{3,11}$"))).withColumn("distance", F.col("distance").cast("long"))
 
 
+# Of all probes and all terms: the SQL above compares all pairs of a few, so this has none.
+@query("jn10_fuzzy_join_whole")
+def whole_fuzzy(s, d):
+    _, counts, probes = memory(s, d)
+    return E.fuzzy_join(probes, counts).withColumn("distance", F.col("distance").cast("long"))
+
+
 @query("txt1_ranked_search", r"""WITH tok AS (SELECT id, document_id, unnest(regexp_extract_all(lower(text), '[\pL\pN]+')) AS t FROM v_result),
 own AS (SELECT tok.id, tok.t FROM tok JOIN v_document d ON d.id = tok.document_id WHERE d.user_id = 3),
 n AS (SELECT count(DISTINCT id)::DOUBLE AS n, count(*)::DOUBLE / count(DISTINCT id)::DOUBLE AS avg_len FROM own),

@@ -14,7 +14,7 @@ FAR = "plain words that fill the line up to far behind its start, "
 #: Lines of document 2, by number; document 3 holds them in reverse.
 LINES = [FAR + "கூட்டம் today", FAR + "कल बैठक है", "Ärger " + FAR + "বাংলা 7", FAR + "Привет ok.", FAR + "10AM", FAR + "Acme Widgets Inc. came", "42", FAR + "10AM"]
 LINES += [FAR + "the patient's heart rate, 500 mg", FAR + "court and p&l", FAR + "Größe der follow-up lecture", "tax"]
-LINES += ["Größe große Größen", "élan elan élans", "कल बैठक", "Akrobat Akröbat Äkrobat akrobaten Akro/Akrobât", "Löwe Acméx"]
+LINES += ["Größe große Größen", "élan elan élans", "कल बैठक", "Akrobat Akröbat Äkrobat akrobaten Akro/Akrobât", "Löwe Acméx acme Acmeacme"]
 
 
 @pytest.fixture(scope="module")
@@ -174,3 +174,10 @@ def test_suggestions_from_all_terms(spark, sf):
     assert any(not w.isascii() for _, _, w in expected)
     allowed = {d: any(e == (d, p, p[:-1]) for e in expected) for d, p in probes.items()}
     assert {r.document_id: r.allowed for r in plans.QUERIES["mem3_allowed_whole"](spark, sf).collect()} == allowed
+
+
+def test_fuzzy_join_of_all_terms(spark, sf):
+    _, counts, probes = memory_of()
+    expected = {(p, w, k) for p in probes.values() for w in counts if 1 - (k := distance(p, w)) / max(len(p), len(w)) >= 0.62 - 1e-9}
+    assert {(r.probe, r.term, r.distance) for r in plans.QUERIES["jn10_fuzzy_join_whole"](spark, sf).collect()} == expected
+    assert {"Acméx"} <= {w for _, w, _ in expected}
