@@ -1,6 +1,7 @@
 """Licence notices found by a trained paragraph classifier and confirmed by templates.
 
-Paragraphs are the lines of a text. Hashed word unigrams and bigrams go into a
+Paragraphs are the lines of a text, and adjacent lines over which a template is
+wrapped. Hashed word unigrams and bigrams go into a
 sparse multinomial logistic regression over licence families, "none" and
 "unknown" (a licence of no known family). Its probabilities are calibrated by a
 temperature fitted on held-out paragraphs. A family's prediction stands only if
@@ -187,6 +188,8 @@ class LicenseModel:
         self.slot[used] = np.arange(len(used))
         self.weights, self.bias, self.temperature = weights[used], bias, temperature
         self.templates = {c: [self._bigrams(words_of(t.encode())) for t in own] for c, own in TEMPLATES.items()}
+        self.known = frozenset().union(*(t for own in self.templates.values() for t in own))
+        self.longest = max(len(words_of(t.encode())) for own in TEMPLATES.values() for t in own)
 
     @staticmethod
     def _bigrams(words: list[bytes]) -> frozenset:
@@ -208,6 +211,40 @@ class LicenseModel:
         have = self._bigrams(words)
         return max(len(t & have) / len(t) for t in self.templates[family])
 
+    def wrapped(self, lines: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+        """(first, last) of adjacent lines over which a template is spread, and which all add to what they hold of it.
+
+        A template that begins in a line ends within as many words after it as
+        the longest template has; so do windows, however short their lines are.
+        """
+        seen = set()
+        for i, line in enumerate(lines):
+            j, after = i, 0
+            while j + 1 < len(lines) and after < self.longest:
+                j += 1
+                after += len(lines[j])
+            if j == i:
+                continue
+            have = self._bigrams(self.span(lines, i, j)) & self.known
+            for t in (t for own in self.templates.values() for t in own) if len(have) > 1 else ():
+                held = len(t & have)
+                if held < CONTAINED * len(t):
+                    continue
+                a, b = i, j
+                while a < b and len(t & self._bigrams(self.span(lines, a, b - 1))) == held:
+                    b -= 1
+                while a < b and len(t & self._bigrams(self.span(lines, a + 1, b))) == held:
+                    a += 1
+                if a < b and (a, b) not in seen:
+                    seen.add((a, b))
+                    yield a, b
+
+    def span(self, lines: list[list[bytes]], first: int, last: int) -> list[bytes]:
+        """Words of adjacent lines: of the outer ones those that a template over the breaks can reach."""
+        if first == last:
+            return lines[first]
+        return [*lines[first][-self.longest :], *(w for own in lines[first + 1 : last] for w in own), *lines[last][: self.longest]]
+
     def decide(self, paragraphs: list[list[bytes]]) -> Iterator[tuple[int, str, float, float]]:
         """(paragraph, family, probability, similarity) of those with a notice."""
         p = self.probabilities(paragraphs)
@@ -259,6 +296,30 @@ def trained(each: int = 100, rounds: int = 80, seed: int = 8) -> LicenseModel:
     return LicenseModel(whole, bias, float(min(loss, key=loss.get)))
 
 
+def _notices(model: LicenseModel, lines: list[tuple[int, int, bytes]], words: list[list[bytes]], alone: dict[int, list]) -> list[tuple[int, int, list]]:
+    """(first line, last line, what was found) of single lines with a notice and of notices wrapped over lines.
+
+    Wrapped ones may not overlap, the surest template first, and take the place
+    of unknown notices in their lines; a family that one of the lines confirms
+    by itself is not found again.
+    """
+    spans, begin = [], 0
+    for end in range(1, len(lines) + 1):
+        if end == len(lines) or lines[end][:2] != (lines[end - 1][0], lines[end - 1][1] + 1):  # another text, or blank lines between
+            if end - begin > 1:
+                spans += [(begin + a, begin + b) for a, b in model.wrapped(words[begin:end])]
+            begin = end
+    judged = [(*spans[i], found) for i, *found in model.decide([model.span(words, a, b) for a, b in spans])] if spans else []
+    chosen, taken = [], set()
+    for a, b, found in sorted(judged, key=lambda x: (x[2][0] == "unknown", -x[2][2], -x[2][1], x[1] - x[0], x[0])):
+        own = range(a, b + 1)
+        families = {alone[i][0] for i in own if i in alone}
+        if taken.isdisjoint(own) and found[0] not in families and not (found[0] == "unknown" and families):
+            chosen.append((a, b, found))
+            taken.update(own)
+    return sorted([*((i, i, found) for i, found in alone.items() if i not in taken or found[0] != "unknown"), *chosen], key=lambda x: x[:2])
+
+
 def _scan(model: LicenseModel):
     names = ["doc_id", "line", "family", "probability", "similarity", "paragraph"]
     types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.string()]
@@ -268,9 +329,12 @@ def _scan(model: LicenseModel):
             ids, texts, rows = batch.column(0).to_pylist(), column_bytes(batch, "text"), []
             for begin, end in chunks(texts):
                 lines = [(k, n, line) for k in range(begin, end) for n, line in enumerate(texts[k].split(b"\n") if texts[k] else ()) if line.strip()]
-                for i, family, probability, similarity in model.decide([words_of(line) for _, _, line in lines]) if lines else ():
-                    k, n, line = lines[i]
-                    rows.append((ids[k], n, family, round(probability, 6), round(similarity, 6), line.decode()))
+                words = [words_of(line) for _, _, line in lines]
+                alone = {i: found for i, *found in model.decide(words)} if lines else {}
+                for first, last, found in _notices(model, lines, words, alone):
+                    k, n, _ = lines[first]
+                    family, probability, similarity = found
+                    rows.append((ids[k], n, family, round(probability, 6), round(similarity, 6), b"\n".join(line for _, _, line in lines[first : last + 1]).decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
 
     return run
@@ -279,7 +343,8 @@ def _scan(model: LicenseModel):
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenseModel | None = None) -> DataFrame:
     """doc_id, line, family, probability, similarity, paragraph: a row for each paragraph with a licence notice.
 
-    ``line`` is the \\n-split line's number from 0. Null and empty texts have no
+    ``line`` is the \\n-split line's number from 0, of a notice wrapped over adjacent lines the first's. A wrapped notice
+    counts if a template is spread over its lines; one of no known family is seen line by line. Null and empty texts have no
     notices; repeated rows and null ids are scanned row by row; an empty table
     gives an empty result; other columns take no part.
     """
