@@ -6,8 +6,8 @@ are one list for each query. Phase one gathers each list's best entries; the
 k-th best sum of what is known, partial scores counted from each list's lowest,
 is a lower bound of the k-th best score. Phase two sends that bound to all
 blocks: an entry can only be among the best if one of its partial scores
-reaches the bound divided by the number of lists. Phase three adds up exactly
-what has passed.
+reaches the bound divided by the number of lists. Phase three, in the same pass
+over the blocks, adds up exactly what has passed.
 
 Queries meet all rows in blocks, joined by block numbers; a block holds a
 bounded number of components.
@@ -61,9 +61,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _wide(q: np.ndarray, c: np.ndarray) -> bool:
+    """Inner products may be beyond what float64 holds exactly."""
+    return bool(q.size and c.size and q.shape[1] * np.abs(q).max() * np.abs(c).max() >= 2.0**53)
+
+
 def _dot(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products of integer rows: float64 where that is exact, else whole numbers held at the limits of a long."""
-    if q.size and c.size and q.shape[1] * np.abs(q).max() * np.abs(c).max() >= 2.0**53:
+    if _wide(q, c):
         exact = np.vectorize(int, otypes=[object])(q) @ np.vectorize(int, otypes=[object])(c).T
         return np.clip(exact, -(2**63), 2**63 - 1)
     return q @ c.T
@@ -102,8 +107,8 @@ def _gather(k: int, lists: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list] = [[], [], [], [], []]
-            for _, qid, ids, q, c, own in _pairs(batch):
+            found: list[list] = [[], [], [], [], [], [], []]
+            for row, qid, ids, q, c, own in _pairs(batch):
                 for n, part in enumerate(_slices(q.shape[1], lists)):
                     score = _dot(q[:, part], c[:, part]).astype(np.float64)
                     low = score.min(1) if len(ids) else []
@@ -114,7 +119,10 @@ def _gather(k: int, lists: int):
                         found[2] += ids[at].tolist()
                         found[3] += best.tolist()
                         found[4] += [float(low[i])] * len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()))], ["query_id", "list", "vec_id", "part", "low"])
+                        found[5] += [row["block"]] * len(at)
+                        found[6] += at.tolist()
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types)], ["query_id", "list", "vec_id", "part", "low", "block", "place"])
 
     return run
 
@@ -130,12 +138,19 @@ def _resolve(k: int, lists: int):
                 cut = np.asarray([np.nan if x["cut"] is None else x["cut"] * (1 - 1e-9) for x in row["queries"]])
                 enough = np.repeat(np.isnan(cut)[:, None], len(ids), 1)  # fewer than k known: everything
                 lows = np.asarray([[0.0] * lists if x["lows"] is None else [dict(x["lows"]).get(n, 0.0) for n in range(lists)] for x in row["queries"]]).reshape(-1, lists)
-                total = _dot(q, c)
-                enough |= total.dtype == object
+                wide = _wide(q, c)
+                enough |= wide
                 for n, part in enumerate(_slices(q.shape[1], lists)):
                     score = _dot(q[:, part], c[:, part]).astype(np.float64)
                     enough |= lists * (score - lows[:, n : n + 1]) >= cut[:, None]
-                held = np.where(enough & ~own, total, -np.inf)
+                enough &= ~own
+                if wide:
+                    held = np.where(enough, _dot(q, c), -np.inf)
+                else:
+                    held = np.full(enough.shape, -np.inf)
+                    for i, passed in enumerate(enough):
+                        at = np.flatnonzero(passed)
+                        held[i, at] = c[at] @ q[i]
                 for i, (at, best) in enumerate(_best(held, ids, k)):
                     found[0] += [int(qid[i])] * len(at)
                     found[1] += ids[at].tolist()
@@ -170,16 +185,17 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
 
     def met(entry: Column, rows: DataFrame) -> DataFrame:
         grouped = rows.groupBy(part.alias("group")).agg(F.collect_list(entry).alias("queries")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))).alias("fan"))
-        return spread.join(grouped, ["group", "fan"]).select("n", "width", "ids", "flat", "queries")
+        return spread.join(grouped, ["group", "fan"]).select("block", "n", "width", "ids", "flat", "queries")
 
     with rows_per_batch(spark, PAIRS_PER_BATCH):
-        gathered = met(F.struct("vec_id", "vector"), asked).mapInArrow(_gather(k, lists), "query_id long, list int, vec_id long, part double, low double")
+        gathered = met(F.struct("vec_id", "vector"), asked).mapInArrow(_gather(k, lists), "query_id long, list int, vec_id long, part double, low double, block long, place long")
         gathered = materialize(gathered, "top-gathered")
         order = Window.partitionBy("query_id", "list").orderBy(F.col("part").desc(), "vec_id")
         lists_best = gathered.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
         lows = gathered.groupBy("query_id", "list").agg(F.min("low").alias("low"))
-        known = lists_best.select("query_id", "list", "vec_id", "part").distinct().join(lows, ["query_id", "list"])
-        known = known.groupBy("query_id", "vec_id").agg(F.sum(F.col("part") - F.col("low")).alias("least"))
+        known = lists_best.join(lows.withColumnRenamed("low", "least_low"), ["query_id", "list"]).drop("low").withColumnRenamed("least_low", "low")
+        known = known.groupBy("query_id", "block", "place")  # a row each: an id may have several vectors
+        known = known.agg(F.sum(F.col("part") - F.col("low")).alias("least"))
         best = Window.partitionBy("query_id").orderBy(F.col("least").desc())
         cuts = known.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select("query_id", F.col("least").alias("cut"))
         maps = lows.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("list", "low"))).alias("lows"))
