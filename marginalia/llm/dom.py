@@ -14,9 +14,11 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: Tags inside a run of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset("math mfrac mi mn mo mover mrow ms msqrt msub msubsup msup mtext munder munderover semantics".split())
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style template noscript title textarea iframe object svg math select button canvas audio video".split())
+RAW = frozenset("script style template title textarea iframe".split())
+#: As RAW, but with tags of their own inside: without an end tag they end with their parent.
+HIDDEN = frozenset("noscript object svg select button canvas audio video".split())
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes an open element of these, if no other block stands between.
@@ -38,7 +40,7 @@ def leaf_blocks(html: str, intern: Callable[[str], str | None] = lambda name: na
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
     open_tags: Counter[str] = Counter()
     pieces: list[str] = []
-    linked = links = 0
+    linked = links = hidden = 0
     at = 0
 
     def flush() -> None:
@@ -51,12 +53,17 @@ def leaf_blocks(html: str, intern: Callable[[str], str | None] = lambda name: na
         linked = 0
 
     def pop() -> None:
-        open_tags[stack.pop()[0]] -= 1
+        nonlocal hidden
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        hidden -= tag in HIDDEN
 
     while token := _TOKEN.match(html, at):
         at = token.end()
         text = token["text"]
         if text is not None:
+            if hidden:
+                continue
             pieces.append(text)
             if links:
                 linked += len(text)
@@ -83,7 +90,7 @@ def leaf_blocks(html: str, intern: Callable[[str], str | None] = lambda name: na
             found = _RAW_END[tag].search(html, at)
             at = found.end() if found else len(html)
             continue
-        if tag in VOID:
+        if tag in VOID or tag == "svg" and token[0].endswith("/>"):
             continue
         if tag in ENDS_P and stack[-1][0] == "p":
             pop()
@@ -97,5 +104,6 @@ def leaf_blocks(html: str, intern: Callable[[str], str | None] = lambda name: na
         new = [n for n in map(intern, names) if n is not None and n not in around]
         stack.append((tag, around.union(new) if new else around))
         open_tags[tag] += 1
+        hidden += tag in HIDDEN
     flush()
     return blocks
