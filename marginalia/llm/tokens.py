@@ -3,13 +3,17 @@
 The tokenizer's pre-tokenizer never joins characters across white space, and
 its normalizer neither composes nor looks across it, so a text's ids are those
 of its words in a row. Most words of a corpus recur: each is encoded once for
-each task and looked up from then on. Words that are letters followed by
-punctuation are encoded as two units, as the pre-tokenizer splits there.
+each task and looked up from then on. Words of plain letters are encoded many
+at a time, and such words with punctuation after them as two units, as the
+pre-tokenizer splits there; plain letters are those that no normalizing step
+can turn into anything but one letter of as many bytes. All other words are
+encoded one by one, whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import repeat
@@ -27,6 +31,15 @@ CHUNK_BYTES = 1 << 20
 END = b" "
 
 
+def _plain(c: str) -> bool:
+    """Whether NFC and lower-casing keep a letter one letter of as many bytes."""
+    lower = c.lower()
+    return c.isalpha() and len(lower) == 1 and lower.isalpha() and len(lower.encode()) == len(c.encode()) and unicodedata.normalize("NFC", c) == c
+
+
+_LETTERS = re.compile("[A-Za-z" + "".join(filter(_plain, map(chr, range(0xC0, 0x250)))) + "]+")
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file on this machine."""
     import public_tokenizers
@@ -90,38 +103,23 @@ class WordEncoder:
             self.flat[1:, self.used : self.used + len(ids)] = spans
         self.used += len(ids)
 
-    def _letter_spans(self, word: str, ids: np.ndarray) -> np.ndarray | None:
-        """Character spans of a word of letters, or None if normalizing may change its length."""
+    def _letter_spans(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Character spans of the tokens of plain words, each in its word: a token's bytes are as many as its symbols."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1
         to = np.cumsum(self.width[ids])
-        if word.isascii():
-            return np.stack([to - self.width[ids], to])
-        plain = unicodedata.normalize("NFC", word)
-        lower = plain.lower()
-        if plain != word or len(lower) != len(word):
-            return None
-        char = np.repeat(np.arange(len(lower)), [len(c.encode()) for c in lower])
-        if not len(to) or to[-1] != len(char):
-            return None
-        return np.stack([char[to - self.width[ids]], char[to - 1] + 1])
+        size = np.asarray([len(word) for word in words])
+        origin = np.repeat(char[np.cumsum(size) - size], counts)
+        return np.stack([char[to - self.width[ids]] - origin, char[to - 1] + 1 - origin])
 
     def _add_letters(self, words: list[bytes]) -> None:
-        """Words of letters only: one pre-token each, encoded together and cut after each closing token."""
+        """Words of plain letters: one pre-token each, encoded together and cut after each closing token."""
         ids = np.asarray(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.int64)
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(words):
             return self._add_whole(words)
         counts = np.diff(ends, prepend=0)
-        spans = np.zeros((2, 0))
-        if self.offsets:
-            found = [self._letter_spans(word.decode(), ids[end - n : end]) for word, end, n in zip(words, ends.tolist(), counts.tolist())]
-            odd = [word for word, own in zip(words, found) if own is None]
-            if odd:
-                self._add_whole(odd)
-                kept = np.asarray([own is not None for own in found])
-                words = [word for word, own in zip(words, found) if own is not None]
-                ids, counts = ids[np.repeat(kept, counts)], counts[kept]
-            spans = np.concatenate([own for own in found if own is not None], 1) if words else spans
-        self._put(words, counts, ids, spans)
+        self._put(words, counts, ids, self._letter_spans(words, ids, counts) if self.offsets else ids)
 
     def _add_whole(self, words: list[bytes]) -> None:
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
@@ -135,7 +133,7 @@ class WordEncoder:
         index = self.index
         for word in new:
             core = word.rstrip(TAIL)
-            if not core.isalpha() and (core.isascii() or not core.decode().isalpha()):
+            if not core.isalpha() and (core.isascii() or not _LETTERS.fullmatch(core.decode())):
                 whole[word] = None
             elif len(core) == len(word):
                 letters[word] = None
