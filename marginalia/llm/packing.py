@@ -4,9 +4,13 @@ Lengths are counted exactly; the histogram has at most as many rows as a
 sequence has tokens, so it and the plan made from it stay the same size at any
 corpus size. Patterns of few documents that fill a sequence are enumerated over
 coarse length classes; non-negative least squares fits how often to repeat each
-so that the histogram is used up; the counts are rounded down. A pattern's last
-place takes the longest length that still fits, and what is left is packed
-best-fit, longest first, into the open gaps.
+so that the histogram is used up. Of each count a share is held back, so that
+what is left still has the short documents that close gaps; the rest is rounded
+down. A pattern is repeated with exact lengths of its classes whose sum is the
+sequence, so no pattern leaves a gap; where there are none, its documents go to
+the residual, which is packed best-fit, longest first. How much to hold back
+depends on the lengths: a few shares are tried, and the plan with the fewest
+sequences is taken.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ from .workers import TEXTS_PER_BATCH, map_arrow
 
 #: Length classes of a sequence, and most documents in a pattern.
 CLASSES, PARTS = 64, 4
+#: Shares of the patterns' counts that may be left to the residual.
+HELD_BACK = (1 / 8, 1 / 2, 7 / 8, 31 / 32, 255 / 256)
 
 
-@lru_cache
+@lru_cache(maxsize=8)
 def patterns(total: int = CLASSES, parts: int = PARTS) -> np.ndarray:
     """Column per pattern: how many documents of each class 1..total it takes; the classes sum to ``total``."""
     found: list[tuple[int, ...]] = []
@@ -77,6 +83,11 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
+def class_edges(size: int) -> np.ndarray:
+    """Bounds of the length classes: class c holds the lengths above edges[c - 1] up to edges[c]."""
+    return np.linspace(0, size, min(CLASSES, size) + 1).round().astype(np.int64)
+
+
 class Plan:
     """Segments (length, first rank, documents, first sequence, offset) that place all documents of a histogram.
 
@@ -84,7 +95,7 @@ class Plan:
     of consecutive ranks into as many consecutive sequences at the same offset.
     """
 
-    def __init__(self, histogram: np.ndarray):
+    def __init__(self, histogram: np.ndarray, shapes: np.ndarray, fitted: np.ndarray):
         self.size = len(histogram) - 1
         self.left = histogram.astype(np.int64).copy()
         self.rank = np.zeros(len(histogram), np.int64)
@@ -93,7 +104,8 @@ class Plan:
         #: gap -> (first sequence, sequences) of that gap; the gaps in order.
         self.gaps: dict[int, list[tuple[int, int]]] = {}
         self.order: list[int] = []
-        self._repeat_patterns()
+        self.edges = class_edges(self.size)
+        self._repeat_patterns(shapes, np.floor(fitted).astype(np.int64))
         self._best_fit()
 
     def _place(self, length: int, count: int, sequence: int, offset: int) -> None:
@@ -107,50 +119,47 @@ class Plan:
             insort(self.order, gap)
         self.gaps[gap].append((sequence, count))
 
-    def _longest(self, at_most: int, at_least: int = 1) -> int:
-        """The greatest length in the range of which documents are left, or 0."""
-        found = np.flatnonzero(self.left[at_least : at_most + 1])
-        return int(found[-1]) + at_least if len(found) else 0
-
-    def _repeat_patterns(self) -> None:
-        step = self.size // CLASSES
-        if not step or self.size % CLASSES:
-            return
-        counts = np.add.reduceat(self.left[1:], np.arange(0, self.size, step))
-        fitted = np.floor(nnls(patterns(), counts.astype(float))).astype(np.int64)
-        for k in np.argsort(-fitted, kind="stable"):
-            if not fitted[k]:
-                break
-            classes = [c + 1 for c in np.flatnonzero(patterns()[:, k])[::-1] for _ in range(int(patterns()[c, k]))]
+    def _longest(self, at_most: int) -> int:
+        """The greatest length up to it of which documents are left, or 0."""
+        found = np.flatnonzero(self.left[: at_most + 1])
+        return int(found[-1]) if len(found) else 0
+
+    def _repeat_patterns(self, shapes: np.ndarray, fitted: np.ndarray) -> None:
+        for k in np.argsort(-fitted, kind="stable")[: np.count_nonzero(fitted)]:
             times = int(fitted[k])
-            while times:
-                times -= self._repeat(classes, times, step)
-
-    def _repeat(self, classes: list[int], times: int, step: int) -> int:
-        """Fills up to ``times`` sequences alike; returns how many (all of ``times`` if a class has run out)."""
-        lengths, gap = [], self.size
-        for i, c in enumerate(classes):
-            low, high = (c - 1) * step + 1, min(c * step, gap)
-            self_used = {n: lengths.count(n) for n in lengths}
-            for n in lengths:
-                self.left[n] -= 1
-            # All but the last take their class's longest; the last takes the longest that fits.
-            found = self._longest(gap if i == len(classes) - 1 else high, 1 if i == len(classes) - 1 else low)
-            for n, used in self_used.items():
-                self.left[n] += used
-            if not found:
-                return times
-            lengths.append(found)
-            gap -= found
-        many = min([times, *(int(self.left[n]) // lengths.count(n) for n in lengths)])
-        offset = 0
-        for n in lengths:
-            self._place(n, many, self.sequences, offset)
-            offset += n
-        if gap:
-            self._open(gap, self.sequences, many)
-        self.sequences += many
-        return many
+            own = [int(c) + 1 for c in np.flatnonzero(shapes[:, k])[::-1] for _ in range(int(shapes[c, k]))]
+            while times and (lengths := self._exact(own, self.size)):
+                many = min([times, *(int(self.left[n]) // lengths.count(n) for n in lengths)])
+                offset = 0
+                for n in lengths:
+                    self._place(n, many, self.sequences, offset)
+                    offset += n
+                self.sequences += many
+                times -= many
+
+    def _exact(self, classes: list[int], total: int) -> list[int]:
+        """Lengths of these classes, of which documents are left, with that sum; empty if there are none.
+
+        The last one follows from the others, and may be of a neighbouring class.
+        """
+        low, high = self.edges[classes[0] - 1] + 1, self.edges[classes[0]]
+        if len(classes) == 1:
+            return [total] if 0 < total <= self.size and self.left[total] > 0 else []
+        own = np.arange(low, min(high, total - 1) + 1)
+        if len(classes) == 2:
+            pair = np.minimum(self.left[own], self.left[total - own])
+            pair[2 * own == total] //= 2
+            if not len(pair) or not pair.max():
+                return []
+            n = int(own[pair.argmax()])
+            return [n, total - n]
+        for n in own[self.left[own] > 0][::-1].tolist():
+            self.left[n] -= 1
+            found = self._exact(classes[1:], total - n)
+            self.left[n] += 1
+            if found:
+                return [n, *found]
+        return []
 
     def _best_fit(self) -> None:
         length = self._longest(self.size)
@@ -183,6 +192,14 @@ class Plan:
         return key[order], (found[:, 3] - found[:, 1])[order], found[order, 4]
 
 
+def plan(histogram: np.ndarray) -> Plan:
+    """Plan of the fewest sequences among those of the shares held back; of equal ones that with most patterns."""
+    edges = class_edges(len(histogram) - 1)
+    shapes = patterns(len(edges) - 1)
+    fitted = nnls(shapes, np.diff(np.cumsum(histogram)[edges]).astype(float))
+    return min((Plan(histogram, shapes, fitted * (1 - share)) for share in HELD_BACK), key=lambda p: p.sequences)
+
+
 def _pieces(path: str, size: int, end_id: int):
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
@@ -249,5 +266,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: in
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = pieces.join(first, ["chunk", "length"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
-    return map_arrow(ranked, _placed(*Plan(histogram).arrays(), names), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # By sort and merge: the table of counts grows with the number of partitions.
+    ranked = pieces.join(first.hint("merge"), ["chunk", "length"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
+    return map_arrow(ranked, _placed(*plan(histogram).arrays(), names), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm.packing import Plan, nnls, pack_documents, patterns
+from marginalia.llm.packing import Plan, class_edges, nnls, pack_documents, patterns, plan
 from marginalia.llm.tokencount import RULES, count_tokens, line_sections, with_sections
 from marginalia.llm.tokens import WordEncoder, tokenizer_path
 
@@ -72,14 +72,35 @@ def test_pieces_and_places(spark):
     assert pack_documents(empty(spark), PATH).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_plan_is_tight(seed):
-    rng = np.random.default_rng(seed)
-    lengths = np.minimum(4096, rng.lognormal(6.3, 1, 20_000).astype(int) + 1)
-    plan = Plan(np.bincount(lengths, minlength=4097))
-    assert plan.left.sum() == 0 and plan.sequences <= 1.01 * -(-lengths.sum() // 4096)
-    placed = np.asarray(plan.segments)
-    assert placed[:, 2].sum() == len(lengths)
+@pytest.mark.parametrize("size", [50, 64, 1000, 4000, 4095, 4096, 4097])
+def test_plan_is_tight(size):
+    for mu, sigma in ((5.5, 1), (6.3, 1), (6.5, 0.8), (7, 0.6), (7.3, 0.4), (7.6, 0.3), (7, 1)):
+        rng = np.random.default_rng(int(10 * mu))
+        lengths = np.ceil(rng.lognormal(mu, sigma, 20_000) * size / 4096).astype(int)
+        histogram = np.bincount(lengths % size, minlength=size + 1)
+        histogram[0], histogram[size] = 0, (lengths // size).sum()
+        own = plan(histogram)
+        placed = np.asarray(own.segments)
+        assert own.left.sum() == 0 and (np.bincount(placed[:, 0], placed[:, 2], size + 1) == histogram).all()
+        none = np.zeros((len(class_edges(size)) - 1, 0))
+        fit = Plan(histogram, none, np.zeros(0)).sequences
+        least = -(-int(lengths.sum()) // size)
+        assert least <= own.sequences <= fit
+        if (size, mu) in ((4096, 5.5), (4096, 6.3), (4096, 6.5)):
+            assert own.sequences <= least + 1
+
+
+def test_patterns_are_exact():
+    """Sequences of patterns are full: their documents' lengths sum to the size."""
+    rng = np.random.default_rng(1)
+    histogram = np.bincount(np.minimum(1000, rng.lognormal(5.6, 0.6, 20_000).astype(int) + 1), minlength=1001)
+    shapes = patterns(64)
+    fitted = np.floor(nnls(shapes, np.diff(np.cumsum(histogram)[class_edges(1000)]).astype(float)))
+    own = Plan(histogram, shapes, fitted)
+    filled = np.zeros(own.sequences + 1, np.int64)
+    for length, _, count, sequence, _ in own.segments:
+        filled[sequence : sequence + count] += length
+    assert fitted.sum() > 3000 and (filled[:3000] == 1000).all()
 
 
 def test_nnls():
