@@ -1,16 +1,21 @@
 """Repeated runs of lines, found by winnowing over line hashes.
 
 A window is the shortest run of lines from some line on that has at least
-``min_words`` words; its fingerprint is the line with the smallest hash
+``min_words`` words; the line with the smallest hash in it is selected
 (winnowing: Schleimer, Wilkerson and Aiken, 2003). Two documents that share a
-run of that many words share a whole window, and so its fingerprint. Windows
-whose fingerprint occurs nowhere else are dropped; the others are joined by
-their lines with the first position at which those lines occur, and each match
-is extended both ways along that first position. What lies at a later position
-is deleted, so one copy of every line stays.
+run of that many words share a whole window, and both select the same line of
+it. Each selected line is one fingerprint, however many windows selected it; it
+carries these windows' hashes and the hashes of the lines around. Fingerprints
+that occur at one position only end here, which is most of them.
+
+Of the others, positions are joined by the hashes of their windows, so that two
+documents meet only where a whole window agrees; each meets the first position
+alone. The match is extended both ways along that first position as far as the
+lines agree, and what lies at the later position is deleted.
 
 Positions are met by aggregation (the smallest one of each window), never by
-pairs, so a passage that very many documents share costs a row for each.
+pairs, so a passage that very many documents share costs a row for each, and
+the rows of such a passage are joined where they are.
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import materialize, rows_per_batch
+from .frames import column, join_counted, numbered, schema_of
+from .store import materialize, rows_per_batch, scratch
 from .tokens import column_bytes
 from .workers import TEXTS_PER_BATCH, map_arrow
 
-WINDOWS = "doc_id long, text_hash long, start int, stop int, fp long, fp_at int, k1 long, k2 long, before array<long>, after array<long>"
+FINGERPRINTS = "doc_id long, text_hash long, fp long, fp_at int, low int, starts array<int>, stops array<int>, k1 array<long>, k2 array<long>, lines array<long>"
 
 
 def lines_with_words(text: bytes) -> tuple[list[bytes], list[int]]:
@@ -35,36 +41,55 @@ def lines_with_words(text: bytes) -> tuple[list[bytes], list[int]]:
     return lines, [i for i, line in enumerate(lines) if line.strip()]
 
 
-def _windows(min_words: int):
-    def of(text: bytes) -> Iterator[tuple]:
-        lines, at = lines_with_words(text)
-        if not at:
-            return
-        upto = np.cumsum([0, *(len(lines[i].split()) for i in at)])
-        if upto[-1] < min_words:
-            return
-        digest = [xxhash.xxh3_128_digest(lines[i].strip()) for i in at]
-        value = np.frombuffer(b"".join(digest), "<i8")[::2]
-        stops = np.searchsorted(upto, upto[:-1] + min_words)  # window i: lines i .. stops[i] - 1
-        for i, stop in enumerate(stops.tolist()):
-            if stop > len(at):
-                return
-            fp = stop - 1 - int(value[i:stop][::-1].argmin())
-            k1, k2 = np.frombuffer(xxhash.xxh3_128_digest(b"".join(digest[i:stop])), "<i8")
-            # Lines around it with fewer words than a window: longer runs are windows of their own.
-            left = int(np.searchsorted(upto, upto[i] - min_words, "right"))
-            right = int(np.searchsorted(upto, upto[stop] + min_words)) - 1
-            yield i, stop, value[fp], fp, k1, k2, value[left:i][::-1], value[stop:right]
+def _selected(text: bytes, min_words: int) -> Iterator[tuple]:
+    """(fp, place, first line carried, windows' starts, stops and hashes, hashes of the lines carried) of each fingerprint."""
+    lines, at = lines_with_words(text)
+    if not at:
+        return
+    upto = np.cumsum([0, *(len(lines[i].split()) for i in at)])
+    if upto[-1] < min_words:
+        return
+    digest = [xxhash.xxh3_128_digest(lines[i].strip()) for i in at]
+    value = np.frombuffer(b"".join(digest), "<i8")[::2]
+    stops = np.searchsorted(upto, upto[:-1] + min_words)  # window i: lines i .. stops[i] - 1
+    stops = stops[stops <= len(at)]
+    # Lines around with fewer words than a window: longer runs are windows of their own.
+    left = np.searchsorted(upto, upto[: len(stops)] - min_words, "right").tolist()
+    right = (np.searchsorted(upto, upto[stops] + min_words) - 1).tolist()
+    held = value.tolist()
+    windows: dict[int, list[int]] = {}
+    for i, stop in enumerate(stops.tolist()):
+        best = stop - 1
+        for k in range(stop - 2, i - 1, -1):
+            if held[k] < held[best]:
+                best = k
+        windows.setdefault(best, []).append(i)
+    for fp, own in windows.items():
+        ends = stops[own].tolist()
+        keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"".join(digest[i:stop])) for i, stop in zip(own, ends)), "<i8").reshape(-1, 2)
+        low = left[own[0]]
+        yield held[fp], fp, low, own, ends, keys[:, 0], keys[:, 1], value[low : max(ends[-1], right[own[-1]])]
+
+
+def _lists(parts: list, of: pa.DataType) -> pa.ListArray:
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = np.concatenate(parts) if len(parts) else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.astype(of.to_pandas_dtype()), of))
+
+
+def _fingerprints(min_words: int):
+    names = [c.split()[0] for c in FINGERPRINTS.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = [c.split()[0] for c in WINDOWS.split(", ")]
         for batch in batches:
             rows = []
             for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch, "text")):
                 if text:
-                    rows += [(doc_id, text_hash, *found) for found in of(text)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
+                    rows += [(doc_id, text_hash, *found) for found in _selected(text, min_words)]
+            parts = list(zip(*rows)) if rows else [[]] * len(names)
+            plain = [pa.array(c, t) for c, t in zip(parts, types)]
+            yield pa.RecordBatch.from_arrays([*plain, *(_lists(c, t) for c, t in zip(parts[5:], (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names)
 
     return run
 
@@ -75,32 +100,43 @@ def _same_prefix(a: Column, b: Column) -> Column:
     return F.when(differ == 0, F.size(a)).otherwise(differ.cast("int") - 1)
 
 
+def fingerprints(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """A row for each selected line of each of ``docs`` (doc_id, text_hash, text)."""
+    return map_arrow(docs.select("doc_id", "text_hash", "text"), _fingerprints(min_words), FINGERPRINTS)
+
+
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, text_hash, runs): for documents with later repeated runs, arrays of (first, last) places among lines with words.
 
     ``docs`` has doc_id, text_hash, text. Positions are ordered by doc_id, null
     last, then text_hash, then line; rows with one id and text are one document.
     """
-    windows = map_arrow(docs.select("doc_id", "text_hash", "text"), _windows(min_words), WINDOWS)
     with rows_per_batch(docs.sparkSession, TEXTS_PER_BATCH):
-        windows = materialize(windows, "line-windows")
+        found = materialize(fingerprints(docs, min_words), "line-fingerprints")
     place = F.xxhash64("doc_id", "text_hash", "fp_at")
-    shared = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("fp")
-    windows = materialize(windows.join(shared, "fp", "left_semi").withColumn("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start")), "line-shared")
+    shared = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a < b").select("fp", "n")
+    met = join_counted(found, materialize(shared, "line-shared"), ["fp"], found.count(), "left_semi")
+    each = F.inline(F.arrays_zip("starts", "stops", "k1", "k2")).alias("start", "stop", "k1", "k2")
+    windows = met.select("doc_id", "text_hash", "low", "lines", each).select(
+        F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start").alias("at"), "stop", "k1", "k2",
+        F.reverse(F.slice("lines", F.lit(1), F.col("start") - F.col("low"))).alias("before"),
+        F.slice("lines", F.col("stop") - F.col("low") + 1, F.size("lines")).alias("after"),
+    )
+    windows = materialize(windows, "line-windows")
     first = windows.groupBy("k1", "k2").agg(F.min(F.struct("at", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(first, ["k1", "k2"]).where(F.col("at") > F.col("first.at"))
+    later = join_counted(windows, materialize(first, "line-first"), ["k1", "k2"], windows.count()).where(F.col("at") > F.col("first.at"))
     run = F.struct(
-        (F.col("start") - _same_prefix(F.col("before"), F.col("first.before"))).alias("first"),
+        (F.col("at.start") - _same_prefix(F.col("before"), F.col("first.before"))).alias("first"),
         (F.col("stop") - 1 + _same_prefix(F.col("after"), F.col("first.after"))).alias("last"),
     )
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(run).alias("runs"))  # a set: repeated rows add nothing
+    return later.groupBy("at.doc_id", "at.text_hash").agg(F.collect_set(run).alias("runs"))  # a set: repeated rows add nothing
 
 
-def _cut(columns: list[str], text_col: str):
+def _cut(columns: int, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, removed = [], [], []
-            for text, runs in zip(column_bytes(batch, text_col), batch.column(batch.schema.get_field_index("__runs")).to_pylist()):
+            for text, runs in zip(column_bytes(batch, f"c{text_at}"), batch.column(columns).to_pylist()):
                 lines, at = lines_with_words(text) if text else ([], [])
                 totals.append(len(at))
                 gone: set[int] = set()
@@ -110,8 +146,8 @@ def _cut(columns: list[str], text_col: str):
                 if gone:
                     text = b"\n".join(line for i, line in enumerate(lines) if i not in gone)
                 texts.append(text)
-            own = [pa.array(texts, pa.binary()).cast(pa.string()) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], [*columns, "n_lines", "n_removed"])
+            own = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else batch.column(i) for i in range(columns)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names)
 
     return run
 
@@ -124,13 +160,19 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     their ends; lines without a word stay and break no run. Null and empty texts
     are unchanged. Rows with one id and one text are one document and get one
     result; ids may be null, those documents come last. An empty table gives an
-    empty result; input columns called n_lines or n_removed are replaced.
+    empty result; input columns called n_lines or n_removed are replaced, any
+    other name is kept.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__hash"))
-    slim = keyed.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
-    runs = materialize(repeated_runs(slim, min_words), "line-runs").select(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__with"), F.col("runs").alias("__runs"))
+    text = column(text_col)
+    # Rows without a text have no runs: a hash of their own keeps them from being one key.
+    own = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(text))
+    keyed = docs.select(*numbered(columns), column(id_col).cast("long").alias("doc_id"), own.alias("text_hash"))
+    with scratch(docs.sparkSession):
+        slim = docs.select(column(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+        runs = materialize(repeated_runs(slim, min_words), "line-runs", keep=True)
+    runs = runs.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "runs")
     # Texts are dealt out by a sort-merge join at every size: the runs grow with the corpus.
-    joined = keyed.join(runs.hint("merge"), F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__with")), "left").drop("__id", "__hash", "__of", "__with")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in columns]).schema), "n_lines long", "n_removed long"])
-    return map_arrow(joined, _cut(columns, text_col), schema)
+    joined = keyed.join(runs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left").select(*[f"c{i}" for i in range(len(columns))], "runs")
+    schema = schema_of(docs, columns, "n_lines long, n_removed long")
+    return map_arrow(joined, _cut(len(columns), columns.index(text_col), schema.names), schema)

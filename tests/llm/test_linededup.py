@@ -64,3 +64,22 @@ def test_odd_rows(spark):
     assert rows[None][0].n_removed == 0 and rows[1004][0].n_removed == 0
     assert sum(len(r) for r in rows.values()) == len(documents())
     assert dedup_lines(empty(spark)).count() == 0
+
+
+def test_fingerprints_are_selected_lines(spark):
+    """A row for each selected line, fewer than the windows; every window of a shared passage is carried by some row."""
+    from marginalia.llm.linededup import fingerprints
+
+    rng = random.Random(2)
+    docs = [(i, i, "\n".join(" ".join(f"w{rng.randint(0, 9999)}" for _ in range(5)) for _ in range(60))) for i in range(20)]
+    rows = fingerprints(spark.createDataFrame(docs, "doc_id long, text_hash long, text string"), 50).collect()
+    assert len({(r.doc_id, r.fp_at) for r in rows}) == len(rows) < 20 * 60 * 0.3
+    assert sum(len(r.starts) for r in rows) == 20 * 51
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "runs", "text_hash", "of_id", "c0", "__id", "a.b", "row", "n_removed"]
+    rows = [(i, "\n".join(f"line {j} of ten words that all the documents do share" for j in range(6)), "r", 1, 2, "c", "d", "e", "f", 9) for i in range(3)]
+    got = dedup_lines(spark.createDataFrame(rows, names)).orderBy("doc_id").collect()
+    assert got[0].asDict().keys() == set(names) | {"n_lines"}
+    assert [r.n_removed for r in got] == [0, 6, 6] and got[2]["a.b"] == "e" and got[2]["runs"] == "r" and got[2]["text"] == ""
