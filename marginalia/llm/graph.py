@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .frames import join_counted
 from .store import materialize
 
 
 def _spread(near: DataFrame, only_larger: bool) -> DataFrame:
     """near (u, v): each u gives its neighbours its smallest neighbour m (or itself) to hang on."""
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    hung = near.join(least, "u")
+    least = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+    hung = join_counted(near, least, ["u"], near.count())  # the centre of a large star is a hot key
     if only_larger:
         return hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     own = least.where("u <> m").select("u", F.col("m").alias("v"))
@@ -34,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _spread(both, only_larger=True)
+        large = materialize(_spread(both, only_larger=True), "edges")
         now = materialize(_spread(large, only_larger=False), "edges")
         before, mark = mark, _mark(now)
         if before == mark:

@@ -5,26 +5,38 @@ of its set, band keys of its MinHash samples, and an odd sketch: the samples
 folded into a parity bitmap (Mitzenmacher, Pagh and Pham, 2014). The population
 count of two sketches' XOR tells high similarities apart precisely.
 
-Documents with one set are one node, named by its smallest id. Nodes that share
-a band key and whose sketches are close form families; inside a family, full
-sets are compared, all pairs, in blocks of bounded size. Both comparing steps
-give back only a spanning forest of the pairs they found, so their output grows
-with the nodes, never with the pairs. With BANDS x ROWS samples, a pair at the
+Documents of one text (its words, A-Z lower-cased) are one node, named by its
+smallest id; a cryptographic digest of the whole text tells them apart. Nodes
+that share a band key and whose sketches are close form families; inside a
+family, full sets are compared. With BANDS x ROWS samples, a pair at the
 threshold of 0.85 shares no band with probability 7e-10; the sketch bound lies
 6.5 standard deviations away.
+
+Buckets and families of any size are compared alike (:func:`forest`): a small
+one in a task, all pairs; of a large one, a few pivots are compared with all
+members first, in chunks. What the pivots connect needs no further look among
+itself; only the members outside are then compared with all others, in pairs of
+blocks. A group of a million near copies so costs a few comparisons each, and
+no link is lost. All steps give back only spanning forests of the pairs they
+found, so their output grows with the nodes, never with the pairs. Nothing is
+dealt out by a key that could be hot: members of large groups are dealt by
+chunks, and what is known of a large group is brought to its members where
+they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .frames import column, join_counted, pack, unpack
 from .graph import components
-from .store import materialize, rows_per_batch
+from .store import materialize, rows_per_batch, scratch
 from .tokens import chunks, column_bytes
 from .workers import TEXTS_PER_BATCH, map_arrow
 
@@ -32,6 +44,8 @@ BANDS, ROWS = 36, 5
 SKETCH_BITS = 512
 #: Most nodes in a block of a bucket; most shingles and nodes in a block of a family. Two blocks meet in a task.
 BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_NODES = 2048, 300_000, 1024
+#: Members of a large group that all others are compared with first.
+PIVOTS = 8
 #: Pairs of blocks that a Python worker holds at once.
 GROUPS_PER_BATCH = 64
 
@@ -103,7 +117,7 @@ def _signatures(words: int, bands: int, rows: int, bits: int):
                 cell += np.arange(len(full))[:, None] * bits
                 parity = np.bincount(cell.ravel(), minlength=bits * len(full)).reshape(len(full), bits) & 1
                 sketch = np.packbits(parity.astype(np.uint8), axis=1)
-                digest = [xxhash.xxh3_128_digest(value[s : s + n].tobytes()) for s, n in zip(starts.tolist(), sizes[full].tolist())]
+                digest = [blake2b(b" ".join(texts[begin + i].lower().split()), digest_size=16).digest() for i in full.tolist()]
                 n = end - begin
                 some = np.zeros(n, bool)
                 some[full] = True
@@ -145,25 +159,6 @@ def spanning_forest(near: Callable[[int], np.ndarray], n: int) -> list[tuple[int
     return found
 
 
-def _close_pairs(most: int):
-    """Spanning forest of the nodes of each bucket whose sketches differ in at most ``most`` bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us, vs = [], []
-            for members in batch.column(0).to_pylist():
-                node = np.asarray([m["node"] for m in members], np.int64)
-                order = np.argsort(node)
-                node = node[order]
-                sketch = np.frombuffer(b"".join(members[i]["sketch"] for i in order), np.uint64).reshape(len(node), -1)
-                for i, j in spanning_forest(lambda i, s=sketch: np.bitwise_count(s[i + 1 :] ^ s[i]).sum(1, dtype=np.int64) <= most, len(node)):
-                    us.append(node[i])
-                    vs.append(node[j])
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-    return run
-
-
 def common_counts(value: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     """Sizes of all pairs' intersections of n sets given as (value, set), as an n x n matrix."""
     order = np.argsort(value, kind="stable")
@@ -189,32 +184,209 @@ def common_counts(value: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _linked(words: int, percent: int):
-    """Spanning forest of the pairs in each block whose full sets are similar enough."""
+def cross_counts(value: np.ndarray, own: np.ndarray, n: int, other: np.ndarray, others: np.ndarray, m: int) -> np.ndarray:
+    """Sizes of the intersections of n sets with m others, as an n x m matrix."""
+    if n > 16:
+        both = common_counts(np.concatenate([value, other]), np.concatenate([own, others + n]), n + m)
+        return both[:n, n:]
+    stops = np.cumsum(np.bincount(own, minlength=n))
+    out = np.zeros((n, m), np.int64)
+    for i, stop in enumerate(stops):
+        mine = value[stops[i - 1] if i else 0 : stop]  # sorted within a set
+        at = np.minimum(np.searchsorted(mine, other), max(0, len(mine) - 1))
+        if len(mine):
+            out[i] = np.bincount(others[mine[at] == other], minlength=m)
+    return out
+
+
+class SketchKernel:
+    """Which sketches differ in at most ``most`` bits."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def read(self, values: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(values), np.uint64).reshape(len(values), -1)
+
+    def among(self, rows: np.ndarray) -> Callable[[int], np.ndarray]:
+        return lambda i: np.bitwise_count(rows[i + 1 :] ^ rows[i]).sum(1, dtype=np.int64) <= self.most
+
+    def between(self, left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
+        for own in left:
+            yield np.bitwise_count(right ^ own).sum(1, dtype=np.int64) <= self.most
+
+
+class SetKernel:
+    """Which texts' full sets are similar enough."""
+
+    def __init__(self, words: int, percent: int):
+        self.words, self.percent = words, percent
+
+    def read(self, values: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        return shingle_sets([v.encode() if v else None for v in values], self.words)
+
+    def _alike(self, common: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return (100 * common >= self.percent * (sizes[:, None] + others[None, :] - common)) & (common > 0)
+
+    def among(self, rows: tuple[np.ndarray, np.ndarray]) -> Callable[[int], np.ndarray]:
+        value, sizes = rows
+        alike = self._alike(common_counts(value, np.repeat(np.arange(len(sizes)), sizes), len(sizes)), sizes, sizes)
+        return lambda i: alike[i, i + 1 :]
+
+    def between(self, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> Iterator[np.ndarray]:
+        (a, na), (b, nb) = left, right
+        common = cross_counts(a, np.repeat(np.arange(len(na)), na), len(na), b, np.repeat(np.arange(len(nb)), nb), len(nb))
+        yield from self._alike(common, na, nb)
+
+
+def _edges(us: list, vs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
+def _all_pairs(kernel):
+    """Spanning forest of each small group's pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
             for members in batch.column(0).to_pylist():
+                members.sort(key=lambda m: m["node"])
                 node = [m["node"] for m in members]
-                value, sizes = shingle_sets([m["text"].encode() if m["text"] else None for m in members], words)
-                common = common_counts(value, np.repeat(np.arange(len(node)), sizes), len(node))
-                union = sizes[:, None] + sizes[None, :] - common
-                alike = (100 * common >= percent * union) & (common > 0)
-                for i, j in spanning_forest(lambda i, a=alike: a[i, i + 1 :], len(node)):
+                for i, j in spanning_forest(kernel.among(kernel.read([m["value"] for m in members])), len(node)):
                     us.append(node[i])
                     vs.append(node[j])
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+            yield _edges(us, vs)
+
+    return run
+
+
+def _pivot_links(kernel):
+    """(group, node, mask of the pivots that it is alike to, u, v) of the members of a chunk; u and v connect it and the pivots."""
+    names = ["group", "node", "mask", "u", "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list] = [[], [], [], [], []]
+            for group, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                pivots = [m for m in members if m["apart"]]
+                others = [m for m in members if not m["apart"]]
+                if not pivots or not others:
+                    continue
+                names_of = sorted({m["node"] for m in pivots})
+                bit = {n: k for k, n in enumerate(names_of)}
+                mask = np.zeros(len(others), np.int64)
+                for p, alike in zip(pivots, kernel.between(kernel.read([m["value"] for m in pivots]), kernel.read([m["value"] for m in others]))):
+                    mask |= alike.astype(np.int64) << bit[p["node"]]
+                up = list(range(len(names_of)))
+                for m, bits in zip(others, mask.tolist()):
+                    held = [k for k in range(len(names_of)) if bits >> k & 1]
+                    rows = [(group, m["node"], bits, m["node"] if held else None, names_of[held[0]] if held else None)]
+                    for k in held[1:]:
+                        if up[k] != up[held[0]]:
+                            rows.append((group, None, None, m["node"], names_of[k]))
+                            up = [up[held[0]] if x == up[k] else x for x in up]
+                    for column_, values in zip(found, zip(*rows)):
+                        column_ += values
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)
+
+    return run
+
+
+def _block_links(kernel):
+    """Spanning forest of the pairs between a block's members apart and its others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for members in batch.column(0).to_pylist():
+                left, right = ([m for m in members if m["apart"] == own] for own in (True, False))
+                if not left or not right:
+                    continue
+                label = np.unique([m["node"] for m in [*left, *right]], return_inverse=True)[1]
+                for i, alike in enumerate(kernel.between(kernel.read([m["value"] for m in left]), kernel.read([m["value"] for m in right]))):
+                    own = label[len(left) :]
+                    at = np.flatnonzero(alike & (own != label[i]))
+                    if len(at):
+                        merged, first = np.unique(own[at], return_index=True)
+                        us += [left[i]["node"]] * len(merged)
+                        vs += [right[j]["node"] for j in at[first].tolist()]
+                        label[np.isin(label, merged)] = label[i]
+            yield _edges(us, vs)
 
     return run
 
 
-def _block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
-    """Each row once for every pair of blocks that its own block is in (low, high)."""
-    own = F.pmod(F.xxhash64(node), F.col(blocks))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)).alias("other")
-    spread = df.withColumn("own", own).select("*", other)
-    return spread.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+def forest(members: DataFrame, payload: DataFrame, kernel, tag: str) -> DataFrame:
+    """(u, v): edges that connect, in each group, the members that a chain of alike members connects.
+
+    ``members`` is a written table (group, node, blocks): into how many blocks a
+    group's members are to be dealt, so that two blocks fit a task; ``payload``
+    is (node, value), what the kernel compares.
+    """
+    spark = members.sparkSession
+    entry = F.collect_list(F.struct("apart", "node", "value")).alias("members")
+    small = members.where("blocks = 1").join(payload, "node").groupBy("group").agg(F.collect_list(F.struct("node", "value")).alias("members"))
+    with rows_per_batch(spark, GROUPS_PER_BATCH):
+        out = materialize(map_arrow(small.select("members"), _all_pairs(kernel), "u long, v long"), f"{tag}-small")
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return out
+    own = large.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    total = large.count()
+    chosen = large.groupBy("group", "blocks").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)])).alias("pivots"))
+    pivots = chosen.select("group", "blocks", F.explode("pivots").alias("node")).join(payload, "node")
+    pivots = pivots.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("chunk"), F.lit(True).alias("apart"), "node", "value")
+    met = pivots.union(own.join(payload, "node").select("group", "chunk", F.lit(False), "node", "value")).groupBy("group", "chunk").agg(entry)
+    with rows_per_batch(spark, GROUPS_PER_BATCH):
+        linked = materialize(map_arrow(met.select("group", "members"), _pivot_links(kernel), "group long, node long, mask long, u long, v long"), f"{tag}-pivots")
+    out = out.union(linked.where("u is not null").select("u", "v"))
+
+    # Pivots that members connect are one; the members of the most frequent one's component need no further look among themselves.
+    masks = linked.where("node is not null").groupBy("group", "mask").agg(F.count("*").alias("m"))
+    masks = masks.groupBy("group").agg(F.sum("m").alias("n"), F.collect_list("mask").alias("masks"), F.max_by("mask", F.when(F.col("mask") != 0, F.col("m"))).alias("most"))
+    grown = F.aggregate("masks", F.coalesce("most", F.lit(0).cast("long")), lambda a, x: F.when(a.bitwiseAND(x) != 0, a.bitwiseOR(x)).otherwise(a))
+    for _ in range(PIVOTS - 1):
+        grown = F.aggregate("masks", grown, lambda a, x: F.when(a.bitwiseAND(x) != 0, a.bitwiseOR(x)).otherwise(a))
+    mains = materialize(masks.select("group", "n", grown.alias("main")), f"{tag}-mains")
+    apart = join_counted(linked.where("node is not null").select("group", "node", "mask"), mains, ["group"], linked.count()).where(F.col("mask").bitwiseAND(F.col("main")) == 0)
+    apart = materialize(apart.select("group", "node").distinct(), f"{tag}-apart")
+    if apart.isEmpty():
+        return out
+    sizes = apart.groupBy("group").agg(F.count("*").alias("r"))
+    sizes = materialize(sizes.join(large.groupBy("group", "blocks").agg(F.count("*").alias("n")), "group").select("group", "n", F.ceil(F.col("r") * F.col("blocks") / F.col("n")).alias("rows")), f"{tag}-rows")
+    placed = join_counted(own, sizes, ["group"], total)
+    rest = placed.join(apart, ["group", "node"], "left_semi")
+    i, j = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rows")), F.col("chunk")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rest.join(payload, "node").select("group", i.alias("i"), upto("blocks").alias("j"), F.lit(True).alias("apart"), "node", "value")
+    right = placed.join(payload, "node").select("group", upto("rows").alias("i"), j.alias("j"), F.lit(False).alias("apart"), "node", "value")
+    met = left.union(right).groupBy("group", "i", "j").agg(entry)
+    with rows_per_batch(spark, GROUPS_PER_BATCH):
+        return out.union(materialize(map_arrow(met.select("members"), _block_links(kernel), "u long, v long"), f"{tag}-blocks"))
+
+
+def _links(nodes: DataFrame, texts: DataFrame, words: int, percent: int, samples: int, bits: int) -> DataFrame:
+    """(u, v): edges that connect the nodes whose full sets are similar enough; ``nodes`` is written."""
+    # Buckets with two nodes or more; those with the same members are looked at once.
+    banded = nodes.select("node", F.explode("bands").alias("key"))
+    repeated = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("a < b").select("key", "n")
+    members = materialize(join_counted(banded, materialize(repeated, "near-keys"), ["key"], BANDS * nodes.count(), "left_semi"), "near-members")
+    h = F.xxhash64("node")
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.shiftright(h, 32)).alias("s"), F.bit_xor(h).alias("x"))
+    buckets = buckets.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / F.lit(BUCKET_BLOCK)).alias("blocks"))
+    members = join_counted(members, materialize(buckets, "near-buckets"), ["key"], members.count())
+    members = materialize(members.select(F.col("key").alias("group"), "node", "blocks"), "near-grouped")
+    close = forest(members, nodes.select("node", F.col("sketch").alias("value")), SketchKernel(sketch_distance(percent / 100, samples, bits)), "near-close")
+
+    # Families of close nodes; full sets are compared inside them.
+    family = materialize(components(close), "near-families").join(nodes.groupBy("node").agg(F.max("n_shingles").alias("size")), "node")
+    family = materialize(family, "near-sized")
+    blocks = F.ceil(F.greatest(F.sum("size") / F.lit(FAMILY_BLOCK), F.count("*") / F.lit(FAMILY_NODES))).alias("blocks")
+    sizes = materialize(family.groupBy("root").agg(blocks, F.count("*").alias("n")), "near-blocks")
+    members = materialize(join_counted(family, sizes, ["root"], family.count()).select(F.col("root").alias("group"), "node", "blocks"), "near-placed")
+    # Texts of the families alone, written once: each is read for a pass over pivots, and again only if that leaves some apart.
+    payload = materialize(texts.join(members.select("node"), "node", "left_semi"), "near-texts")
+    return forest(members, payload, SetKernel(words, percent), "near-linked")
 
 
 def near_duplicates(
@@ -228,52 +400,38 @@ def near_duplicates(
     union. component_id is the smallest id reachable. Documents without words
     have size 0 and no link. Rows of one id are one document: what one of them
     links to, all do. Rows with a null id are linked to nothing and kept. An
-    empty table gives an empty result; other columns take no part.
+    empty table gives an empty result; other columns take no part. Shingles of
+    a pair are told apart by 64 bits.
     """
-    skinny = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    signed = map_arrow(skinny, _signatures(words, bands, rows, bits), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary")
-    with rows_per_batch(docs.sparkSession, TEXTS_PER_BATCH):
-        signed = materialize(signed, "near-signatures")
-    some = signed.where("n_shingles > 0 and doc_id is not null")
-    # Equal sets: one node, named by its smallest id.
-    same = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.count("*").alias("rows"))
-    same = materialize(same, "near-sets")
-    copies = some.select("doc_id", "h1", "h2").join(same.where("last > node"), ["h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    nodes = some.join(same.select("h1", "h2", "node"), ["h1", "h2"]).where("doc_id = node").select("node", "n_shingles", "bands", "sketch")
-    nodes = materialize(nodes.dropDuplicates(["node", "sketch"]), "near-nodes")
-
-    # Buckets with two nodes or more; those with the same members are looked at once.
-    banded = nodes.select("node", F.explode("bands").alias("key"))
-    repeated = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    members = materialize(banded.join(repeated, "key"), "near-members")
-    h = F.xxhash64("node")
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.shiftright(h, 32)).alias("s"), F.bit_xor(h).alias("x"))
-    buckets = buckets.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / F.lit(BUCKET_BLOCK)).alias("blocks"))
-    members = members.join(buckets, "key").join(nodes.select("node", "sketch"), "node")
-    groups = _block_pairs(members, "node", "blocks").groupBy("key", "low", "high").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
-    most = sketch_distance(percent / 100, bands * rows, bits)
-    with rows_per_batch(docs.sparkSession, GROUPS_PER_BATCH):
-        close = materialize(map_arrow(groups.select("members"), _close_pairs(most), "u long, v long"), "near-close")
-
-    # Families of close nodes; full sets are compared inside them.
-    family = materialize(components(close), "near-families")
-    sized = family.join(nodes.select("node", "n_shingles"), "node")
-    blocks = sized.groupBy("root").agg(F.ceil(F.greatest(F.sum("n_shingles") / F.lit(FAMILY_BLOCK), F.count("*") / F.lit(FAMILY_NODES))).alias("blocks"))
-    # The number of blocks is joined without the texts: these are never gathered by family, only by pairs of blocks.
-    placed = materialize(family.join(blocks, "root"), "near-blocks")
-    texts = skinny.join(placed, skinny["doc_id"] == placed["node"]).select("node", "root", "blocks", "text")
-    dealt = _block_pairs(texts, "node", "blocks")
-    groups = dealt.groupBy("root", "low", "high").agg(F.collect_list(F.struct("node", "text")).alias("members"))
-    with rows_per_batch(docs.sparkSession, GROUPS_PER_BATCH):
-        links = materialize(map_arrow(groups.select("members"), _linked(words, percent), "u long, v long"), "near-links")
-    found = components(links.union(copies))
-    out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    spark = docs.sparkSession
+    skinny = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    with scratch(spark):
+        signed = map_arrow(skinny, _signatures(words, bands, rows, bits), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary")
+        with rows_per_batch(spark, TEXTS_PER_BATCH):
+            signed = materialize(signed, "near-signatures", keep=True)
+        total = signed.count()
+        some = signed.where("n_shingles > 0 and doc_id is not null")
+        # One text: one node, named by its smallest id.
+        same = materialize(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "near-same")
+        named = join_counted(some, same, ["h1", "h2"], total)
+        nodes = materialize(named.where("doc_id = node").select("node", "n_shingles", "bands", "sketch").dropDuplicates(["node", "sketch"]), "near-nodes")
+        links = _links(nodes, skinny.withColumnRenamed("doc_id", "node").withColumnRenamed("text", "value"), words, percent, bands * rows, bits)
+        # Ids with several texts connect their nodes.
+        slim = join_counted(some.select("doc_id", "h1", "h2"), same, ["h1", "h2"], total).select("doc_id", "node").distinct()
+        several = slim.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most")
+        bridges = slim.join(several, "doc_id").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+        found = materialize(components(links.union(bridges)), "near-found")
+        roots = same.join(found, "node", "left").select("h1", "h2", "n", F.coalesce("root", "node").alias("root"))
+        roots = materialize(roots, "near-roots", keep=True)
+    unlinked = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("root"))
+    linked = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2")
+    out = join_counted(linked, roots, ["h1", "h2"], total).select("doc_id", "n_shingles", "root").union(unlinked)
+    return out.select("doc_id", "n_shingles", F.col("root").alias("component_id"), F.col("root").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents of a component other than its smallest id; all columns stay."""
+    """``docs`` without the documents of a component other than its smallest id; all columns stay, whatever their names."""
     gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     gone = materialize(gone, "near-gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")
+    kept = pack(docs).withColumn("own_id", F.col("row")[id_col].cast("long")).join(gone, F.col("own_id") == F.col("gone_id"), "left_anti")
+    return unpack(kept, docs.columns, {})

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 
+from marginalia.llm import neardup
 from marginalia.llm.graph import components
-from marginalia.llm.neardup import common_counts, drop_near_duplicates, near_duplicates, sketch_distance, spanning_forest
+from marginalia.llm.neardup import common_counts, cross_counts, drop_near_duplicates, near_duplicates, sketch_distance, spanning_forest
 
 from .cases import documents, empty, frame
 
@@ -33,8 +34,11 @@ def brute_force(rows, words, percent):
     return {d: root(d) for d in ids}
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-def test_all_pairs(spark, words, percent):
+@pytest.mark.parametrize(("words", "percent", "block"), [(3, 85, None), (5, 80, None), (3, 85, 9)])
+def test_all_pairs(spark, monkeypatch, words, percent, block):
+    if block:  # pivots and pairs of blocks, as in very large groups
+        for name in ("BUCKET_BLOCK", "FAMILY_NODES"):
+            monkeypatch.setattr(neardup, name, block)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
     rows = documents()
@@ -88,7 +92,31 @@ def test_block_kernels():
     sets = [rng.choice(300, rng.integers(1, 120), replace=False).astype(np.uint64) for _ in range(40)]
     got = common_counts(np.concatenate(sets), np.repeat(np.arange(40), [len(s) for s in sets]), 40)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(i + 1, 40))
+    for n in (5, 30):
+        parts = [np.concatenate([np.sort(s) for s in own]) for own in (sets[:n], sets[n:])]
+        own = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (sets[:n], sets[n:])]
+        across = cross_counts(parts[0], own[0], n, parts[1], own[1], 40 - n)
+        assert all(across[i, j] == len(np.intersect1d(sets[i], sets[n + j])) for i in range(n) for j in range(40 - n))
     near = rng.random((30, 30)) < 0.05
     forest = spanning_forest(lambda i: near[i, i + 1 :], 30)
     assert len(forest) < 30 and all(near[i, j] for i, j in forest)
     assert 60 < sketch_distance(0.85, 180, 512) < 140
+
+
+def test_recall_on_documents(spark):
+    """All linked pairs of the smallest table's documents, whole and after line dedup, by brute force."""
+    from marginalia.llm.linededup import dedup_lines
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for table, words, percent in ((docs, 3, 85), (dedup_lines(docs).select("doc_id", "text"), 5, 80)):
+        rows = [tuple(r) for r in table.collect()]
+        expected = brute_force(rows, words, percent)
+        assert {r.doc_id: r.component_id for r in near_duplicates(table, words=words, percent=percent).collect()} == expected
+    assert len(set(expected.values())) < len(expected)
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "gone_id", "own_id", "row", "a.b", "node", "group", "value"]
+    rows = [(i, "one text that all of these rows have in common", 1, 2, 3, "x", 4, 5, "y") for i in range(3)]
+    out = drop_near_duplicates(spark.createDataFrame(rows, names))
+    assert out.columns == names and [tuple(r) for r in out.collect()] == rows[:1]
