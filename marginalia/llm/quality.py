@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .frames import column, numbered, schema_of
 from .tokens import chunks, column_bytes
 from .workers import map_arrow
 
@@ -34,9 +35,17 @@ WINDOW = 5
 MAX_LABELLED = 20_000
 
 
-def _salted(key: np.ndarray) -> np.ndarray:
-    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return key ^ (key >> np.uint64(32))
+def _window_keys(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A number for each window of WINDOW ids, the same for the same ids in the same document and for no others."""
+    m, many = len(ids) - WINDOW + 1, int(ids.max()) + 1
+    key, most = doc[:m].astype(np.int64), int(doc[-1]) + 1
+    for k in range(WINDOW):
+        if most * many >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+            most = int(key.max()) + 1
+        key = key * many + ids[k : k + m]
+        most *= many
+    return key
 
 
 def statistics(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,23 +64,17 @@ def statistics(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         extra[i, :6] = len(lines), *(len(text) - len(text.translate(None, c)) for c in (_UPPER, _DIGITS, _STOPS)), text.count(b"!"), text.count(b"|")
     counts = base[:, 0]
     doc = np.repeat(np.arange(n), counts)
-    place = np.uint64(0x9E3779B97F4A7C15)
-    hashed = _salted(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64))
-    # Windows are told apart by 64 bits of their words' hashes and the document.
+    ids = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
     if len(words) >= WINDOW:
-        m = len(words) - WINDOW + 1
-        key = doc[:m].astype(np.uint64)
-        for k in range(WINDOW):
-            key = _salted((key + hashed[k : k + m]) * place)
-        at = np.flatnonzero(doc[:m] == doc[WINDOW - 1 :])
-        _, back, times = np.unique(key[at], return_inverse=True, return_counts=True)
+        at = np.flatnonzero(doc[: len(words) - WINDOW + 1] == doc[WINDOW - 1 :])
+        _, back, times = np.unique(_window_keys(ids, doc)[at], return_inverse=True, return_counts=True)
         again = at[times[back] > 1]
         edge = np.zeros(len(words) + 1, np.int64)
         np.add.at(edge, again, 1)
         np.add.at(edge, again + WINDOW, -1)
         base[:, 4] = np.bincount(doc[np.cumsum(edge)[:-1] > 0], minlength=n)
     if len(words):
-        single, times = np.unique(_salted(hashed + doc.astype(np.uint64) * place), return_counts=True, return_index=True)[1:]
+        single, times = np.unique(doc * (ids.max() + 1) + ids, return_counts=True, return_index=True)[1:]
         extra[:, 6] = np.bincount(doc[single], minlength=n)
         np.maximum.at(extra[:, 7], doc[single], times)
     per_word, per_char = np.maximum(counts, 1), np.maximum(base[:, 1], 1)
@@ -195,10 +198,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     every document that label's (or no label's, 0.5) probability.
     """
     spark = docs.sparkSession
-    chosen = labels.select(F.col(id_col).cast("long").alias("of"), F.col(label_col).cast("int").alias("label")).dropna()
+    chosen = labels.select(column(id_col).cast("long").alias("of"), column(label_col).cast("int").alias("label")).dropna()
     chosen = chosen.groupBy("of").agg(F.min("label").alias("label")).orderBy(F.xxhash64("of"), "of").limit(max_labelled)
     chosen = spark.createDataFrame(chosen.toPandas(), "of long, label int")  # bounded: at most max_labelled rows
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    texts = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("doc_id", "label", "text")
     rows = map_arrow(joined, _featurize, "doc_id long, label int, features array<double>")
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_labelled).toPandas()
@@ -213,15 +216,15 @@ ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 def _judge(model: BoostedTrees, threshold: float, columns: list[str], filtering: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = column_bytes(batch, "__text")
+            texts = column_bytes(batch, "text")
             found = [statistics(texts[b:e]) for b, e in chunks(texts)]
             base = np.concatenate([f[0] for f in found]) if found else np.zeros((0, len(BASE)), np.int64)
             x = np.concatenate([f[1] for f in found]) if found else np.zeros((0, len(FEATURES)))
             score, failed = model.score(x), base_failed(base)
             kept = ~failed & (score >= threshold)
-            own = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            own = [batch.column(i) for i in range(len(columns))]
             if filtering:
-                yield pa.RecordBatch.from_arrays([*own], columns).filter(pa.array(kept))
+                yield pa.RecordBatch.from_arrays(own, columns).filter(pa.array(kept))
             else:
                 added = [*(pa.array(base[:, k]) for k in range(len(BASE))), pa.array(failed), pa.array(kept), pa.array(score)]
                 yield pa.RecordBatch.from_arrays([*own, *added], [*columns, *(c.split()[0] for c in ADDED.split(", "))])
@@ -233,14 +236,14 @@ def judge_quality(docs: DataFrame, model: BoostedTrees, carry: tuple[str, ...] =
     """The ``carry`` columns of every row of ``docs``, its base counts, base_failed, kept and score.
 
     Empty and null texts have no words and so fail the base rules; repeated rows
-    are judged one by one; an empty table gives an empty result.
+    are judged one by one; an empty table gives an empty result. Other columns
+    take no part; carried ones may have any name but those of the result.
     """
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), ADDED])
-    return map_arrow(rows, _judge(model, threshold, list(carry), False), schema)
+    rows = docs.select(*numbered(list(carry)), column(text_col).alias("text"))
+    return map_arrow(rows, _judge(model, threshold, list(carry), False), schema_of(docs, list(carry), ADDED))
 
 
 def keep_quality(docs: DataFrame, model: BoostedTrees, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    rows = docs.withColumn("__text", F.col(f"`{text_col}`"))
-    return map_arrow(rows, _judge(model, threshold, docs.columns, True), docs.schema)
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names; rows as :func:`judge_quality` takes them."""
+    rows = docs.select(*numbered(docs.columns), column(text_col).alias("text"))
+    return map_arrow(rows, _judge(model, threshold, docs.columns, True), schema_of(docs, docs.columns))

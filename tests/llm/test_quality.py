@@ -58,3 +58,35 @@ def test_odd_rows(spark):
     none = fit_quality(empty(spark), labels)
     assert judge_quality(empty(spark), none).count() == 0
     assert base_failed(np.asarray([[9, 0, 0, 0, 0], [10, 0, 0, 0, 3], [10, 0, 0, 0, 2]])).tolist() == [True, True, False]
+
+
+def test_walk_equals_plain_trees():
+    """The vectorised walk against one row and one node at a time."""
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 4))
+    model = BoostedTrees([0, -1, 1, 0], trees=30).fit(x, (x[:, 0] * x[:, 3] > 0.3 * x[:, 1]).astype(float))
+    for row, got in zip(x, model.score(x)):
+        raw = model.bias
+        for feature, threshold, value in zip(model.feature, model.threshold, model.value):
+            node = 0
+            while 2 * node + 1 < len(value):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            raw += value[node]
+        assert abs(got - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_windows_in_large_groups():
+    """Window keys stay exact where documents and words are many."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 4, 60)) + " " + " ".join(f"d{i}x{k}" for k in range(40)) for i in range(900)]
+    assert statistics([t.encode() for t in texts])[0].tolist() == [plainly(t) for t in texts]
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"plain{i} words{i}." for i in range(100))
+    names = ["doc_id", "__text", "text", "c0", "a.b", "label"]
+    docs = spark.createDataFrame([(1, "X", text, 1, 2, "y")], names)
+    model = fit_quality(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert [tuple(r) for r in keep_quality(docs, model).collect()] == [(1, "X", text, 1, 2, "y")]
+    got = judge_quality(docs, model, carry=("__text", "a.b"))
+    assert got.columns[:3] == ["__text", "a.b", "n_words"] and got.first().n_words == 200
