@@ -13,12 +13,14 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
-#: Tags inside a run of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset("math mfrac mi mn mo mover mrow ms msqrt msub msubsup msup mtext munder munderover semantics".split())
+#: Tags inside a run of text, formulas and drawings with their parts included.
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark nobr noscript object picture q s samp small span strike strong sub sup time tt u var video wbr".split()
+) | frozenset("math mfrac mi mn mo mover mrow ms msqrt msub msubsup msup mtext munder munderover semantics svg g path circle rect line polyline polygon ellipse text tspan defs use".split())
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style template title textarea iframe".split())
-#: As RAW, but with tags of their own inside: without an end tag they end with their parent.
-HIDDEN = frozenset("noscript object svg select button canvas audio video".split())
+#: Form controls, as RAW, but with tags of their own inside: without an end tag they end with their parent.
+HIDDEN = frozenset("select button datalist".split())
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes an open element of these, if no other block stands between.
@@ -90,7 +92,7 @@ def leaf_blocks(html: str, intern: Callable[[str], str | None] = lambda name: na
             found = _RAW_END[tag].search(html, at)
             at = found.end() if found else len(html)
             continue
-        if tag in VOID or tag == "svg" and token[0].endswith("/>"):
+        if tag in VOID:
             continue
         if tag in ENDS_P and stack[-1][0] == "p":
             pop()

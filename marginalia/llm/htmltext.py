@@ -10,14 +10,16 @@ The model is trained here, on pages with known labels made by
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .dom import Block, leaf_blocks
+from .frames import column, numbered, schema_of
 from .workers import map_arrow
 
 #: Marks main text in training pages; a private-use character.
@@ -26,6 +28,9 @@ _MARK = ""
 PAGES, ROUNDS = 500, 160
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def _bucket(n: int) -> int:
     return min(n.bit_length(), 9)
 
@@ -37,7 +42,7 @@ def text_features(block: Block, place: int, total: int) -> list[str]:
     last = text[-1]
     return [
         "bias", f"words={_bucket(words)}", f"linked={share}", f"parent={block.parent}", f"stop={last in '.!?:;\"'}", f"comma={',' in text or '. ' in text}",
-        f"sign={'\xa9' in text or '\xb7' in text or '|' in text}", f"digits={sum(map(str.isdigit, text[:200])) * 5 > min(len(text), 200)}",
+        f"sign={'\xa9' in text or '\xb7' in text or '|' in text}", f"digits={len(_DIGIT.findall(text)) * 5 > len(text)}",
         f"first={min(place, 3)}", f"last={min(total - 1 - place, 3)}", f"short={words < 4}/{share > 2}",
     ]
 
@@ -252,13 +257,12 @@ def main_text(html: str | None, model: Crf) -> str:
     return "\n".join(b.text for b, main in zip(blocks, model.label(blocks)) if main)
 
 
-def _extract(model: Crf, html_col: str):
+def _extract(model: Crf, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(html_col)
-            texts = [main_text(html, model) for html in batch.column(at).to_pylist()]
-            own = [(batch.column(i), n) for i, n in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*(c for c, _ in own), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*(n for _, n in own), "text", "n_chars"])
+            texts = [main_text(html, model) for html in batch.column(len(names) - 2).to_pylist()]
+            own = [batch.column(i) for i in range(len(names) - 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names)
 
     return run
 
@@ -268,9 +272,9 @@ def extract_text(pages: DataFrame, html_col: str = "html", model: Crf | None = N
 
     Null and empty pages give empty text; pages of any length are read whole;
     repeated rows are extracted one by one; an empty table gives an empty
-    result; input columns called text or n_chars are replaced.
+    result; input columns called text or n_chars are replaced, all others kept
+    whatever their names.
     """
     carried = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    rows = pages.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{html_col}`").alias("__html"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__html"), "text string, n_chars long"])
-    return map_arrow(rows, _extract(model or trained(), "__html"), schema)
+    schema = schema_of(pages, carried, "text string, n_chars long")
+    return map_arrow(pages.select(*numbered(carried), column(html_col).alias("html")), _extract(model or trained(), schema.names), schema)

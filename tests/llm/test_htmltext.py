@@ -1,9 +1,11 @@
+import itertools
+import random
 import re
 from html import unescape
 
 from marginalia.llm import htmltext
 from marginalia.llm.dom import leaf_blocks
-from marginalia.llm.htmltext import extract_text, labelled_pages, main_text, trained
+from marginalia.llm.htmltext import extract_text, labelled_pages, main_text, page_features, trained
 
 
 def test_held_out_pages():
@@ -40,3 +42,33 @@ def test_odd_rows(spark):
     assert len(out) == 8 and {r.text for r in out if r.page_id} == {""}
     assert {r.text.count("\n") for r in out if r.page_id is None} == {3000}
     assert extract_text(pages.limit(0)).count() == 0 and main_text(None, trained()) == ""
+
+
+def test_decoding_is_the_best_labelling():
+    """Viterbi against all labellings of short chains, scored from the weights."""
+    model, rng = trained(), random.Random(4)
+    for html in labelled_pages(25, seed=77):
+        blocks = leaf_blocks(html)
+        for _ in range(3):
+            at = rng.randrange(len(blocks))
+            own = blocks[at : at + 9]
+            rows = [[model.names[f] for f in features if f in model.names] for features in page_features(own)]
+
+            def score(labels):
+                total = model.first[labels[0]] + sum(model.weights[f, y] for y, row in zip(labels, rows) for f in row)
+                return total + sum(model.step[a, b] for a, b in zip(labels, labels[1:]))
+
+            best = max(itertools.product((0, 1), repeat=len(own)), key=score)
+            assert abs(score(tuple(map(int, model.label(own)))) - score(best)) < 1e-6
+
+
+def test_late_characters_count():
+    block = leaf_blocks("<p>" + "words " * 60 + "1234567890 " * 60 + "</p>")
+    assert "digits=True" in page_features(block)[0] and "digits=False" in page_features(leaf_blocks("<p>" + "words " * 600 + "123</p>"))[0]
+
+
+def test_clashing_names(spark):
+    names = ["html", "text", "n_chars", "__html", "c0", "a.b"]
+    row = spark.createDataFrame([("<article><p>Some words of it.</p></article>", 1, 2, 3, 4, 5)], names)
+    got = extract_text(row)
+    assert got.columns == ["__html", "c0", "a.b", "text", "n_chars"] and tuple(got.first())[:3] == (3, 4, 5)
