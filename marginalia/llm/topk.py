@@ -6,8 +6,12 @@ are one list for each query. Phase one gathers each list's best entries; the
 k-th best sum of what is known, partial scores counted from each list's lowest,
 is a lower bound of the k-th best score. Phase two sends that bound to all
 blocks: an entry can only be among the best if one of its partial scores
-reaches the bound divided by the number of lists. Phase three, in the same pass
-over the blocks, adds up exactly what has passed.
+reaches the bound divided by the number of lists. A list whose norms show that
+none of a block's entries can reach it there is not read, and an entry goes on
+only if its parts that reach it, and the threshold for the others, add up to
+the bound. Phase three, in the same pass over the blocks, resolves the scores
+of what remains exactly. Collecting entries inside their blocks sends the k
+best of each block on, never a list of partial scores.
 
 Queries meet all rows in blocks, joined by block numbers; a block holds a
 bounded number of components.
@@ -20,9 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .store import materialize, rows_per_batch
+from .frames import column
+from .store import materialize, rows_per_batch, scratch
 
 #: Components in a block of candidates, queries in a block, and lists.
 BLOCK_COMPONENTS, BLOCK_QUERIES, LISTS = 1 << 18, 1024, 4
@@ -127,27 +132,40 @@ def _gather(k: int, lists: int):
     return run
 
 
+def remaining(q: np.ndarray, c: np.ndarray, cut: np.ndarray, lows: np.ndarray, lists: int) -> tuple[np.ndarray, int]:
+    """Phase two: (which entries may reach the cut, partial scores looked at); ``cut`` is NaN where fewer than k scores are known."""
+    # A hair below: sums beyond 2^53 are rounded.
+    share = cut * (1 - 1e-9) / lists - 1e-9 * np.abs(lows).max(1, initial=0.0)
+    seen, most, read = np.zeros((len(q), len(c)), bool), np.zeros((len(q), len(c))), 0
+    for n, part in enumerate(_slices(q.shape[1], lists)):
+        own, other = q[:, part], c[:, part]
+        reach = np.sqrt((own**2).sum(1)) * np.sqrt((other**2).sum(1).max(initial=0.0)) * (1 + 1e-9)
+        rows = np.flatnonzero(~(reach - lows[:, n] < share))
+        most += share[:, None]
+        if len(rows):
+            score = _dot(own[rows], other).astype(np.float64) - lows[rows, n : n + 1]
+            read += score.size
+            enough = ~(score < share[rows, None])
+            seen[rows] |= enough
+            most[rows] += np.where(enough, score - share[rows, None], 0)
+    unknown = np.isnan(cut)[:, None]
+    with np.errstate(invalid="ignore"):
+        return unknown | (seen & (most >= (lists * share)[:, None])), read
+
+
 def _resolve(k: int, lists: int):
-    """Phases two and three: entries with a partial score at the cut-off or above, added up; the k best of each block."""
+    """Phases two and three: the scores of the entries that remain; the k best of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list] = [[], [], []]
             for row, qid, ids, q, c, own in _pairs(batch):
-                # A hair below: sums beyond 2^53 are rounded.
-                cut = np.asarray([np.nan if x["cut"] is None else x["cut"] * (1 - 1e-9) for x in row["queries"]])
-                enough = np.repeat(np.isnan(cut)[:, None], len(ids), 1)  # fewer than k known: everything
+                cut = np.asarray([np.nan if x["cut"] is None else x["cut"] for x in row["queries"]], np.float64)
                 lows = np.asarray([[0.0] * lists if x["lows"] is None else [dict(x["lows"]).get(n, 0.0) for n in range(lists)] for x in row["queries"]]).reshape(-1, lists)
-                wide = _wide(q, c)
-                enough |= wide
-                for n, part in enumerate(_slices(q.shape[1], lists)):
-                    score = _dot(q[:, part], c[:, part]).astype(np.float64)
-                    enough |= lists * (score - lows[:, n : n + 1]) >= cut[:, None]
-                enough &= ~own
-                if wide:
-                    held = np.where(enough, _dot(q, c), -np.inf)
+                if _wide(q, c):
+                    held = np.where(own, -np.inf, _dot(q, c))
                 else:
-                    held = np.full(enough.shape, -np.inf)
+                    enough, held = remaining(q, c, cut, lows, lists)[0] & ~own, np.full(own.shape, -np.inf)
                     for i, passed in enumerate(enough):
                         at = np.flatnonzero(passed)
                         held[i, at] = c[at] @ q[i]
@@ -172,10 +190,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     tables give an empty result; other columns take no part.
     """
     spark = candidates.sparkSession
-    name = F.col(f"`{id_col}`").cast("long").alias("vec_id")
-    vector = F.col(f"`{vector_col}`")
-    blocks = materialize(candidates.where(usable(vector)).select(name, vector.alias("v")).where("vec_id is not null").mapInArrow(_blocks, "block long, n long, width long, ids binary, flat binary"), "top-blocks")
-    asked = queries.where(usable(vector)).select(name, vector.alias("vector")).where("vec_id is not null").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    name, vector = column(id_col).cast("long").alias("vec_id"), column(vector_col)
+    with scratch(spark):
+        return _top_k(spark, queries.where(usable(vector)), candidates.where(usable(vector)), name, vector, k, lists)
+
+
+def _top_k(spark: SparkSession, queries: DataFrame, candidates: DataFrame, name: Column, vector: Column, k: int, lists: int) -> DataFrame:
+    blocks = materialize(candidates.select(name, vector.alias("v")).where("vec_id is not null").mapInArrow(_blocks, "block long, n long, width long, ids binary, flat binary"), "top-blocks")
+    asked = queries.select(name, vector.alias("vector")).where("vec_id is not null").groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = materialize(asked, "top-queries")
     groups = max(1, -(-asked.count() // BLOCK_QUERIES))
     # Each block of queries is copied for several groups of candidate blocks, so that one key is never all of the work.
@@ -202,6 +224,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
         bounds = cuts.join(maps, "query_id").withColumnRenamed("query_id", "vec_id")
         told = asked.join(bounds, "vec_id", "left")
         resolved = met(F.struct("vec_id", "vector", "cut", "lows"), told).mapInArrow(_resolve(k, lists), "query_id long, vec_id long, score long")
-        resolved = materialize(resolved, "top-resolved")
+        resolved = materialize(resolved, "top-resolved", keep=True)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return resolved.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
