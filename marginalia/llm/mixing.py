@@ -15,8 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .frames import pack, unpack, word_count
-from .store import materialize
+from .frames import column, pack, unpack, word_count
+from .store import materialize, scratch
 
 #: Weights given in turn to the sources in code-point order.
 CYCLE = (5, 2, 1)
@@ -106,7 +106,7 @@ def mix_plan(skinny: DataFrame, share: float = 1.5, cap: float = 2.0, cycle: tup
         "mix-budgets",
     )
     cuts = _cuts(skinny.where("size > 0"), budgets)
-    return materialize(budgets.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "mix-plan")
+    return materialize(budgets.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "mix-plan", keep=True)
 
 
 def mix_sources(
@@ -119,8 +119,13 @@ def mix_sources(
     cap: float = 2.0,
     cycle: tuple[int, ...] = CYCLE,
     seed: int = 20,
+    carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """``docs`` with size, source_size, target and taken (words the mix takes of the document).
+    """``docs`` (of its columns those in ``carry``, if given) with size, source_size, target and taken (words the mix takes of the document).
+
+    ``weight`` is a column of ``docs``, by default :func:`quality_weight` of the
+    text. Texts are read once: size and key are written beside the carried
+    columns.
 
     Null text has size 0 and is taken 0 times; a null source is a source of its
     own, sorted last; weights that are null or not above 0 count as 0.05. Rows
@@ -129,33 +134,28 @@ def mix_sources(
     a dimension: the plan has one row for each, and Spark broadcasts it only
     below its own size threshold, as the written table's size is known.
     """
-    w = quality_weight(F.col(f"row.`{text_col}`")) if weight is None else weight
-    text, id_ = F.col(f"row.`{text_col}`"), F.col(f"row.`{id_col}`")
-    w = F.when(w > 0, w).otherwise(0.05)
-    key = -F.log(uniform(id_, seed)) / w
-
-    def keyed(df: DataFrame) -> DataFrame:
-        out = df.select(
-            "row", F.col(f"row.`{source_col}`").alias("source"), word_count(text).alias("size"), key.alias("key"),
-            F.concat_ws(":", id_.cast("string"), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string")).alias("tie"),
-        )
-        at = F.col("key") / (1 + F.col("key")) * BINS
-        b1 = F.floor(at)
-        b2 = F.floor((at - b1) * BINS)
-        b3 = F.floor(((at - b1) * BINS - b2) * BINS)
-        return out.withColumns({"b1": b1, "b2": b2, "b3": b3})
-
-    rows = keyed(pack(docs))
-    skinny = materialize(rows.drop("row"), "mix-keys")
-    plan = mix_plan(skinny, share, cap, cycle)
+    columns = docs.columns if carry is None else list(carry)
+    packed = docs.select(F.struct(*map(column, columns)).alias("row"), column(text_col).alias("text"), column(id_col).alias("id"), column(source_col).alias("source"), (quality_weight(column(text_col)) if weight is None else weight).alias("w"))
+    text, id_, w = F.col("text"), F.col("id"), F.when(F.col("w") > 0, F.col("w")).otherwise(0.05)
+    tie = F.concat_ws(":", id_.cast("string"), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))
+    rows = packed.select("row", "source", word_count(text).alias("size"), (-F.log(uniform(id_, seed)) / w).alias("key"), tie.alias("tie"))
+    at = F.col("key") / (1 + F.col("key")) * BINS
+    b1 = F.floor(at)
+    b2 = F.floor((at - b1) * BINS)
+    b3 = F.floor(((at - b1) * BINS - b2) * BINS)
+    rows = materialize(rows.withColumns({"b1": b1, "b2": b2, "b3": b3}), "mix-keys", keep=True)
+    skinny = rows.drop("row")
+    with scratch(docs.sparkSession):
+        plan = mix_plan(skinny, share, cap, cycle)
     joined = rows.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
     in_part = F.coalesce((F.col("key") < F.col("edge_key")) | (F.struct("key", "tie") <= F.col("inner")), F.lit(False))
     taken = F.col("size") * (F.col("epochs") + F.when(in_part, 1).otherwise(0))
-    return unpack(joined, docs.columns, {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("long")})
+    return unpack(joined, columns, {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("long")})
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as the mix takes it; documents without words are not in it."""
-    taken = mix_sources(pack(docs).select("row", *[F.col(f"row.`{c}`").alias(c) for c in (options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source"))]), **options)
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it; documents without words are not in it. All columns stay, whatever their names."""
+    own = (options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source"))
+    taken = mix_sources(pack(docs).select("row", *[F.col("row")[c].alias(c) for c in own]), carry=("row",), **options)
     copies = taken.where("taken > 0").select("row", F.explode(F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))))
-    return copies.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return unpack(copies, docs.columns, {})

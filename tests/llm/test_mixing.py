@@ -52,7 +52,7 @@ def test_many_small_documents_meet_the_target(spark):
 
 def test_heavier_weights_are_taken_more_often(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("one").alias("source"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.1).alias("q"))
-    twice = {r.even: r.n for r in mix_sources(docs, weight=F.col("row.q"), share=1.3).where("taken > size").groupBy((F.col("doc_id") % 2 == 0).alias("even")).agg(F.count("*").alias("n")).collect()}
+    twice = {r.even: r.n for r in mix_sources(docs, weight=F.col("q"), share=1.3).where("taken > size").groupBy((F.col("doc_id") % 2 == 0).alias("even")).agg(F.count("*").alias("n")).collect()}
     assert twice[True] > 3 * twice[False]
 
 
