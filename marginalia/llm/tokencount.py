@@ -10,12 +10,13 @@ one range of them, found by binary search.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .frames import column, pack, unpack
 from .tokens import WordEncoder, chunks, column_bytes
 from .workers import map_arrow
 
@@ -33,13 +34,14 @@ def edge_sections(text: Column, edge: int = 256) -> Column:
     return F.filter(F.array(*parts), lambda s: s["start"] < s["stop"])
 
 
-def line_sections(text: Column) -> Column:
+def line_sections(text: str) -> Iterator[tuple[str, int, int]]:
     """The \\n-split lines of a text, each with its line end, named by their numbers from 0."""
-    ends = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line: F.length(line).cast("long") + 1)
-    n = F.coalesce(F.length(text), F.lit(0)).cast("long")
-    stops = F.transform(ends, lambda _, i: F.aggregate(F.slice(ends, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
-    out = F.transform(stops, lambda stop, i: F.struct(i.cast("string").alias("section"), (stop - F.get(ends, i)).alias("start"), F.least(stop, n).alias("stop")))
-    return F.filter(out, lambda s: s["start"] < s["stop"])
+    start = 0
+    for i, line in enumerate(text.split("\n")):
+        stop = min(start + len(line) + 1, len(text))
+        if start < stop:
+            yield str(i), start, stop
+        start = stop
 
 
 def encode_chunk(encoder: WordEncoder, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +59,7 @@ def encode_chunk(encoder: WordEncoder, texts: list[bytes | None]) -> tuple[np.nd
     return flat[0], base + flat[1], base + flat[2], firsts
 
 
-def _attribute(path: str, rule: str):
+def _attribute(path: str, rule: str, cut: Callable[[str], Iterable[tuple[str, int, int]]] | None):
     names = ["doc_id", "section", "start", "stop", "n_tokens", "n_crossing"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
@@ -69,7 +71,10 @@ def _attribute(path: str, rule: str):
                 _, first, stop, origin = encode_chunk(encoder, texts[begin:end])
                 anchor = first if rule == "first" else stop - 1 if rule == "last" else (first + stop - 1) // 2
                 upto = np.append(origin, np.iinfo(np.int64).max)
-                part = sections.slice(begin, end - begin).to_pylist()
+                if cut is None:
+                    part = sections.slice(begin, end - begin).to_pylist()
+                else:
+                    part = [[dict(zip(names[1:4], s)) for s in cut(text.decode())] if text else None for text in texts[begin:end]]
                 own = [(k, s) for k, found in enumerate(part) for s in found or ({"section": None, "start": None, "stop": None},)]
                 low = np.asarray([origin[k] + (s["start"] or 0) for k, s in own], np.int64)
                 high = np.asarray([upto[k + 1] if s["stop"] is None else min(origin[k] + s["stop"], upto[k + 1]) for k, s in own], np.int64)
@@ -86,11 +91,15 @@ def _attribute(path: str, rule: str):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, sections: Column | None = None, rule: str = "middle", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(
+    docs: DataFrame, tokenizer: str, sections: Column | Callable[[str], Iterable[tuple[str, int, int]]] | None = None,
+    rule: str = "middle", id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """doc_id, section, start, stop, n_tokens, n_crossing: a row for each section of each document.
 
     ``sections`` is a column of (section, start, stop) spans in characters, stop
-    not included; they may overlap, and each counts on its own. n_crossing is
+    not included, or a function that cuts a text into such spans, as
+    :func:`line_sections`; they may overlap, and each counts on its own. n_crossing is
     how many of the section's tokens reach beyond it. A document without
     sections, as null and empty texts are, gives one row with a null section and
     all its tokens. Repeated rows and null ids are counted row by row; an empty
@@ -98,15 +107,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, sections: Column | None = None
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    text = F.col(f"`{text_col}`")
-    spans = (edge_sections(text) if sections is None else sections).cast(SECTIONS)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), spans.alias("sections"))
-    return map_arrow(rows, _attribute(tokenizer, rule), "doc_id long, section string, start long, stop long, n_tokens long, n_crossing long")
+    text, cut = column(text_col), None if sections is None or isinstance(sections, Column) else sections
+    spans = (edge_sections(text) if sections is None else F.lit(None) if cut else sections).cast(SECTIONS)
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), text.alias("text"), spans.alias("sections"))
+    return map_arrow(rows, _attribute(tokenizer, rule, cut), "doc_id long, section string, start long, stop long, n_tokens long, n_crossing long")
 
 
 def with_sections(docs: DataFrame, frame: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with a column ``sections`` gathered from (id, section, start, stop) rows, in order of their starts."""
-    spans = frame.groupBy(F.col(f"`{id_col}`").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "section"))).alias("spans"))
-    joined = docs.join(spans, docs[id_col] == F.col("__of"), "left")
+    """``docs`` with a column ``sections`` gathered from (id, section, start, stop) rows, in order of their starts.
+
+    Null ids have no sections; a column of that name is replaced, all others are kept.
+    """
+    spans = frame.groupBy(column(id_col).alias("of_id")).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "section"))).alias("spans"))
+    joined = pack(docs).join(spans, F.col("row")[id_col] == F.col("of_id"), "left")
     ordered = F.transform("spans", lambda s: F.struct(s["section"].cast("string").alias("section"), s["start"].cast("long").alias("start"), s["stop"].cast("long").alias("stop")))
-    return joined.select(*[docs[c] for c in docs.columns if c != "sections"], ordered.alias("sections"))
+    return unpack(joined, docs.columns, {"sections": ordered})

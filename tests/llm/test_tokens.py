@@ -25,7 +25,7 @@ def test_word_cache_equals_whole_texts():
 
 @pytest.mark.parametrize("rule", RULES)
 def test_sections(spark, rule):
-    for sections in (None, line_sections(F.col("text"))):
+    for sections in (None, line_sections):
         got = {}
         for r in count_tokens(frame(spark), PATH, sections, rule).collect():
             got.setdefault(r.doc_id, []).append(r)
