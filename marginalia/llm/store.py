@@ -14,17 +14,18 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Folders made for applications on one machine that have none set.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's folder for checkpoints; a fresh local one where none is set (single-machine tests)."""
-    found = spark.conf.get(KEY, None)
+    found = spark.conf.get(KEY, None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError(f"{KEY} must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="marginalia-")
+        found = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="marginalia-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set(KEY, found)
     return found.rstrip("/")
 
 
