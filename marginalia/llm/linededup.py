@@ -132,10 +132,10 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     return later.groupBy("at.doc_id", "at.text_hash").agg(F.collect_set(run).alias("runs"))  # a set: repeated rows add nothing
 
 
-def _cut(columns: int, text_at: int, names: list[str]):
+def _cut(columns: int, text_at: int, names: list[str], filtering: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, totals, removed = [], [], []
+            texts, totals, removed, left = [], [], [], []
             for text, runs in zip(column_bytes(batch, f"c{text_at}"), batch.column(columns).to_pylist()):
                 lines, at = lines_with_words(text) if text else ([], [])
                 totals.append(len(at))
@@ -146,8 +146,12 @@ def _cut(columns: int, text_at: int, names: list[str]):
                 if gone:
                     text = b"\n".join(line for i, line in enumerate(lines) if i not in gone)
                 texts.append(text)
+                left.append(not gone or len(gone) < len(at))
             own = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else batch.column(i) for i in range(columns)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names)
+            if filtering:
+                yield pa.RecordBatch.from_arrays(own, names).filter(pa.array(left, pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([*own, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names)
 
     return run
 
@@ -163,7 +167,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     empty result; input columns called n_lines or n_removed are replaced, any
     other name is kept.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _deduplicated(docs, [c for c in docs.columns if c not in ("n_lines", "n_removed")], min_words, id_col, text_col, False)
+
+
+def drop_repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with texts as :func:`dedup_lines` cuts them, all columns as they were; rows of whose lines with a word none is left go."""
+    return _deduplicated(docs, docs.columns, min_words, id_col, text_col, True)
+
+
+def _deduplicated(docs: DataFrame, columns: list[str], min_words: int, id_col: str, text_col: str, filtering: bool) -> DataFrame:
     text = column(text_col)
     # Rows without a text have no runs: a hash of their own keeps them from being one key.
     own = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(text))
@@ -174,5 +186,5 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     runs = runs.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "runs")
     # Texts are dealt out by a sort-merge join at every size: the runs grow with the corpus.
     joined = keyed.join(runs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left").select(*[f"c{i}" for i in range(len(columns))], "runs")
-    schema = schema_of(docs, columns, "n_lines long, n_removed long")
-    return map_arrow(joined, _cut(len(columns), columns.index(text_col), schema.names), schema)
+    schema = schema_of(docs, columns, "" if filtering else "n_lines long, n_removed long")
+    return map_arrow(joined, _cut(len(columns), columns.index(text_col), schema.names, filtering), schema)
