@@ -165,25 +165,40 @@ def diverse(s, d):
     return L.diverse(scored(s, d).join(users, "document_id").select("group", "id", "text", "score"), 10)
 
 
-@query("win3_bigram_jaccard", """WITH w AS (SELECT id, lower(trim(substr(text, 1, 30))) AS a, lower(trim(substr(lead(text) OVER (PARTITION BY document_id ORDER BY n), 1, 30))) AS b FROM v_result),
+@query("win3_bigram_jaccard", """WITH w AS (SELECT id, lower(trim(text)) AS a, lower(trim(lead(text) OVER (PARTITION BY document_id ORDER BY n))) AS b FROM v_result),
 g AS (SELECT id, CASE WHEN length(a) < 2 THEN list_value(a) ELSE list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) END AS x, CASE WHEN length(b) < 2 THEN list_value(b) ELSE list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) END AS y FROM w WHERE b IS NOT NULL)
 SELECT id, len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE AS jaccard FROM g""")
-def jaccard(s, d, cut=lambda text: F.substring(text, 1, 30)):
+def jaccard(s, d):
     from pyspark.sql import Window
 
-    b = cut(F.lead("text").over(Window.partitionBy("document_id").orderBy("n")))
-    rows = V.results(s, d).withColumn("b", b).where("b is not null")
-    return rows.select("id", T.jaccard(T.bigrams(cut(F.col("text"))), T.bigrams(F.col("b"))).alias("jaccard"))
+    following = F.lead("text").over(Window.partitionBy("document_id").orderBy("n"))
+    rows = V.results(s, d).withColumn("b", following).where("b is not null")
+    return rows.select("id", T.jaccard(T.bigrams(F.col("text")), T.bigrams(F.col("b"))).alias("jaccard"))
 
 
-# Over whole lines: the SQL above cuts them, so this has none.
-@query("win3_bigram_jaccard_whole")
-def whole_jaccard(s, d):
-    return jaccard(s, d, cut=lambda text: text)
-
-
-@query("nam1_nam2_trn1_masked_translation")
+# Lower case stands for a translation; a name's case is kept wherever it stands, and the fallback translates what the first provider refuses.
+@query("nam1_nam2_trn1_masked_translation", """WITH told AS (SELECT id, n, trim('Our company is called Acme' || document_id || ', with Zenith Labs: ' || text || ' at acme' || document_id) AS text, text AS line FROM v_result)
+SELECT id, CASE n % 4 WHEN 1 THEN 'error' WHEN 0 THEN 'same' ELSE 'translated' END AS status,
+  CASE n % 4 WHEN 1 THEN NULL WHEN 0 THEN text ELSE 'our company is called Acme' || (id // 1000) || ', with Zenith labs: ' || lower(line) || ' at Acme' || (id // 1000) END AS translated FROM told""")
 def masked_translation(s, d):
-    told = F.concat(F.lit("Our company is called "), F.get(F.split("text", " "), F.lit(0)), F.lit(", and "), "text")
-    language = F.when(F.col("n") % 4 == 0, "en").when(F.col("n") % 4 == 1, "mixed").otherwise("ta")
-    return N.translate(V.results(s, d).select("id", told.alias("text"), language.alias("source")), lambda text, _source, _target: text.lower())
+    n, name = F.col("n"), F.concat(F.lit("cme"), F.col("document_id").cast("string"))
+    told = F.concat(F.lit("Our company is called A"), name, F.lit(", with Zenith Labs: "), "text", F.lit(" at a"), name)
+    language = F.when(n % 4 == 0, "en").when(n % 4 == 1, "mixed").when(n % 4 == 2, "ta").otherwise("hi")
+
+    def first(text: str, source: str, _target: str) -> str:
+        if source == "hi":
+            raise RuntimeError("busy")
+        return text.lower()
+
+    rows = V.results(s, d).select("id", told.alias("text"), language.alias("source"))
+    return N.translate(rows, first, fallback=lambda text, _source, _target: text.lower()).select("id", "status", "translated")
+
+
+@query("trn2_translation_request", """WITH asked AS (SELECT id, n, trim(text) AS text FROM v_result)
+SELECT id, CASE n % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'same' ELSE 'translated' END AS status, CASE n % 3 WHEN 0 THEN 'translation equals the text' END AS error FROM asked""")
+def translation_request(s, d):
+    """Requests in Tamil named as such, English ones to be detected, and ones that come back unchanged."""
+    n = F.col("n") % 3
+    rows = V.results(s, d).select("id", F.when(n == 1, F.concat(F.lit("plain english words before it "), F.col("text"))).otherwise(F.col("text")).alias("text"), F.when(n == 0, "ta").when(n == 1, "auto").otherwise("hi").alias("source"))
+    out = N.translate_request(rows, lambda text, source, _target: text if source == "ta" else text + "!")
+    return out.select("id", "status", "error")

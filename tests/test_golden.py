@@ -1,5 +1,8 @@
 """Known cases of the text expressions and layout operators."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -61,7 +64,7 @@ def test_gate(spark):
 
 
 def test_memory(spark):
-    texts = spark.createDataFrame([(42, "Karthik went"), (42, "with (Karthik), home"), (42, "Karthik/Karthik a"), (7, "Karthak")], "document_id long, text string")
+    texts = spark.createDataFrame([(42, 1, "Karthik went"), (42, 2, "with (Karthik), home"), (42, 3, "Karthik/Karthik a"), (7, 4, "Karthak")], "document_id long, id long, text string")
     own, counts = E.remember(texts)
     rows = E.suggest(spark.createDataFrame([(42, "Karthlk"), (7, "zzz")], "document_id long, probe string"), own, counts).collect()
     assert [(r.document_id, r.term) for r in rows] == [(42, "Karthik")]
@@ -84,12 +87,67 @@ def test_fuzzy_join_loses_nothing(spark, left, right):
     assert {(r.probe, r.term, r.distance) for r in got.collect()} == expected
 
 
-def test_names():
-    assert N.protected_names("My company's name is FISH, and we build software.") == ["FISH"]
-    assert N.protected_names("I like to eat fish.") == [] and N.protected_names(None) == []
-    assert N.protected_names("We met Acme Widgets Inc. and Foo Labs today") == ["Acme Widgets", "Foo"]
-    masked, used = N.mask("My company's name is FISH.", ["FISH"])
-    assert "ZXQPROTECTEDNAME0QXZ" in masked and N.restore(masked.lower(), used).endswith("FISH.")
+def plain_names(text):
+    """Names by a loop over the words: phrases and endings are looked for at each word."""
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", text)]
+    low = [w.lower() for _, _, w in words]
+    found = []
+    for i in range(len(words)):
+        for lead in (1, 0):
+            for links in (["name", "is"], ["is", "called"], ["is", "named"], ["called"], ["named"], ["is"]):
+                j = i + lead
+                if j >= len(low) or low[j + 1 : j + 1 + len(links)] != links or j + 1 + len(links) >= len(words):
+                    continue
+                thing = re.sub("['’]s$", "", low[j]) if lead else low[j]
+                fits = thing in N.THINGS and low[i] in N.DETERMINERS and links not in (["called"], ["named"]) if lead else thing in N.THINGS and links == ["name", "is"] or thing in N.NAMED_THINGS and links not in (["name", "is"], ["is"])
+                if fits:
+                    start = words[j + 1 + len(links)][0]
+                    run = re.match(r"[^,;:!?\n\r]*", text[start:])[0]
+                    if name := run.strip().rstrip(".").strip():
+                        found.append((start, -(start + len(run.rstrip(" \t.)]}>"))), name))
+                    break
+        for n in range(N.ORG_WORDS, 0, -1):
+            part = [w for _, _, w in words[i : i + n]]
+            if len(part) == n and all(re.fullmatch(r"[A-Z][A-Za-z0-9&.-]*", w) for w in part) and i + n < len(words) and re.match(rf"(?:{'|'.join(N.SUFFIXES)})\b", words[i + n][2]):
+                found.append((words[i][0], -words[i + n - 1][1], " ".join(part)))
+                break
+    out, upto = [], -1
+    for start, back, name in sorted(found):
+        if start >= upto:
+            upto = -back
+            out += [name] if name not in out else []
+    return out
+
+
+def test_names(spark):
+    rng = random.Random(8)
+    texts = ["My company's name is FISH, and we build software.", "I like to eat fish.", "We met Acme Widgets Inc. and Foo Labs today", "our app is called $1\\E x. the platform is Zed!", "", "Our team is Team Foo Labs; the product called Bar."]
+    pool = ["my", "our", "the", "The", "company", "company's", "app", "website", "name", "is", "called", "named", "Acme", "Foo", "B&B", "Labs", "Ltd.", "Inc", "works", "on,", "end.", "x"]
+    texts += [" ".join(rng.choices(pool, k=rng.randint(3, 14))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, text string").withColumn("names", N.protected_names(F.col("text")))
+    masked = N.mask(F.col("text"), N.by_length(F.col("names")))
+    rows = df.select("i", "names", masked.alias("masked"), N.restore(F.lower(masked), N.by_length(F.col("names"))).alias("back")).collect()
+    got = {r.i: r for r in rows}
+    assert got[0].names == ["FISH"] and got[1].names == [] and got[2].names == ["Acme Widgets", "Foo"] and got[-1].names == []
+    assert "ZXQPROTECTEDNAME0QXZ" in got[0].masked and got[0].back == "my company's name is FISH, and we build software."
+    assert got[3].names == ["$1\\E x. the platform is Zed"] and got[3].back == texts[3]
+    assert {i: got[i].names for i in range(len(texts))} == {i: plain_names(t) for i, t in enumerate(texts)}
+    assert sum(map(len, (got[i].names for i in range(6, len(texts))))) > 100
+
+
+def test_translation_fallback_and_requests(spark):
+    df = spark.createDataFrame([(1, "alpha", "ta"), (2, "beta", "hi"), (3, "gamma", "bn"), (4, "कल बैठक है", "auto"), (5, "plain words", "unknown"), (6, " ", "ta"), (7, "12 34", "numeric"), (8, "same", "ta")], "id long, text string, source string")
+
+    def first(text, source, target):
+        if text in ("beta", "gamma"):
+            raise ValueError("down")
+        return "" if text == "alpha" else text if text == "same" else text.upper() + "!"
+
+    second = lambda text, source, target: None if text == "gamma" else f"{text}-{source}"
+    got = {r.id: (r.status, r.translated, r.error) for r in N.translate(df, first, fallback=second).collect()}
+    assert got[1] == ("translated", "alpha-ta", None) and got[2] == ("translated", "beta-hi", None) and got[3] == ("error", None, "empty translation") and got[5][0] == "error"
+    got = {r.id: (r.status, r.error) for r in N.translate_request(df, first, fallback=second).collect()}
+    assert got[4] == ("translated", None) and got[5] == ("same", None) and got[6] == ("error", "no text") and got[8] == ("error", "translation equals the text") and got[7][0] == "error"
 
 
 def test_translation_calls_once_for_each_text(spark):
