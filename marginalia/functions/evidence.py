@@ -48,9 +48,9 @@ def terms(text: Column) -> Column:
 
 
 def remember(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(document_id, text) -> each document's terms, and all terms with their counts."""
-    own = texts.select("document_id", F.explode(terms(F.col("text"))).alias("term"))
-    return own.distinct(), own.groupBy("term").agg(F.count("*").alias("count"))
+    """(document_id, id, text) -> each document's terms, and all terms with their counts and first places, in order of id."""
+    own = texts.select("document_id", "id", F.posexplode(terms(F.col("text"))).alias("i", "term"))
+    return own.select("document_id", "term").distinct(), own.groupBy("term").agg(F.count("*").alias("count"), F.min(F.struct("id", "i")).alias("first"))
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -59,7 +59,7 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def suggest(probes: DataFrame, document_terms: DataFrame, counts: DataFrame, limit: int = 5) -> DataFrame:
-    """(document_id, probe) -> term, score, place: similar terms of the probe's document, weighted by their counts everywhere.
+    """(document_id, probe) -> term, score, place: similar terms of the probe's document, weighted by their counts everywhere; of equal ones the first remembered.
 
     Terms hold no white space, so they are folded by lower() alone, once each;
     the edit distance stops at its bound.
@@ -71,10 +71,17 @@ def suggest(probes: DataFrame, document_terms: DataFrame, counts: DataFrame, lim
     near = near.where(F.abs(F.length("target") - F.length("low")) <= F.col("most")).withColumn("distance", F.expr("levenshtein(target, low, most)")).where("distance >= 0")
     near = near.withColumn("similarity", 1 - F.col("distance") / F.col("n").cast("double")).where(F.col("similarity") >= SIMILAR).join(counts, "term")
     scored = near.withColumn("score", F.col("similarity") * (1 + F.least(F.col("count"), F.lit(10)) / 20.0))
-    order = Window.partitionBy("document_id", "probe").orderBy(F.col("score").desc(), "term")
+    order = Window.partitionBy("document_id", "probe").orderBy(F.col("score").desc(), "first")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("document_id", "probe", "term", "score", "place")
 
 
+def evaluated(asked: DataFrame, suggested: DataFrame) -> DataFrame:
+    """(document_id, probe, candidate, support, margin) with allowed: the candidate is suggested, the support 0.5 or more, the margin 0.35 or less."""
+    hits = suggested.select("document_id", "probe", F.col("term").alias("candidate"), F.lit(True).alias("suggested")).distinct()
+    found = asked.join(hits, ["document_id", "probe", "candidate"], "left")
+    return found.withColumn("allowed", F.coalesce("suggested", F.lit(False)) & (F.col("support") >= 0.5) & (F.col("margin") <= 0.35)).drop("suggested")
+
+
 def letters(text: Column) -> Column:
     """The characters that occur, folded into 64 bits."""
     return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.when(c == "", F.lit(0).cast("long")).otherwise(F.expr("1L") * F.pow(F.lit(2.0), F.pmod(F.ascii(c), F.lit(62))).cast("long"))))
