@@ -182,3 +182,36 @@ def context(text: Column, forced: Column | None = None) -> Column:
         return F.struct(order.alias("order"), value.alias("value"))
 
     return bound(bound(bound(ranked(evidence(text)), weigh), choose), fill)
+
+
+# Guidance by domain, and the rules at the end of a prompt.
+GUIDANCE = {
+    "medical": "This appears to be medical/clinical handwriting. Preserve drug names, dosages, units, abbreviations, anatomy, diagnoses, symptoms and clinical measurements exactly when they are visually supported. Prefer established medical terms over ordinary words when the handwriting is ambiguous, but never invent a term that is not supported by the image.",
+    "legal": "This appears to be legal writing. Preserve section numbers, clause labels, case terminology, names, dates and legal abbreviations. Prefer legal terms when handwriting is ambiguous, but only when the visual evidence supports them.",
+    "finance": "This appears to be financial/accounting writing. Preserve amounts, currencies, percentages, account identifiers, dates and financial abbreviations. Prefer accounting/finance terminology when ambiguity is caused by handwriting, without fabricating values.",
+    "science": "This appears to be scientific/technical writing. Preserve symbols, units, equations, scientific names and technical abbreviations exactly. Use scientific vocabulary to resolve ambiguous handwriting only when supported by visible context.",
+    "education": "This appears to be educational/class notes. Preserve subject terminology, formulas, numbered questions and examples. Use academic vocabulary to help resolve ambiguous words when supported by surrounding text.",
+}
+WEAK = "Domain evidence is weak or ambiguous. Transcribe conservatively without assuming a specialist domain."
+RULES = (
+    "Use this domain only as a spelling/terminology hint. The image is the source of truth. Do not infer missing words, diagnoses, medicine names, doses, dates, names, or numbers. "
+    "Do not normalize or 'correct' a clinically plausible value unless the strokes in the image support it. If the image cannot distinguish candidates, preserve uncertainty rather than selecting the most common term."
+)
+
+
+def guidance(domain: Column) -> Column:
+    out = F.lit(WEAK)
+    for name, text in GUIDANCE.items():
+        out = F.when(domain == name, text).otherwise(out)
+    return out
+
+
+def prompt(found: Column) -> Column:
+    """The guidance for a reader that a :func:`context` amounts to; empty lists are "none"."""
+    listed = lambda items: F.when(F.size(items) > 0, F.array_join(items, ", ")).otherwise("none")
+    others = F.transform(found["alternatives"], lambda e: F.concat(e["domain"], F.lit(" (evidence score "), e["score"].cast("string"), F.lit(")")))
+    return F.concat(
+        F.lit("DOMAIN HYPOTHESIS: "), found["domain"], F.format_string(" (confidence %.2f)\nDOMAIN GUIDANCE: ", F.bround(found["confidence"], 2)), guidance(found["domain"]),
+        F.lit("\nOBSERVED DOMAIN CLUES IN CANDIDATE: "), listed(F.slice(found["evidence"], 1, 12)), F.lit("\nRELEVANT VOCABULARY: "), listed(F.slice(found["vocabulary"], 1, 24)),
+        F.lit("\nCOMPETING DOMAINS: "), listed(F.slice(others, 1, 2)), F.lit("\n" + RULES),
+    )

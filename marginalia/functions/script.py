@@ -39,7 +39,8 @@ _LETTERS = "".join(r for _, r in RANGES)
 _COMMON = rf"[{_DIGIT}[\p{{P}}\p{{S}}&&[^{_LETTERS}]]]"
 _SCRIPT = {name: rf"[{r}&&[^{_DIGIT}]]" for name, r in RANGES}
 _OTHER = rf"[^\s{_DIGIT}\p{{P}}\p{{S}}{_LETTERS}]"
-SPAN = "(?U)" + "|".join([*(f"{c}(?:{c}|{_COMMON})*" for c in _SCRIPT.values()), f"{_COMMON}+", f"{_OTHER}(?:{_OTHER}|{_COMMON})*"])
+#: Single classes, matched without going back: a group's repetition would need stack for each character of a long run.
+SPAN = "(?U)" + "|".join([*(f"{c}[{c}{_COMMON}]*+" for c in _SCRIPT.values()), f"{_COMMON}++", f"{_OTHER}[{_OTHER}{_COMMON}]*+"])
 
 
 def spans(text: Column) -> Column:
@@ -108,7 +109,21 @@ def detect_language(df: DataFrame, id_col: str = "id", text_col: str = "text") -
 
 
 def alternatives(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, language, share: all languages of a text but its best, by their share of the score."""
-    by = text_spans(df, id_col, text_col).groupBy("id", "language").agg(F.sum(F.length("span") * F.col("prior")).alias("score"), F.min("place").alias("place"))
-    whole = by.groupBy("id").agg(F.sum("score").alias("total"), F.max_by("language", F.struct("score", -F.col("place"))).alias("best"))
-    return by.join(whole, "id").where(F.col("language") != F.col("best")).select("id", "language", round4(F.col("score") / F.nullif(F.col("total"), F.lit(0)).cast("double")).alias("share"))
+    """id, language, share: all languages of a text but its best, by their share of the score.
+
+    A text of one language has the other languages that its script may stand
+    for, with their priors.
+    """
+    by = text_spans(df, id_col, text_col).groupBy("id", "language", "script").agg(F.sum(F.length("span") * F.col("prior")).alias("score"), F.min("place").alias("place"))
+    whole = by.groupBy("id").agg(F.sum("score").alias("total"), F.count_distinct("language").alias("n"), F.max_by("language", F.struct("score", -F.col("place"))).alias("best"), F.min_by("script", "place").alias("only"))
+    joined = by.join(whole, "id").where(F.col("language") != F.col("best"))
+    weighed = joined.select("id", "language", round4(F.col("score") / F.nullif(F.col("total"), F.lit(0)).cast("double")).alias("share"))
+    tails = {s: F.array(*[F.struct(F.lit(code).alias("language"), F.lit(prior).alias("share")) for code, prior in own[1:]]) for s, own in PRIORS.items() if len(own) > 1}
+    tail = F.element_at(F.create_map(*[x for s, own in tails.items() for x in (F.lit(s), own)]), F.col("only"))
+    alone = whole.where((F.col("n") == 1) & F.col("only").isin(*tails)).select("id", F.inline(tail))
+    return weighed.unionByName(alone.where(F.col("language").isNotNull()))
+
+
+def source_language(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, language, language_name: what a summary or a translation takes as the text's language."""
+    return detect_language(df, id_col, text_col).select("id", "language", "language_name")

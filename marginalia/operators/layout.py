@@ -46,15 +46,22 @@ def line_segments(profile: DataFrame) -> DataFrame:
     return lines.unionByName(empty.select("page_id", F.lit(0).cast("long").alias("y0"), "y1"))
 
 
-def content_bounds(profile: DataFrame, share: float = 0.01, pad: float = 0.03) -> DataFrame:
-    """page_id, low, high of a profile's content, padded; null where it covers more than 90 % of the page."""
-    top = profile.groupBy("page_id").agg(F.greatest(F.max("ink") * share, F.lit(1.0)).alias("threshold"), F.count("*").alias("size"))
-    inside = F.when(F.col("ink") >= F.col("threshold"), F.col("pos"))
-    edges = profile.join(top, "page_id").groupBy("page_id", "size").agg(F.min(inside).alias("first"), F.max(inside).alias("last"))
-    low = F.greatest(F.lit(0), F.col("first") - F.floor(F.col("size") * pad))
-    high = F.least(F.col("size"), F.col("last") + F.floor(F.col("size") * pad))
-    useful = high - low <= F.col("size") * 0.9
-    return edges.select("page_id", F.when(useful, low).alias("low"), F.when(useful, high).alias("high"))
+def content_bounds(rows: DataFrame, columns: DataFrame, share: float = 0.01, pad: float = 0.03, most: float = 0.9) -> DataFrame:
+    """page_id, x, y, w, h of a page's content, padded; null where its area is more than 90 % of the page's, or there is none.
+
+    ``rows`` and ``columns`` are the page's two profiles (page_id, pos, ink).
+    """
+    def edges(profile: DataFrame, low: str, high: str, size: str) -> DataFrame:
+        top = profile.groupBy("page_id").agg(F.greatest(F.max("ink") * share, F.lit(1.0)).alias("threshold"), F.count("*").alias(size))
+        inside = F.when(F.col("ink") >= F.col("threshold"), F.col("pos"))
+        found = profile.join(top, "page_id").groupBy("page_id", size).agg(F.min(inside).alias("first"), F.max(inside).alias("last"))
+        padding = F.floor(F.col(size) * pad)
+        return found.select("page_id", size, F.greatest(F.lit(0), F.col("first") - padding).alias(low), F.least(F.col(size), F.col("last") + padding).alias(high))
+
+    both = edges(rows, "y", "y2", "height").join(edges(columns, "x", "x2", "width"), "page_id")
+    useful = (F.col("x2") - F.col("x")) * (F.col("y2") - F.col("y")) <= F.col("width") * F.col("height") * most
+    box = {"x": F.col("x"), "y": F.col("y"), "w": F.col("x2") - F.col("x"), "h": F.col("y2") - F.col("y")}
+    return both.select("page_id", *[F.when(useful, v).cast("long").alias(k) for k, v in box.items()])
 
 
 def autocorrelation_peak(profile: DataFrame, first: int, last: int, least: float = 0.3) -> DataFrame:
@@ -95,19 +102,66 @@ def strike_through(boxes: DataFrame, strokes: DataFrame) -> DataFrame:
     return boxes.select("id").join(struck, "id", "left").select("id", F.coalesce("struck", F.lit(False)).alias("struck"))
 
 
-def best_quad(lines: DataFrame) -> DataFrame:
-    """page_id and the best (top, bottom, left, right): the largest frame of two horizontal and two vertical lines.
+def _crossing(a: str, b: str) -> tuple[Column, Column]:
+    """Where two lines, given as structs of two points, meet."""
+    one, two = (lambda k: F.col(f"{a}.{k}").cast("double")), (lambda k: F.col(f"{b}.{k}").cast("double"))
+    det = lambda line: line("x1") * line("y2") - line("y1") * line("x2")
+    den = (one("x1") - one("x2")) * (two("y1") - two("y2")) - (one("y1") - one("y2")) * (two("x1") - two("x2"))
+    along = lambda p, q: F.when(F.abs(den) >= 1e-6, (det(one) * (two(p) - two(q)) - (one(p) - one(q)) * det(two)) / den)
+    return along("x1", "x2"), along("y1", "y2")
 
-    ``lines``: page_id, line_id, horizontal, at. Joins go page by page; the
-    range conditions keep top above bottom and left before right by 20 or more.
+
+def best_quad(lines: DataFrame, width: int, height: int, center: tuple[float, float]) -> DataFrame:
+    """page_id, top, bottom, left, right (ids of lines) and score: the best frame of two horizontal and two vertical lines.
+
+    ``lines``: page_id, line_id, horizontal, x1, y1, x2, y2. Lines near the
+    page's edges are borders; frames must be wide enough, wider than tall and
+    near the expected center; among equal scores the smallest ids win. A page's
+    lines are few, and frames are made page by page.
+    """
+    # Margins, least extents, least aspect, farthest center and the weights of the score.
+    mx, my = 0.06 * width, 0.06 * height
+    low = lambda a, b: F.least(F.col(a), F.col(b))
+    high = lambda a, b: F.greatest(F.col(a), F.col(b))
+    inner = lines.where((low("x1", "x2") > mx) & (high("x1", "x2") < width - mx) & (low("y1", "y2") > my) & (high("y1", "y2") < height - my))
+    line = F.struct("line_id", "x1", "y1", "x2", "y2")
+    h, v = (inner.where(F.col("horizontal") == k).select("page_id", line.alias("line")) for k in (True, False))
+    pair = lambda df, a, b: df.withColumnRenamed("line", a).join(df.withColumnRenamed("line", b), "page_id")
+    mid = lambda n, c: (F.col(f"{n}.{c}1") + F.col(f"{n}.{c}2")) / 2.0
+    tall = pair(h, "top", "bottom").where(mid("bottom", "y") > mid("top", "y") + height * 0.10)
+    wide = pair(v, "left", "right").where(mid("right", "x") > mid("left", "x") + width * 0.20)
+    quads = tall.join(wide, "page_id")
+    corners = {"tl": ("top", "left"), "tr": ("top", "right"), "br": ("bottom", "right"), "bl": ("bottom", "left")}
+    for name, (a, b) in corners.items():
+        x, y = _crossing(a, b)
+        quads = quads.withColumns({f"{name}x": x, f"{name}y": y})
+    quads = quads.where(" and ".join(f"{c}x between {mx} and {width - mx} and {c}y between {my} and {height - my}" for c in corners))
+    far = lambda a, b: F.sqrt((F.col(f"{a}x") - F.col(f"{b}x")) * (F.col(f"{a}x") - F.col(f"{b}x")) + (F.col(f"{a}y") - F.col(f"{b}y")) * (F.col(f"{a}y") - F.col(f"{b}y")))
+    quads = quads.withColumns({"qw": (far("tl", "tr") + far("bl", "br")) / 2.0, "qh": (far("tl", "bl") + far("tr", "br")) / 2.0})
+    middle = lambda axis, at, full: (sum((F.col(f"{c}{axis}") for c in ("tr", "br", "bl")), F.col(f"tl{axis}")) / 4.0 - at) / full
+    quads = quads.withColumns({"dx": middle("x", center[0], float(width)), "dy": middle("y", center[1], float(height))}).withColumn("off", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
+    quads = quads.where((F.col("qh") > 0) & (F.col("qw") / F.col("qh") >= 1.1) & (F.col("qw") >= width * 0.35) & (F.col("qh") >= height * 0.15) & (F.col("off") <= 0.55))
+    score = F.least(F.lit(2.0), F.col("qw") / width) + F.least(F.lit(1.2), F.col("qh") / height) - F.col("off") * 1.8 + F.least(F.lit(0.8), F.col("qw") / F.greatest(F.col("qh"), F.lit(1.0)) * 0.12)
+    ids = [F.col(f"{n}.line_id").alias(n) for n in ("top", "bottom", "left", "right")]
+    best = quads.select("page_id", score.alias("score"), *ids).where("score > -1").groupBy("page_id").agg(F.min(F.struct((-F.col("score")).alias("back"), "top", "bottom", "left", "right")).alias("m"))
+    return best.select("page_id", "m.top", "m.bottom", "m.left", "m.right", (-F.col("m.back")).alias("score"))
+
+
+def snapped(elements: DataFrame, lines: DataFrame) -> DataFrame:
+    """id, points: arrows, connectors and underlines with the longest line found inside them, where that is substantial.
+
+    ``elements``: id, element_type, w, h, points; ``lines``: id, x1, y1, x2, y2,
+    found in the element's image. An underline takes only flat lines, and always;
+    the others only if they have no path of their own.
     """
-    h, v = lines.where("horizontal"), lines.where("not horizontal")
-    named = lambda df, n: df.select("page_id", F.col("at").alias(n))
-    tall = named(h, "top").join(named(h, "bottom"), "page_id").where(F.col("bottom") - F.col("top") >= 20)
-    wide = named(v, "left").join(named(v, "right"), "page_id").where(F.col("right") - F.col("left") >= 20)
-    # The score is a product of the two sides' extents, so the best pair of each kind decides alone.
-    best = lambda df, a, b: df.groupBy("page_id").agg(F.max(F.struct((F.col(b) - F.col(a)).alias("extent"), (-F.col(a)).alias("back"), F.col(b).alias("far"))).alias("m")).select("page_id", (-F.col("m.back")).alias(a), F.col("m.far").alias(b))
-    return best(tall, "top", "bottom").join(best(wide, "left", "right"), "page_id")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    sized = lines.withColumns({"length": F.hypot(dx, dy), "angle": F.abs(F.degrees(F.atan2(dy.cast("double"), dx.cast("double"))))})
+    own = elements.where(F.col("element_type").isin("arrow", "connector", "underline")).select("id", "element_type", "w", "h", F.size("points").alias("n"))
+    fits = sized.join(own, "id").where((F.col("element_type") != "underline") | (F.col("angle") <= 25) | (F.col("angle") >= 155))
+    best = fits.groupBy("id", "element_type", "w", "h", "n").agg(F.min(F.struct((-F.col("length")).alias("back"), "x1", "y1", "x2", "y2")).alias("m"))
+    enough = (-F.col("m.back") >= F.greatest(F.lit(12.0), 0.45 * F.greatest("w", "h"))) & ((F.col("element_type") == "underline") | (F.col("n") < 2))
+    new = best.where(enough).select("id", F.array(F.array("m.x1", "m.y1"), F.array("m.x2", "m.y2")).alias("snapped"))
+    return elements.join(new, "id", "left").select("id", F.coalesce("snapped", "points").alias("points"))
 
 
 def skew_angle(lines: DataFrame, angle: Column) -> DataFrame:

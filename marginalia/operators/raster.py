@@ -7,6 +7,8 @@ given as a function, like the recognizer.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,19 +66,51 @@ def rotated(rasters: DataFrame, degrees: int) -> DataFrame:
     return _mapped(rasters, lambda gray: np.rot90(gray, -(degrees // 90) % 4))
 
 
-def profiles(rasters: DataFrame) -> DataFrame:
-    """page_id, axis, pos, ink: row and column sums of a raster / 255."""
+def otsu(gray: np.ndarray) -> int:
+    """The level that parts a raster's values into two classes with the largest variance between them; the lower class holds it."""
+    counts = np.bincount(gray.ravel(), minlength=256).astype(float)
+    below = counts.cumsum()
+    mass = (counts * np.arange(256)).cumsum()
+    above = below[-1] - below
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = below * above * (mass / below - (mass[-1] - mass) / above) ** 2
+    return int(np.nan_to_num(between).argmax())
+
+
+def _profiled(rasters: DataFrame, of: Callable[[np.ndarray], list[tuple[str, np.ndarray]]]) -> DataFrame:
+    """page_id, axis, pos, ink of the profiles that ``of`` makes of each raster; a frame for each batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for page, width, height, gray in zip(batch["page_id"], batch["width"], batch["height"], batch["gray"]):
-                whole = np.frombuffer(gray, np.uint8).reshape(height, width) / 255.0
-                for axis, own in (("row", whole.sum(1)), ("column", whole.sum(0))):
-                    yield pd.DataFrame({"page_id": page, "axis": axis, "pos": np.arange(len(own)), "ink": own})
+            made = [
+                (page, axis, own)
+                for page, width, height, gray in zip(batch["page_id"], batch["width"], batch["height"], batch["gray"])
+                for axis, own in of(np.frombuffer(gray, np.uint8).reshape(height, width))
+            ]
+            sizes = [len(own) for _, _, own in made]
+            yield pd.DataFrame({
+                "page_id": np.repeat([page for page, _, _ in made], sizes), "axis": np.repeat([axis for _, axis, _ in made], sizes),
+                "pos": np.concatenate([np.arange(n) for n in sizes] or [[]]).astype(int), "ink": np.concatenate([own for _, _, own in made] or [[]]),
+            })
 
     return rasters.select("page_id", "width", "height", "gray").mapInPandas(run, "page_id long, axis string, pos int, ink double")
 
 
+def profiles(rasters: DataFrame) -> DataFrame:
+    """page_id, axis, pos, ink: row and column sums of a raster / 255."""
+    return _profiled(rasters, lambda gray: [("row", (gray / 255.0).sum(1)), ("column", (gray / 255.0).sum(0))])
+
+
+def dark_rows(rasters: DataFrame) -> DataFrame:
+    """page_id, pos, ink: dark pixels of each row, by Otsu's level, in the middle 75 % of the width; rules at the margins stay out."""
+
+    def of(gray: np.ndarray) -> list[tuple[str, np.ndarray]]:
+        edge = gray.shape[1] // 8
+        return [("row", (gray[:, edge : gray.shape[1] - edge] <= otsu(gray)).sum(1).astype(float))]
+
+    return _profiled(rasters, of).drop("axis")
+
+
 def split_blobs(heights: np.ndarray, starts: np.ndarray, profile: np.ndarray) -> list[tuple[int, int]]:
     """Ink lines (start, stop): lines more than twice as high as the upper median are cut at the valleys of the profile."""
     if not len(heights):
@@ -130,31 +164,52 @@ def nearest_peaks(expected: DataFrame, peaks: DataFrame, least_gap: int) -> Data
     return expected.groupBy("page_id").cogroup(peaks.groupBy("page_id")).applyInPandas(of_page, "page_id long, i long, pos long")
 
 
-#: Functions that read, recognise, translate or summarise; one of each kind, made once for each Python worker.
-_PLUGINS: dict[str, Callable[[], Callable]] = {}
+#: What builds the function of a kind (decoder, recognizer, translator, summarizer), as registered on the driver.
+_PLUGINS: dict[str, tuple[str, Callable[[], Callable]]] = {}
+#: Functions of a Python worker, by registration.
 _MADE: dict[str, Callable] = {}
 
 
 def register(kind: str, make: Callable[[], Callable]) -> None:
-    """``make`` builds the function; it is called in the workers, so models are loaded there."""
-    _PLUGINS[kind] = make
-    _MADE.pop(kind, None)
+    """``make`` builds the function; it is called once in each Python worker, so models are loaded there. A new one takes the place of the old."""
+    _PLUGINS[kind] = (uuid.uuid4().hex, make)
 
 
 def available(kind: str) -> bool:
     return kind in _PLUGINS
 
 
-def recognized(pages: DataFrame, make: Callable[[], Callable[[bytes], str]], attempts: int = 2) -> DataFrame:
-    """(page_id, content) -> page_id, answer, error: the recognizer's answer, tried twice; failures are rows, not exceptions."""
+def plugin(kind: str) -> Callable[[], Callable]:
+    """What gives the registered function in a worker; built there at its first use."""
+    if kind not in _PLUGINS:
+        raise LookupError(f"no {kind} is registered")
+    token, make = _PLUGINS[kind]
+
+    def get() -> Callable:
+        if token not in _MADE:
+            _MADE[token] = make()
+        return _MADE[token]
+
+    return get
+
+
+def recognized(pages: DataFrame, kind: str = "recognizer", attempts: int = 2, pause: float = 1.0) -> DataFrame:
+    """(page_id, content) -> page_id, answer, error: the registered recognizer's answer.
+
+    A failing call is tried again after ``pause`` seconds; what fails in the end
+    is a row, not an exception. EMPTY is an empty answer.
+    """
+    get = plugin(kind)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        recognizer = _MADE.setdefault("recognizer", make())
+        recognizer = get()
         for batch in batches:
             rows = []
             for page, content in zip(batch["page_id"], batch["content"]):
                 answer, error = None, None
-                for _ in range(attempts):
+                for k in range(attempts):
+                    if k:
+                        time.sleep(pause)
                     try:
                         answer, error = recognizer(content), None
                         break

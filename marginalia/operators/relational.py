@@ -141,3 +141,52 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Rows of both by ``key``; where both have it, incoming values that are not null win."""
     joined = existing.alias("e").join(incoming.alias("i"), F.col(f"e.{key}") == F.col(f"i.{key}"), "full_outer")
     return joined.select(*[F.coalesce(f"i.{c}", f"e.{c}").alias(c) for c in existing.columns])
+
+
+def replaced(existing: DataFrame, fresh: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``existing`` with all rows of ``keys`` replaced by ``fresh``; a key without fresh rows has none left."""
+    return existing.join(keys.select(key).distinct(), key, "left_anti").select(*existing.columns).unionByName(fresh)
+
+
+def starts(log: DataFrame) -> DataFrame:
+    """id, page_id, decision of each request to process a page: blocked while it is being processed, else started.
+
+    ``log`` has id, page_id, ts and status; a request is a row with status
+    processing. After a request the page is in processing either way, so the
+    status before decides alone. :func:`streaming.status.decisions` is the same on a stream.
+    """
+    before = F.lag("status").over(Window.partitionBy("page_id").orderBy("ts", "id"))
+    decision = F.when(before == "processing", "blocked").otherwise("started")
+    return log.withColumn("decision", decision).where("status = 'processing'").select("id", "page_id", "decision")
+
+
+def _latest_versions(models: DataFrame) -> DataFrame:
+    return models.groupBy("user_id").agg(F.max("version").alias("resumed_from"))
+
+
+def calibrated(asked: DataFrame, models: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Rows that a calibration appends, and the training that it starts.
+
+    ``asked``: page_id, user_id, text, confidence (as recognised) and truth;
+    ``models``: user_id, version; ``corrections``: user_id and their number so
+    far. A row is both the result (text, confidence, model_version) and its
+    correction, and names the version to be trained with 3 epochs at 1e-4.
+    """
+    rows = asked.join(_latest_versions(models), "user_id", "left").join(corrections, "user_id", "left")
+    version = F.when(F.col("resumed_from").isNull(), "base").otherwise(F.concat(F.lit("user-v"), F.col("resumed_from").cast("string")))
+    fresh = F.count("*").over(Window.partitionBy("user_id"))
+    return rows.select(
+        "page_id", "user_id", F.coalesce("text", F.lit("")).alias("original_text"), F.col("truth").alias("corrected_text"), "confidence", version.alias("model_version"),
+        (F.coalesce("resumed_from", F.lit(0)) + 1).alias("new_version"), (F.coalesce("corrections", F.lit(0)) + fresh).alias("num_corrections"), F.lit(3).alias("epochs"), F.lit(1e-4).alias("learning_rate"),
+    )
+
+
+def training_settings(corrections: DataFrame, models: DataFrame) -> DataFrame:
+    """A user's training, from the number of corrections: hyper-parameters, the version made and the one resumed from (null: none)."""
+    rows = corrections.where("corrections > 0").join(_latest_versions(models), "user_id", "left")
+    n = F.col("corrections")
+    # Epochs, rates, decay and the adapter's rank and alpha.
+    return rows.select(
+        "user_id", "resumed_from", (F.coalesce("resumed_from", F.lit(0)) + 1).alias("version"), F.lit(3).alias("epochs"), F.least(F.lit(4), n).alias("batch_size"), F.greatest(F.lit(1), F.floor(n / 4)).alias("warmup_steps"),
+        F.lit(5e-5).alias("learning_rate"), F.lit(0.01).alias("weight_decay"), F.lit(8).alias("rank"), F.lit(16).alias("alpha"),
+    )

@@ -37,20 +37,24 @@ def segments(s, d):
     return L.line_segments(V.profiles(s, d))
 
 
-BOUNDS_SQL = """top AS (SELECT page_id, greatest(max(ink) * 0.01::DOUBLE, 1.0::DOUBLE) AS threshold, count(*) AS size FROM v_profile GROUP BY 1),
-edges AS (SELECT p.page_id, any_value(size) AS size, min(pos) FILTER (ink >= threshold) AS first_, max(pos) FILTER (ink >= threshold) AS last_ FROM v_profile p JOIN top USING (page_id) GROUP BY 1),
-bounds AS (SELECT page_id, size, greatest(0, first_ - CAST(floor(size * 0.03::DOUBLE) AS BIGINT)) AS low, least(size, last_ + CAST(floor(size * 0.03::DOUBLE) AS BIGINT)) AS high FROM edges)"""
+# The next page's profile stands for the page's columns.
+BOUNDS_SQL = """axes AS (SELECT page_id, 'y' AS axis, pos, ink FROM v_profile UNION ALL SELECT page_id - 1, 'x', pos, ink FROM v_profile),
+t AS (SELECT page_id, axis, greatest(max(ink) * 0.01::DOUBLE, 1.0::DOUBLE) AS least_, count(*) AS size FROM axes GROUP BY 1, 2),
+e AS (SELECT b.page_id, b.axis, size, greatest(0, min(pos) FILTER (ink >= least_) - floor(size * 0.03::DOUBLE)) AS low, least(size, max(pos) FILTER (ink >= least_) + floor(size * 0.03::DOUBLE)) AS high FROM axes b JOIN t ON b.page_id = t.page_id AND b.axis = t.axis GROUP BY 1, 2, 3),
+j AS (SELECT y.page_id, x.low AS x1, x.high AS x2, y.low AS y1, y.high AS y2, (x.high - x.low) * (y.high - y.low) <= x.size * y.size * 0.9::DOUBLE AS useful FROM e x JOIN e y ON x.page_id = y.page_id AND x.axis = 'x' AND y.axis = 'y'),
+bounds AS (SELECT page_id, CAST(CASE WHEN useful THEN x1 END AS BIGINT) AS x, CAST(CASE WHEN useful THEN y1 END AS BIGINT) AS y, CAST(CASE WHEN useful THEN x2 - x1 END AS BIGINT) AS w, CAST(CASE WHEN useful THEN y2 - y1 END AS BIGINT) AS h FROM j)"""
 
 
-@query("img3_content_bounds", f"WITH {BOUNDS_SQL} SELECT page_id, CASE WHEN high - low <= size * 0.9::DOUBLE THEN low END AS low, CASE WHEN high - low <= size * 0.9::DOUBLE THEN high END AS high FROM bounds")
+@query("img3_content_bounds", f"WITH {BOUNDS_SQL} SELECT * FROM bounds")
 def bounds(s, d):
-    return L.content_bounds(V.profiles(s, d))
+    p = V.profiles(s, d)
+    return L.content_bounds(p, p.withColumn("page_id", F.col("page_id") - 1))
 
 
-@query("img12_auto_crop", f"WITH {BOUNDS_SQL} SELECT page_id, CASE WHEN high - low <= size * 0.9::DOUBLE THEN low ELSE 0 END AS crop_y, CASE WHEN high - low <= size * 0.9::DOUBLE THEN high - low ELSE 64 END AS crop_h FROM bounds")
+@query("img12_auto_crop", f"WITH {BOUNDS_SQL} SELECT page_id, coalesce(x, 0) AS crop_x, coalesce(y, 0) AS crop_y, coalesce(w, 64) AS crop_w, coalesce(h, 64) AS crop_h FROM bounds")
 def auto_crop(s, d):
-    b = L.content_bounds(V.profiles(s, d))
-    return b.select("page_id", F.coalesce("low", F.lit(0)).alias("crop_y"), F.coalesce(F.col("high") - F.col("low"), F.lit(64)).alias("crop_h"))
+    whole = {"x": 0, "y": 0, "w": 64, "h": 64}
+    return bounds(s, d).select("page_id", *[F.coalesce(c, F.lit(v).cast("long")).alias(f"crop_{c}") for c, v in whole.items()])
 
 
 @query("img11_row_projection", "SELECT page_id, sum(ink) AS total, max(ink) AS top FROM v_profile GROUP BY 1")
@@ -84,15 +88,52 @@ def strikes(s, d):
     return L.strike_through(r, strokes)
 
 
-@query("jn13_best_quad", """WITH h AS (SELECT page_id, y AS at FROM v_visual WHERE element_type IN ('arrow', 'underline')), v AS (SELECT page_id, x AS at FROM v_visual WHERE element_type IN ('table', 'circle')),
-tall AS (SELECT a.page_id, a.at AS top, b.at AS bottom FROM h a JOIN h b ON a.page_id = b.page_id AND b.at - a.at >= 20), wide AS (SELECT a.page_id, a.at AS left_, b.at AS right_ FROM v a JOIN v b ON a.page_id = b.page_id AND b.at - a.at >= 20),
-t AS (SELECT DISTINCT page_id, top, bottom FROM tall QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY bottom - top DESC, top, bottom DESC) = 1), w AS (SELECT page_id, left_, right_ FROM wide QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY right_ - left_ DESC, left_, right_ DESC) = 1)
-SELECT t.page_id, top, bottom, left_ AS "left", right_ AS "right" FROM t JOIN w ON t.page_id = w.page_id""")
+# Lines of a page of 1000 x 750, a little askew: arrows and underlines lie, tables and circles stand.
+QUAD_SQL = """WITH l AS (SELECT page_id, id AS line_id, element_type IN ('arrow', 'underline') AS horizontal, CASE WHEN element_type IN ('arrow', 'underline') THEN 100 ELSE x END AS x1, CASE WHEN element_type IN ('arrow', 'underline') THEN y ELSE 80 END AS y1,
+  CASE WHEN element_type IN ('arrow', 'underline') THEN 900 ELSE x + id % 7 END AS x2, CASE WHEN element_type IN ('arrow', 'underline') THEN y + id % 5 ELSE 660 END AS y2 FROM v_visual WHERE element_type <> 'box' AND id % 8 = 0),
+i AS (SELECT * FROM l WHERE least(x1, x2) > 60 AND greatest(x1, x2) < 940 AND least(y1, y2) > 45 AND greatest(y1, y2) < 705),
+tall AS (SELECT a.page_id, a AS t, b AS b FROM i a JOIN i b ON a.page_id = b.page_id AND a.horizontal AND b.horizontal AND (b.y1 + b.y2) / 2.0::DOUBLE > (a.y1 + a.y2) / 2.0::DOUBLE + 75),
+wide AS (SELECT a.page_id, a AS l, b AS r FROM i a JOIN i b ON a.page_id = b.page_id AND NOT a.horizontal AND NOT b.horizontal AND (b.x1 + b.x2) / 2.0::DOUBLE > (a.x1 + a.x2) / 2.0::DOUBLE + 200),
+q AS (SELECT tall.page_id, t, b, l, r, {corners} FROM tall JOIN wide ON tall.page_id = wide.page_id),
+z AS (SELECT *, (sqrt((tlx - trx) * (tlx - trx) + (tly - try_) * (tly - try_)) + sqrt((blx - brx) * (blx - brx) + (bly - bry) * (bly - bry))) / 2.0::DOUBLE AS qw,
+  (sqrt((tlx - blx) * (tlx - blx) + (tly - bly) * (tly - bly)) + sqrt((trx - brx) * (trx - brx) + (try_ - bry) * (try_ - bry))) / 2.0::DOUBLE AS qh, ((tlx + trx + brx + blx) / 4.0::DOUBLE - 500) / 1000.0::DOUBLE AS dx, ((tly + try_ + bry + bly) / 4.0::DOUBLE - 375) / 750.0::DOUBLE AS dy FROM q
+  WHERE least(tlx, trx, brx, blx) >= 60 AND greatest(tlx, trx, brx, blx) <= 940 AND least(tly, try_, bry, bly) >= 45 AND greatest(tly, try_, bry, bly) <= 705),
+s AS (SELECT *, least(2.0::DOUBLE, qw / 1000) + least(1.2::DOUBLE, qh / 750) - sqrt(dx * dx + dy * dy) * 1.8::DOUBLE + least(0.8::DOUBLE, qw / greatest(qh, 1.0::DOUBLE) * 0.12::DOUBLE) AS score FROM z
+  WHERE qh > 0 AND qw / qh >= 1.1::DOUBLE AND qw >= 350 AND qh >= 112.5::DOUBLE AND sqrt(dx * dx + dy * dy) <= 0.55::DOUBLE)
+SELECT page_id, t.line_id AS top, b.line_id AS bottom, l.line_id AS "left", r.line_id AS "right", CAST(floor(score * 1000 + 0.5::DOUBLE) AS BIGINT) AS permille FROM s WHERE score > -1
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, t.line_id, b.line_id, l.line_id, r.line_id) = 1"""
+
+
+def _corner(name: str, a: str, b: str) -> str:
+    den = f"(({a}.x1 - {a}.x2) * ({b}.y1 - {b}.y2) - ({a}.y1 - {a}.y2) * ({b}.x1 - {b}.x2))::DOUBLE"
+    both = lambda p: f"(({a}.x1 * {a}.y2 - {a}.y1 * {a}.x2) * ({b}.{p}1 - {b}.{p}2) - ({a}.{p}1 - {a}.{p}2) * ({b}.x1 * {b}.y2 - {b}.y1 * {b}.x2))::DOUBLE / {den}"
+    return f"{both('x')} AS {name}x, {both('y')} AS {'try_' if name == 'tr' else name + 'y'}"
+
+
+@query("jn13_best_quad", QUAD_SQL.replace("{corners}", ", ".join(_corner(*c) for c in (("tl", "t", "l"), ("tr", "t", "r"), ("br", "b", "r"), ("bl", "b", "l")))))
 def quads(s, d):
-    v = V.visuals(s, d)
-    h = F.col("element_type").isin("arrow", "underline")
-    lines = v.where(h | F.col("element_type").isin("table", "circle")).select("page_id", F.col("id").alias("line_id"), h.alias("horizontal"), F.when(h, F.col("y")).otherwise(F.col("x")).alias("at"))
-    return L.best_quad(lines)
+    h, i = F.col("element_type").isin("arrow", "underline"), F.col("id")
+    found = V.visuals(s, d).where((F.col("element_type") != "box") & (i % 8 == 0)).select(
+        "page_id", i.alias("line_id"), h.alias("horizontal"), F.when(h, 100).otherwise(F.col("x")).alias("x1"), F.when(h, F.col("y")).otherwise(80).alias("y1"),
+        F.when(h, 900).otherwise(F.col("x") + i % 7).alias("x2"), F.when(h, F.col("y") + i % 5).otherwise(660).alias("y2"),
+    )
+    out = L.best_quad(found, 1000, 750, (500.0, 375.0))
+    return out.select("page_id", "top", "bottom", "left", "right", F.floor(F.col("score") * 1000 + 0.5).alias("permille"))
+
+
+@query("geo4_snapped_lines", """WITH e AS (SELECT id, element_type, w, h, id % 3 AS n FROM v_visual), c AS (SELECT id, k, id % 50 AS x1, (id * k) % 40 AS y1, id % 50 + (id * 7 * k) % 90 AS x2, (id * k) % 40 + (id % 11) * k AS y2 FROM v_visual, (SELECT unnest([1, 2, 3]) AS k)),
+m AS (SELECT c.*, e.element_type, e.w, e.h, e.n, sqrt(((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))::DOUBLE) AS len, abs(degrees(atan2((y2 - y1)::DOUBLE, (x2 - x1)::DOUBLE))) AS angle FROM c JOIN e USING (id) WHERE e.element_type IN ('arrow', 'underline')),
+b AS (SELECT * FROM m WHERE element_type <> 'underline' OR angle <= 25 OR angle >= 155 QUALIFY row_number() OVER (PARTITION BY id ORDER BY len DESC, x1, y1, x2, y2) = 1),
+t AS (SELECT id, x1 || ' ' || y1 || ' ' || x2 || ' ' || y2 AS path FROM b WHERE len >= greatest(12.0::DOUBLE, 0.45::DOUBLE * greatest(w, h)) AND (element_type = 'underline' OR n < 2))
+SELECT e.id, coalesce(t.path, CASE e.n WHEN 0 THEN '' WHEN 1 THEN '1 2' ELSE '1 2 3 4' END) AS path FROM e LEFT JOIN t USING (id)""")
+def snapped(s, d):
+    i, v = F.col("id"), V.visuals(s, d)
+    points = F.slice(F.array(F.array(F.lit(1).cast("long"), F.lit(2).cast("long")), F.array(F.lit(3).cast("long"), F.lit(4).cast("long"))), F.lit(1), (i % 3).cast("int"))
+    lines = v.select("id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+    k = F.col("k")
+    lines = lines.select("id", (i % 50).alias("x1"), ((i * k) % 40).alias("y1"), (i % 50 + (i * 7 * k) % 90).alias("x2"), ((i * k) % 40 + (i % 11) * k).alias("y2"))
+    out = L.snapped(v.select("id", "element_type", "w", "h", points.alias("points")), lines)
+    return out.select("id", F.array_join(F.transform(F.flatten("points"), lambda x: x.cast("string")), " ").alias("path"))
 
 
 @query("geo9_skew_angle", """WITH a AS (SELECT page_id, (id % 61 - 30) / 2.0::DOUBLE AS a FROM v_visual), m AS (SELECT page_id, count(*) AS n, quantile_cont(a, 0.5) AS m FROM a WHERE abs(a) < 15 GROUP BY 1)

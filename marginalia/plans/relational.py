@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import geometry as G
 from ..operators import relational as R
 from ..sources import views as V
+from ..streaming import status as ST
 from .registry import query
 
 USER = 3
@@ -282,12 +283,13 @@ def spacing(s, d):
     return gaps.join(med, "page_id").groupBy("page_id").agg(F.first("m").alias("median_gap"), F.min(near).alias("first_y"))
 
 
-@query("win8_word_boxes", """WITH words AS (SELECT id, x, w, word, i, greatest(1, length(word)) AS weight FROM (SELECT id, x, w, unnest(string_split(trim(text), ' ')) AS word, unnest(range(len(string_split(trim(text), ' ')))) AS i FROM v_result)),
-run AS (SELECT *, sum(weight * 10 + 7) OVER (PARTITION BY id ORDER BY i) - (weight * 10 + 7) AS before_, sum(weight * 10 + 7) OVER (PARTITION BY id) - 7 AS total FROM words)
-SELECT id, CAST(i AS INTEGER) AS i, word, CAST(x + floor(before_ * w::DOUBLE / total::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS word_x, CAST(greatest(1, floor(weight * 10 * w::DOUBLE / total::DOUBLE + 0.5::DOUBLE)) AS BIGINT) AS word_w FROM run""")
+@query("win8_word_boxes", r"""WITH split AS (SELECT id, x, w, text, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS ws FROM v_result),
+words AS (SELECT id, x, w, len(ws) > 1 AND w >= 40 AS cut, unnest(CASE WHEN len(ws) > 1 AND w >= 40 THEN ws ELSE list_value(text) END) AS word, unnest(range(CASE WHEN len(ws) > 1 AND w >= 40 THEN len(ws) ELSE 1 END)) AS i FROM split),
+run AS (SELECT *, greatest(1, length(word)) * 10 AS weight, sum(greatest(1, length(word)) * 10 + 7) OVER (PARTITION BY id ORDER BY i) - (greatest(1, length(word)) * 10 + 7) AS before_, sum(greatest(1, length(word)) * 10 + 7) OVER (PARTITION BY id) - 7 AS total FROM words),
+ends AS (SELECT *, round_even(x + before_ * w::DOUBLE / total::DOUBLE, 0) AS a, round_even(x + before_ * w::DOUBLE / total::DOUBLE + weight * w::DOUBLE / total::DOUBLE, 0) AS b FROM run)
+SELECT id, CAST(i AS INTEGER) AS i, word, CAST(CASE WHEN cut THEN a ELSE x END AS BIGINT) AS word_x, CAST(CASE WHEN cut THEN greatest(1, b - a) ELSE w END AS BIGINT) AS word_w FROM ends""")
 def word_boxes(s, d):
-    words = V.results(s, d).select("id", "x", "w", F.posexplode(F.split(F.trim("text"), " ", -1)).alias("i", "word"))
-    return G.word_boxes(words, "id").select("id", "i", "word", "word_x", "word_w")
+    return G.word_boxes(V.results(s, d))
 
 
 @query("win9_extrapolated_lines", """WITH last AS (SELECT page_id, max(y) AS last_y, count(*) AS k FROM v_result GROUP BY 1)
@@ -308,10 +310,13 @@ def latest_text(s, d):
     return R.latest_text(V.results(s, d), V.corrections(s, d)).select("id", "text")
 
 
-@query("dml2_reprocess", "SELECT id, text FROM v_result WHERE page_id <> 3000 UNION ALL SELECT id, lower(text) FROM v_result WHERE page_id = 3000")
+@query("dml2_reprocess", "SELECT id, page_id, text FROM v_result WHERE page_id % 1000 <> 0 UNION ALL SELECT id, page_id, lower(text) FROM v_result WHERE page_id % 1000 = 0 AND n % 2 = 0")
 def reprocess(s, d):
+    """First pages are recognised anew: their old results go, every other line comes back in lower case."""
     r = V.results(s, d)
-    return r.where("page_id <> 3000").select("id", "text").unionByName(r.where("page_id = 3000").select("id", F.lower("text").alias("text")))
+    first = r.where("page_id % 1000 = 0")
+    fresh = first.where("n % 2 = 0").select("id", "page_id", F.lower("text").alias("text"))
+    return R.replaced(r.select("id", "page_id", "text"), fresh, first.select("page_id"), "page_id")
 
 
 @query("dml3_rotate", "SELECT id, page_id FROM v_result WHERE page_id NOT IN (SELECT id FROM v_page WHERE page_number = 1)")
@@ -359,3 +364,47 @@ def status_report(s, d):
 @query("str3_notify_once", "SELECT DISTINCT page_id, status FROM v_status WHERE status IN ('done', 'error')")
 def notify_once(s, d):
     return V.status_log(s, d).where(F.col("status").isin("done", "error")).select("page_id", "status").dropDuplicates()
+
+
+@query("str1_double_start", """WITH before_ AS (SELECT *, lag(status) OVER (PARTITION BY page_id ORDER BY ts, id) AS was FROM v_status)
+SELECT id, page_id, CASE WHEN was = 'processing' THEN 'blocked' ELSE 'started' END AS decision FROM before_ WHERE status = 'processing'""")
+def double_start(s, d):
+    return R.starts(V.status_log(s, d))
+
+
+@query("dml8_calibration", """WITH asked AS (SELECT p.id AS page_id, d.user_id, 'line ' || p.document_id AS text, (p.id % 90) / 100.0::DOUBLE AS confidence, 'Line ' || p.document_id AS truth FROM v_page p JOIN v_document d ON d.id = p.document_id WHERE p.page_number = 1),
+latest AS (SELECT user_id, max(version) AS version FROM v_user_model GROUP BY 1), made AS (SELECT d.user_id, count(*) AS n FROM v_correction c JOIN v_result r ON r.id = c.result_id JOIN v_document d ON d.id = r.document_id GROUP BY 1)
+SELECT a.page_id, a.text AS original_text, a.truth AS corrected_text, CASE WHEN l.version IS NULL THEN 'base' ELSE 'user-v' || l.version END AS model_version, 'mixed' = 'x' AS from_gemini, coalesce(l.version, 0) + 1 AS new_version,
+  CAST(coalesce(m.n, 0) + count(*) OVER (PARTITION BY a.user_id) AS BIGINT) AS num_corrections FROM asked a LEFT JOIN latest l USING (user_id) LEFT JOIN made m USING (user_id)""".replace(", 'mixed' = 'x' AS from_gemini", ""))
+def calibration(s, d):
+    """Each document's first page is calibrated with a line of known text."""
+    docs = V.documents(s, d).select(F.col("id").alias("document_id"), "user_id")
+    asked = V.pages(s, d).where("page_number = 1").join(docs, "document_id").select(
+        F.col("id").alias("page_id"), "user_id", F.concat(F.lit("line "), F.col("document_id").cast("string")).alias("text"), ((F.col("id") % 90) / 100.0).alias("confidence"),
+        F.concat(F.lit("Line "), F.col("document_id").cast("string")).alias("truth"),
+    )
+    own = V.corrections(s, d).join(docs, "document_id").groupBy("user_id").agg(F.count("*").alias("corrections"))
+    rows = R.calibrated(asked, V.user_models(s, d), own)
+    return rows.select("page_id", "original_text", "corrected_text", "model_version", "new_version", "num_corrections")
+
+
+@query("dml9_training_settings", """WITH made AS (SELECT d.user_id, count(*) AS n FROM v_correction c JOIN v_result r ON r.id = c.result_id JOIN v_document d ON d.id = r.document_id GROUP BY 1), latest AS (SELECT user_id, max(version) AS version FROM v_user_model GROUP BY 1)
+SELECT user_id, l.version AS resumed_from, coalesce(l.version, 0) + 1 AS version, 3 AS epochs, CAST(least(4, n) AS BIGINT) AS batch_size, CAST(greatest(1, n // 4) AS BIGINT) AS warmup_steps, 0.00005::DOUBLE AS learning_rate, 0.01::DOUBLE AS weight_decay, 8 AS rank, 16 AS alpha
+FROM made m LEFT JOIN latest l USING (user_id)""")
+def training_settings(s, d):
+    docs = V.documents(s, d).select(F.col("id").alias("document_id"), "user_id")
+    own = V.corrections(s, d).join(docs, "document_id").groupBy("user_id").agg(F.count("*").alias("corrections"))
+    return R.training_settings(own, V.user_models(s, d))
+
+
+# Pages whose start was granted are worked on; every ninth fails.
+@query("str4_page_fan_out", """WITH before_ AS (SELECT *, lag(status) OVER (PARTITION BY page_id ORDER BY ts, id) AS was FROM v_status)
+SELECT DISTINCT page_id, CASE WHEN page_id % 9 = 0 THEN 'error' ELSE 'done' END AS status, CASE WHEN page_id % 9 = 0 THEN 'page ' || page_id ELSE 'read ' || page_id END AS message FROM before_ WHERE status = 'processing' AND was IS DISTINCT FROM 'processing'""")
+def page_fan_out(s, d):
+    def work(page: int) -> str:
+        if page % 9 == 0:
+            raise ValueError(f"page {page}")
+        return f"read {page}"
+
+    pages = double_start(s, d).where("decision = 'started'").select("page_id").distinct()
+    return ST.fan_out(pages, work, int(s.conf.get("spark.sql.shuffle.partitions")))

@@ -28,7 +28,7 @@ n AS (SELECT *, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS page_number F
 def listed(s, d):
     k = F.col("c_custkey")
     listing = V.table(s, d, "customer").select(
-        F.lit(0).alias("page"), k.alias("place"), k.cast("string").alias("id"), F.when(k % 3 == 0, "video/mp4").otherwise("image/png").alias("mime_type"),
+        F.floor(k / 100).alias("page"), (k % 100).alias("place"), k.cast("string").alias("id"), F.when(k % 3 == 0, "video/mp4").otherwise("image/png").alias("mime_type"),
         F.when(k % 7 != 0, F.concat(F.lit("https://x/"), k.cast("string"))).alias("url"),
     )
     return I.listed_images(listing)
@@ -41,11 +41,14 @@ def index_upsert(s, d):
     return SE.upsert_postings(SE.postings(r), fresh).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
 
 
-@query("snk2_index_rebuild", r"SELECT d.user_id, count(*) AS indexed FROM v_result r JOIN v_document d ON r.document_id = d.id WHERE len(regexp_extract_all(r.text, '[\pL\pN]+')) > 0 GROUP BY 1")
+# A stale index holds every other line; user 3's part is built anew from all of theirs.
+@query("snk2_index_rebuild", r"""WITH t AS (SELECT d.user_id, r.id, r.n, unnest(regexp_extract_all(lower(r.text), '[\pL\pN]+')) AS term, len(regexp_extract_all(lower(r.text), '[\pL\pN]+')) AS length FROM v_result r JOIN v_document d ON r.document_id = d.id)
+SELECT user_id, term, id, count(*) AS tf, CAST(any_value(length) AS INTEGER) AS length FROM t WHERE user_id = 3 OR n % 2 = 0 GROUP BY 1, 2, 3""")
 def index_rebuild(s, d):
     users = V.documents(s, d).select(F.col("id").alias("document_id"), "user_id")
-    rows = V.results(s, d).where(F.size(SE.tokens(F.col("text"))) > 0).join(users, "document_id")
-    return rows.groupBy("user_id").agg(F.count("*").alias("indexed"))
+    rows = V.results(s, d).join(users, "document_id").select("user_id", "id", "n", "text")
+    stale = SE.postings(rows.where("n % 2 = 0")).join(rows.select("id", "user_id"), "id")
+    return SE.rebuilt(stale, rows, 3)
 
 
 @query("img4_ink_lines")

@@ -62,6 +62,12 @@ def registry(s, d):
     return V.table(s, d, "region").select(F.col("r_regionkey").alias("id"), S.language_name(code).alias("language_name"), code.alias("language"))
 
 
+@query("lng7_source_language", f"""WITH {SPANS_SQL}, one AS (SELECT id, count(*) FILTER (language <> 'numeric') AS real_, arg_max(language, (score, -place)) AS best FROM by_language GROUP BY 1)
+SELECT id, CASE WHEN real_ > 1 THEN 'mixed' ELSE best END AS language, CASE WHEN real_ > 1 THEN 'Mixed' ELSE CASE best WHEN 'en' THEN 'English' WHEN 'ta' THEN 'Tamil' WHEN 'hi' THEN 'Hindi' WHEN 'bn' THEN 'Bengali' ELSE 'Number' END END AS language_name FROM one""")
+def source_language(s, d):
+    return S.source_language(script_texts(s, d))
+
+
 @query("lng8_result_json", f"WITH {SPANS_SQL} SELECT id, count(*) AS n_spans, min(span) AS least_span FROM spans GROUP BY 1")
 def result_json(s, d):
     packed = S.text_spans(script_texts(s, d)).groupBy("id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("place", "span", "script")))).alias("json"))
@@ -168,10 +174,34 @@ def build_context(s, d):
     return c.select("id", "c.domain", "c.confidence", F.floor(F.col("c.score_margin") * 10 + 0.5).alias("margin_tenths"), (F.size("c.vocabulary") > 0).alias("has_vocabulary"))
 
 
-@query("dom8_prompt", "WITH " + DOMAIN_SQL + """ SELECT id, 'Domain: ' || CASE WHEN confidence >= 0.62::DOUBLE THEN domain ELSE 'general' END || ' (' || CAST(CAST(floor(CASE WHEN confidence >= 0.62::DOUBLE THEN confidence ELSE 0.0::DOUBLE END * 100 + 0.5::DOUBLE) AS INTEGER) AS VARCHAR) || ' %)' AS prompt FROM sure""")
+def _found_sql(terms: list[str]) -> str:
+    """The terms that occur in ``norm``, in their order."""
+    pairs = ", ".join(f"{{'t': '{t}', 'p': '{D.plain(t)}'}}" for t in terms)
+    return f"list_transform(list_filter([{pairs}], lambda x: contains(norm, x.p) AND regexp_matches(norm, '(^|[^a-z0-9])' || x.p || '($|[^a-z0-9])')), lambda x: x.t)"
+
+
+def _by_domain(expr) -> str:
+    return "CASE s.domain " + " ".join(f"WHEN '{name}' THEN {expr(name)}" for name in D.DOMAINS) + " END"
+
+
+def _vocabulary_sql(name: str) -> str:
+    terms = D.DOMAINS[name][1]
+    found = _found_sql(sorted(terms, key=lambda t: (" " not in D.plain(t), len(t))))
+    return f"CASE WHEN len({found}) > 0 THEN {found} ELSE [{', '.join(repr(t) for t in terms[:12])}] END"
+
+
+PROMPT_SQL = "WITH " + DOMAIN_SQL + f""",
+sided AS (SELECT id, list(domain || ' (evidence score ' || CAST(score / 10.0::DOUBLE AS VARCHAR) || ')' ORDER BY k) FILTER (score > 0) AS ds, list(domain ORDER BY k) FILTER (score > 0) AS names FROM ranked GROUP BY 1),
+told AS (SELECT s.id, s.confidence, s.confidence >= 0.62::DOUBLE AS sure, s.domain, {_by_domain(lambda n: f"'{D.GUIDANCE[n]}'")} AS guidance,
+  {_by_domain(lambda n: _found_sql(list(dict.fromkeys([*D.DOMAINS[n][0], *D.DOMAINS[n][1]]))))}[1:12] AS clues, {_by_domain(_vocabulary_sql)}[1:24] AS vocabulary, d.ds FROM sure s JOIN sided d USING (id))
+SELECT id, 'DOMAIN HYPOTHESIS: ' || CASE WHEN sure THEN domain ELSE 'general' END || printf(' (confidence %.2f)', round_even(confidence, 2)) || chr(10) || 'DOMAIN GUIDANCE: ' || CASE WHEN sure THEN guidance ELSE '{D.WEAK}' END
+  || chr(10) || 'OBSERVED DOMAIN CLUES IN CANDIDATE: ' || CASE WHEN sure AND len(clues) > 0 THEN array_to_string(clues, ', ') ELSE 'none' END || chr(10) || 'RELEVANT VOCABULARY: ' || CASE WHEN sure THEN array_to_string(vocabulary, ', ') ELSE 'none' END
+  || chr(10) || 'COMPETING DOMAINS: ' || coalesce(nullif(array_to_string(CASE WHEN sure THEN ds[2:3] ELSE ds[1:2] END, ', '), ''), 'none') || chr(10) || '{D.RULES.replace("'", "''")}' AS prompt FROM told"""
+
+
+@query("dom8_prompt", PROMPT_SQL)
 def prompt(s, d):
-    f = domain_texts(s, d).select("id", D.detected(F.col("text")).alias("f"))
-    return f.select("id", F.format_string("Domain: %s (%s %%)", F.col("f.domain"), F.floor(F.col("f.confidence") * 100 + 0.5).cast("string")).alias("prompt"))
+    return domain_texts(s, d).select("id", D.bound(D.context(F.col("text")), D.prompt).alias("prompt"))
 
 
 @query("dom9_profile_lookup", """SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'legal' WHEN 1 THEN 'finance' END AS profile FROM nation""")
@@ -280,6 +310,30 @@ def ranked_search(s, d):
     return SE.search(V.results(s, d).join(own, "document_id", "left_semi"), "the ention und ingly", limit=30)
 
 
+# The stemmed terms are beyond SQL; a plain stemmer and ranking are held against it in the tests.
+@query("txt1_stemmed_search")
+def stemmed_search(s, d):
+    docs = V.documents(s, d)
+    own = docs.where("user_id = 3").select(F.col("id").alias("document_id"))
+    r = V.results(s, d).join(own, "document_id", "left_semi")
+    return SE.hydrated(SE.search(r, "agreements running und ingly", limit=30, stem=True), r, docs)
+
+
+@query("txt1_hydrated_search", r"""WITH tok AS (SELECT id, document_id, unnest(regexp_extract_all(lower(text), '[\pL\pN]+')) AS t FROM v_result),
+own AS (SELECT tok.id, tok.t FROM tok JOIN v_document d ON d.id = tok.document_id WHERE d.user_id = 5),
+n AS (SELECT count(DISTINCT id)::DOUBLE AS n, count(*)::DOUBLE / count(DISTINCT id)::DOUBLE AS avg_len FROM own),
+len AS (SELECT id, count(*) AS len FROM own GROUP BY 1), tf AS (SELECT id, t, count(*) AS tf FROM own WHERE t IN ('les', 'ment', 'der') GROUP BY 1, 2),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT tf.id, CAST(sum(floor(ln(1 + (n.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len.len / n.avg_len)) * 1000000)) AS BIGINT) AS score FROM tf JOIN df USING (t) JOIN len ON len.id = tf.id CROSS JOIN n GROUP BY 1),
+best AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM s ORDER BY score DESC, id LIMIT 30)
+SELECT b.rank, b.id, b.score, r.page_id, r.document_id, d.name AS document_name, r.text, r.confidence, r.x, r.y, r.w, r.h FROM best b JOIN v_result r ON r.id = b.id JOIN v_document d ON d.id = r.document_id""")
+def hydrated_search(s, d):
+    docs = V.documents(s, d)
+    own = docs.where("user_id = 5").select(F.col("id").alias("document_id"))
+    r = V.results(s, d).join(own, "document_id", "left_semi")
+    return SE.hydrated(SE.search(r, "les ment der", limit=30), r, docs)
+
+
 @query("txt2_highlight", "SELECT id, regexp_replace(text, '(?i)(the)', '<mark>\\1</mark>', 'g') AS marked, len(regexp_extract_all(text, '(?i)the')) AS hits FROM v_result")
 def highlight(s, d):
     return V.results(s, d).select("id", T.highlighted(F.col("text"), "the").alias("marked"), F.regexp_count("text", F.lit("(?i)the")).cast("long").alias("hits"))
@@ -327,9 +381,11 @@ def ordered_dedup(s, d):
     return V.results(s, d).select("id", F.array_join(F.array_distinct(F.split("text", " ", -1)), " ").alias("deduped"))
 
 
-@query("sum1_summary_request", "SELECT id, length(text) BETWEEN 1 AND 50000 AS accepted, trim(text) AS request FROM v_result")
-def summary_request(s, d):
-    return V.results(s, d).select("id", F.length("text").between(1, 50000).alias("accepted"), F.trim("text").alias("request"))
+# A summary's plug-in stands for the model: it gives the first sentence.
+@query("sum1_summary", f"""WITH {SPANS_SQL}, one AS (SELECT id, count(*) FILTER (language <> 'numeric') AS real_, arg_max(language, (score, -place)) AS best FROM by_language GROUP BY 1)
+SELECT v.id, 'summarized' AS status, CASE WHEN real_ > 1 THEN 'mixed' ELSE best END AS language, trim(regexp_extract(text, '^[^.]*')) AS summary FROM v_script v JOIN one USING (id)""")
+def summary(s, d):
+    return T.summaries(script_texts(s, d), S.source_language, lambda text, _language: text.split(".")[0]).select("id", "status", "language", "summary")
 
 
 @query("src3_camera_capture", "SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.webp' ELSE '.png' END AS extension, n_name AS body FROM nation")

@@ -69,7 +69,13 @@ def listing_source(client: Callable[[str | None], dict], tokens: Callable[[], li
 
 
 def listed_images(listing: DataFrame) -> DataFrame:
-    """Images of a listing that have a URL; page_number is the place among images, gaps where a URL is missing."""
+    """Images of a listing that have a URL; page_number is the place among images, gaps where a URL is missing.
+
+    Images are counted by page of the listing first; places are numbered inside
+    a page only, from the sum of the pages before.
+    """
     images = listing.where(F.col("mime_type").startswith("image/"))
-    numbered = images.withColumn("page_number", F.row_number().over(Window.orderBy("page", "place")))
+    before = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    counts = images.groupBy("page").agg(F.count("*").alias("n")).select("page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row for each page
+    numbered = images.join(counts, "page").withColumn("page_number", (F.col("before") + F.row_number().over(Window.partitionBy("page").orderBy("place"))).cast("int"))
     return numbered.where(F.coalesce("url", F.lit("")) != "").select("page_number", "id", "url")

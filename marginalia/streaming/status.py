@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -44,6 +44,43 @@ def latest(log: DataFrame) -> DataFrame:
     return log.groupBy("page_id").applyInPandasWithState(update, "page_id long, status string, id long", "at long, id long, status string", "update", GroupStateTimeout.NoTimeout)
 
 
+def decisions(log: DataFrame) -> DataFrame:
+    """id, page_id, decision of each request (status processing): blocked while the page is being processed, else started.
+
+    State is a page's last (time, id, status). Changes of one trigger are taken
+    in order of time; what comes later than a newer trigger is judged by the
+    state that it finds.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, out = (state.get[0] if state.exists else None), []
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        for i, new in zip(rows["id"], rows["status"]):
+            if new == "processing":
+                out.append((int(i), key[0], "blocked" if status == "processing" else "started"))
+            status = new
+        state.update((status,))
+        yield pd.DataFrame(out, columns=["id", "page_id", "decision"])
+
+    return log.groupBy("page_id").applyInPandasWithState(update, "id long, page_id long, decision string", "status string", "append", GroupStateTimeout.NoTimeout)
+
+
+def fan_out(started: DataFrame, work: Callable[[int], str], partitions: int) -> DataFrame:
+    """(page_id) -> page_id, status, message: ``work`` on each page, spread by page; a failing page is an error row and stops no other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page in batch["page_id"]:
+                try:
+                    rows.append((page, "done", work(int(page))))
+                except Exception as e:  # the work may raise anything
+                    rows.append((page, "error", str(e)))
+            yield pd.DataFrame(rows, columns=["page_id", "status", "message"])
+
+    return started.select("page_id").repartition(partitions, "page_id").mapInPandas(run, "page_id long, status string, message string")
+
+
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Drives a stream over all that is there and returns what it gave; for tests and batch catch-up."""
     spark = stream.sparkSession

@@ -9,7 +9,8 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from marginalia.functions import domain as D, evidence as E, script as S, text as T
-from marginalia.operators import layout as L, names as N, raster as RA, relational as R
+from marginalia.functions.stem import porter
+from marginalia.operators import layout as L, names as N, raster as RA, relational as R, search as SE
 
 
 def one(spark, column):
@@ -205,16 +206,157 @@ def test_diversity(spark):
     assert got == [(0, 1), (2, 2), (1, 3)]
 
 
-def test_plugin_failures_are_rows(spark):
-    pages = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"bad"))], "page_id long, content binary")
+def test_plugin_failures_are_rows(spark, tmp_path):
+    pages = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"bad")), (3, bytearray(b"once"))], "page_id long, content binary")
+    marks = str(tmp_path)
 
     def make():
+        import pathlib
+        import uuid
+
+        pathlib.Path(marks, f"made-{uuid.uuid4().hex}").touch()
+        tried = set()
+
         def read(content):
             if content == b"bad":
                 raise ValueError("no")
-            return "EMPTY"
+            if content == b"once" and content not in tried:
+                tried.add(content)
+                raise ValueError("busy")
+            return "EMPTY" if content == b"ok" else "second"
 
         return read
 
-    got = {r.page_id: (r.answer, r.error) for r in RA.recognized(pages, make).collect()}
-    assert got == {1: ("", None), 2: (None, "no")}
+    with pytest.raises(LookupError):
+        RA.recognized(pages, "nothing")
+    RA.register("recognizer", make)
+    assert RA.available("recognizer") and not RA.available("nothing")
+    for _ in range(2):
+        got = {r.page_id: (r.answer, r.error) for r in RA.recognized(pages.coalesce(1), pause=0).collect()}
+    assert got == {1: ("", None), 2: (None, "no"), 3: ("second", None)}
+    assert len(list(tmp_path.iterdir())) <= 4  # once for each worker, not for each task
+
+
+def test_otsu_and_dark_rows(spark):
+    rng = np.random.default_rng(2)
+    gray = np.where(rng.random((40, 64)) < 0.2, rng.integers(10, 70, (40, 64)), rng.integers(170, 250, (40, 64))).astype(np.uint8)
+
+    def between(level):
+        low, high = gray[gray <= level].astype(float), gray[gray > level].astype(float)
+        return len(low) * len(high) * (low.mean() - high.mean()) ** 2 if len(low) and len(high) else 0
+
+    level = max(range(256), key=between)
+    assert RA.otsu(gray) == level and RA.otsu(np.full((3, 3), 7, np.uint8)) == 0
+    rows = RA.dark_rows(spark.createDataFrame([(1, 64, 40, bytearray(gray.tobytes()))], RA.RASTER)).orderBy("pos").collect()
+    assert [r.ink for r in rows] == [float((gray[y, 8:56] <= level).sum()) for y in range(40)]
+
+
+def test_ordered_match_and_nearest_peaks_by_loops(spark):
+    rng = random.Random(3)
+    texts = [(p, i, 40.0 * i + rng.uniform(-15, 15)) for p in range(12) for i in range(rng.randint(1, 12))]
+    inks = [(p, j, 40.0 * j + rng.uniform(-25, 25), rng.choice([30.0, 36.0, 40.0, 200.0])) for p in range(12) for j in range(rng.randint(0, 12))]
+    peaks = [(p, int(c)) for p, _, c, _ in inks]
+    expected, near = {}, {}
+    for p in range(12):
+        own = sorted((gy, i) for q, i, gy in texts if q == p)
+        ink = sorted((c, j, h) for q, j, c, h in inks if q == p)
+        heights = sorted(h for _, _, h in ink)
+        ink = [x for x in ink if x[2] <= 2.5 * heights[len(heights) // 2]]
+        gaps = sorted(b[0] - a[0] for a, b in zip(ink, ink[1:]))
+        reach, at = 2 * int(1.5 * (gaps[len(gaps) // 2] if gaps else 40)), 0
+        for gy, i in own:
+            hit = at < len(ink) and abs(gy - ink[at][0]) < reach
+            expected[p, i] = ink[at][1] if hit else None
+            at += hit
+        places, last = sorted(x for q, x in peaks if q == p), None
+        for gy, i in own:
+            free = [x for x in places if last is None or x >= last + 20]
+            near[p, i] = min(free, key=lambda x: (abs(x - gy), x)) if free else None
+            last = last if near[p, i] is None else near[p, i]
+    t = spark.createDataFrame(texts, "page_id long, i long, gy double")
+    got = L.match_ordered(t, spark.createDataFrame(inks, "page_id long, j long, center double, height double")).collect()
+    assert {(r.page_id, r.i): r.j for r in got} == expected
+    got = RA.nearest_peaks(t.withColumnRenamed("gy", "at"), spark.createDataFrame(peaks, "page_id long, pos long"), 20).collect()
+    assert {(r.page_id, r.i): r.pos for r in got} == near
+
+
+def test_diverse_by_a_loop(spark):
+    rng = random.Random(6)
+    rows = [(g, 100 * g + i, "".join(rng.choice("ab ") for _ in range(rng.randint(1, 7))), rng.choice([0.1, 0.5, 0.9])) for g in range(5) for i in range(40)]
+    grams = lambda t: {t.strip()[k : k + 2] for k in range(max(1, len(t.strip()) - 1))}
+    expected = []
+    for g in range(5):
+        own, picked, skipped = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1])), [], []
+        for r in own:
+            alike = [len(grams(r[2]) & grams(o[2])) / len(grams(r[2]) | grams(o[2])) for o in picked]
+            (skipped if any(x > 0.7 for x in alike) or len(picked) == 6 else picked).append(r)
+        expected += [(g, r[1], k) for k, r in enumerate((picked + skipped)[:6], 1)]
+    got = L.diverse(spark.createDataFrame(rows, "group long, id long, text string, score double"), 6).collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_stems_and_stemmed_search(spark):
+    # Pairs of the algorithm's own description.
+    known = {
+        "caresses": "caress", "ponies": "poni", "ties": "ti", "caress": "caress", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing",
+        "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "tanned": "tan", "falling": "fall", "hissing": "hiss", "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi", "sky": "sky",
+        "relational": "relat", "conditional": "condit", "rational": "ration", "valenci": "valenc", "digitizer": "digit", "conformabli": "conform", "radicalli": "radic", "differentli": "differ", "vileli": "vile", "vietnamization": "vietnam",
+        "operator": "oper", "feudalism": "feudal", "decisiveness": "decis", "hopefulness": "hope", "formaliti": "formal", "sensitiviti": "sensit", "sensibiliti": "sensibl", "triplicate": "triplic", "formative": "form", "formalize": "formal",
+        "electriciti": "electr", "electrical": "electr", "hopeful": "hope", "goodness": "good", "revival": "reviv", "allowance": "allow", "inference": "infer", "airliner": "airlin", "adjustable": "adjust", "defensible": "defens", "irritant": "irrit",
+        "replacement": "replac", "adjustment": "adjust", "dependent": "depend", "adoption": "adopt", "communism": "commun", "activate": "activ", "effective": "effect", "bowdlerize": "bowdler", "probate": "probat", "rate": "rate", "cease": "ceas",
+        "controll": "control", "roll": "roll", "running": "run", "is": "is", "größen": "größen",
+    }
+    rows = spark.createDataFrame([(w,) for w in known], "word string").select("word", porter(F.col("word")).alias("stem")).collect()
+    assert {r.word: r.stem for r in rows} == known
+    docs = spark.createDataFrame([(7, 1, "doc-7")], "id long, user_id int, name string")
+    results = spark.createDataFrame([(1, 7, 70, "He was running", 0.5, 1, 2, 3, 4), (2, 7, 70, "runs and runs", 0.6, 1, 2, 3, 4), (3, 7, 71, "a walk", 0.7, 1, 2, 3, 4)], "id long, document_id long, page_id long, text string, confidence double, x int, y int, w int, h int")
+    assert SE.search(results, "run").count() == 0
+    found = SE.hydrated(SE.search(results, "Run", stem=True), results, docs).orderBy("rank").collect()
+    assert [(r.rank, r.id, r.document_name, r.text, r.page_id) for r in found] == [(1, 2, "doc-7", "runs and runs", 70), (2, 1, "doc-7", "He was running", 70)]
+    assert found[0].score > found[1].score and SE.search(results, "", stem=True).count() == 0
+
+
+def test_index_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10, "old words"), (2, 20, "other")], "user_id int, id long, text string")
+    index = SE.postings(rows).join(rows.select("id", "user_id"), "id")
+    path = str(tmp_path / "index")
+    SE.write_index(index, path)
+    fresh = spark.createDataFrame([(1, 11, "new")], "user_id int, id long, text string")
+    new = SE.rebuilt(index, fresh, 1)
+    SE.write_index(new.where("user_id = 1"), path)
+    assert {(r.user_id, r.term) for r in spark.read.parquet(path).collect()} == {(1, "new"), (2, "other")}
+
+
+def test_priors_of_one_script(spark):
+    rows = S.alternatives(spark.createDataFrame([(1, "कल बैठक है"), (2, "plain"), (3, "কাল"), (4, "10")], "id long, text string")).collect()
+    assert [r.language for r in sorted((r for r in rows if r.id == 1), key=lambda r: -r.share)] == ["mr", "ne", "sa", "mai", "kok", "doi", "brx"]
+    assert {(r.language, r.share) for r in rows if r.id == 3} == {("as", 0.32), ("mni", 0.1)} and {r.id for r in rows} == {1, 3}
+
+
+def test_summaries(spark):
+    rows = spark.createDataFrame([(1, " One. Two."), (2, "  "), (3, "x" * 50_001), (4, "fail"), (5, None), (6, "x" * 50_000)], "id long, text string")
+
+    def first(text, language):
+        if text == "fail":
+            raise ValueError("down")
+        return f"{text.split('.')[0][:5]} ({language})"
+
+    got = {r.id: (r.status, r.summary, r.error) for r in T.summaries(rows, S.source_language, first).collect()}
+    assert got == {1: ("summarized", "One (en)", None), 2: ("error", None, "no text"), 3: ("error", None, "too long"), 4: ("error", None, "down"), 5: ("error", None, "no text"), 6: ("summarized", "xxxxx (en)", None)}
+
+
+def test_prompt(spark):
+    text = one(spark, D.prompt(D.context(F.lit("Patient prescribed metformin 500 mg for diabetes"))))
+    assert text.startswith("DOMAIN HYPOTHESIS: medical (confidence 1.00)\n") and "patient" in text.split("CANDIDATE: ")[1].split("\n")[0] and "metformin" in text.split("VOCABULARY: ")[1].split("\n")[0]
+    weak = one(spark, D.prompt(D.context(F.lit("question about the result"))))
+    assert weak.startswith("DOMAIN HYPOTHESIS: general") and "VOCABULARY: none" in weak and "CANDIDATE: none" in weak
+
+
+def test_quads_and_snapping(spark):
+    lines = [(1, 1, True, 100, 100, 900, 110), (1, 2, True, 100, 400, 900, 402), (1, 3, False, 120, 80, 122, 500), (1, 4, False, 880, 80, 885, 500), (1, 5, False, 30, 80, 30, 500), (2, 1, True, 100, 100, 900, 100)]
+    got = L.best_quad(spark.createDataFrame(lines, "page_id long, line_id long, horizontal boolean, x1 int, y1 int, x2 int, y2 int"), 1000, 750, (500.0, 250.0)).collect()
+    assert [(r.page_id, r.top, r.bottom, r.left, r.right) for r in got] == [(1, 1, 2, 3, 4)]
+    elements = spark.createDataFrame([(1, "underline", 50, 5, [[0, 0], [1, 1]]), (2, "arrow", 50, 5, [[0, 0], [1, 1]]), (3, "arrow", 50, 5, []), (4, "box", 50, 5, []), (5, "underline", 50, 50, [])], "id long, element_type string, w int, h int, points array<array<long>>")
+    found = spark.createDataFrame([(i, 0, 0, 40, 2) for i in range(1, 5)] + [(1, 0, 0, 30, 45), (3, 0, 0, 20, 0), (5, 0, 0, 1, 45)], "id long, x1 long, y1 long, x2 long, y2 long")
+    flat = [[0, 0], [40, 2]]
+    assert {r.id: r.points for r in L.snapped(elements, found).collect()} == {1: flat, 2: [[0, 0], [1, 1]], 3: flat, 4: [], 5: []}

@@ -29,6 +29,15 @@ def test_notices_once(spark, tmp_path):
     assert sorted(got) == sorted(expected)
 
 
+def test_double_starts_are_blocked(spark, tmp_path):
+    from marginalia.operators import relational as R
+
+    log, stream = written(spark, tmp_path)
+    got = ST.run_once(ST.decisions(stream), "decisions", "append", str(tmp_path / "c")).collect()
+    expected = R.starts(log).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected)) and {r.decision for r in got} == {"started", "blocked"}
+
+
 def test_windows(spark, tmp_path):
     log, stream = written(spark, tmp_path)
     got = ST.run_once(ST.window_counts(stream, "1 day"), "windows", "complete", str(tmp_path / "c"))
