@@ -7,7 +7,7 @@ k-th best sum of what is known, partial scores counted from each list's lowest,
 is a lower bound of the k-th best score. Phase two sends that bound to all
 blocks: an entry can only be among the best if one of its partial scores
 reaches the bound divided by the number of lists. A list whose norms show that
-none of a block's entries can reach it there is not read, and an entry goes on
+none of a block's entries can reach it there, for any query, is not read, and an entry goes on
 only if its parts that reach it, and the threshold for the others, add up to
 the bound. Phase three, in the same pass over the blocks, resolves the scores
 of what remains exactly. Collecting entries inside their blocks sends the k
@@ -98,12 +98,14 @@ def _slices(width: int, lists: int) -> list[slice]:
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The k best columns of each row, smaller ids first among equals; -inf never."""
-    for own in score:
-        at = np.flatnonzero(own > -np.inf)
+    # The k-th best of every sixteenth entry bounds the k-th best of all, and few others reach it.
+    some = score[:, ::16]
+    n = some.shape[1]
+    cuts = np.partition(some, n - k, axis=1)[:, n - k] if n > k and len(score) and score.dtype != object else [None] * len(score)
+    for own, cut in zip(score, cuts):
+        at = np.flatnonzero(own > -np.inf if cut is None or cut == -np.inf else own >= cut)
         if len(at) > k:
-            cut = np.partition(own[at], len(at) - k)[len(at) - k]
-            at = at[own[at] >= cut]
-            at = at[np.lexsort((ids[at], -own[at].astype(object) if own.dtype == object else -own[at]))[:k]]
+            at = np.asarray(sorted(at.tolist(), key=lambda j: (-own[j], ids[j]))[:k]) if own.dtype == object else at[np.lexsort((ids[at], -own[at]))[:k]]
         yield at, own[at]
 
 
@@ -115,7 +117,7 @@ def _gather(k: int, lists: int):
             found: list[list] = [[], [], [], [], [], [], []]
             for row, qid, ids, q, c, own in _pairs(batch):
                 for n, part in enumerate(_slices(q.shape[1], lists)):
-                    score = _dot(q[:, part], c[:, part]).astype(np.float64)
+                    score = _dot(q[:, part], c[:, part]).astype(np.float64, copy=False)
                     low = score.min(1) if len(ids) else []
                     score[own] = -np.inf
                     for i, (at, best) in enumerate(_best(score, ids, k)):
@@ -140,17 +142,18 @@ def remaining(q: np.ndarray, c: np.ndarray, cut: np.ndarray, lows: np.ndarray, l
     for n, part in enumerate(_slices(q.shape[1], lists)):
         own, other = q[:, part], c[:, part]
         reach = np.sqrt((own**2).sum(1)) * np.sqrt((other**2).sum(1).max(initial=0.0)) * (1 + 1e-9)
-        rows = np.flatnonzero(~(reach - lows[:, n] < share))
-        most += share[:, None]
-        if len(rows):
-            score = _dot(own[rows], other).astype(np.float64) - lows[rows, n : n + 1]
-            read += score.size
-            enough = ~(score < share[rows, None])
-            seen[rows] |= enough
-            most[rows] += np.where(enough, score - share[rows, None], 0)
-    unknown = np.isnan(cut)[:, None]
+        unread = reach - lows[:, n] < share
+        if unread.all():
+            most += share[:, None]
+            continue
+        score = _dot(own, other).astype(np.float64, copy=False)
+        score -= lows[:, n : n + 1]
+        read += score.size
+        seen |= score >= share[:, None]
+        most += np.maximum(score, share[:, None], out=score)
     with np.errstate(invalid="ignore"):
-        return unknown | (seen & (most >= (lists * share)[:, None])), read
+        seen &= most >= (lists * share)[:, None]
+    return seen | np.isnan(cut)[:, None], read
 
 
 def _resolve(k: int, lists: int):
