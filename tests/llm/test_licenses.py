@@ -1,6 +1,9 @@
+import math
 import random
+import re
+from zlib import crc32
 
-from marginalia.llm.licenses import _made, scan_licenses, trained, words_of
+from marginalia.llm.licenses import BITS, CLASSES, CONTAINED, _made, scan_licenses, trained, words_of
 
 from .cases import empty, frame
 
@@ -28,3 +31,30 @@ def test_odd_rows(spark):
     assert scan_licenses(frame(spark)).count() == 0 and scan_licenses(empty(spark)).count() == 0
     twice = spark.createDataFrame([(None, "All rights reserved.", 1)] * 2, "doc_id long, text string, family int")
     assert scan_licenses(twice).count() == 2
+
+
+def test_scores_by_a_plain_loop():
+    """Probabilities of the sparse vectorised scorer against one paragraph and one word at a time."""
+    model = trained()
+    texts, _ = _made(random.Random(99), 4)
+    parts = [words_of(t) for t in texts] + [[]]
+    got = model.probabilities(parts)
+    mask = (1 << 64) - 1
+    for words, row in zip(parts, got):
+        codes = [crc32(w) for w in words]
+        features = {(c * 0x9E3779B97F4A7C15 & mask) >> (64 - BITS) for c in codes}
+        features |= {((a * 0xD6E8FEB86659FD93 + b) * 0xC2B2AE3D27D4EB4F & mask) >> (64 - BITS) for a, b in zip(codes, codes[1:])}
+        scores = [(model.bias[c] + sum(model.weights[model.slot[f], c] for f in features if model.slot[f] >= 0)) / model.temperature for c in range(len(CLASSES))]
+        top = max(scores)
+        whole = sum(math.exp(x - top) for x in scores)
+        assert all(abs(math.exp(x - top) / whole - p) < 1e-9 for x, p in zip(scores, row))
+
+
+def test_planted_lines(spark):
+    """Every line of the documents that speaks of a licence is found, and nothing else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    says = re.compile(r"licen[sc]e|SPDX|all rights reserved|CC[ -]BY|CC0|permission is hereby", re.I)
+    planted = {(r.doc_id, n) for r in docs.collect() for n, line in enumerate((r.text or "").split("\n")) if says.search(line)}
+    rows = scan_licenses(docs).collect()
+    assert {(r.doc_id, r.line) for r in rows} == planted and len(planted) > 30
+    assert all(r.similarity >= CONTAINED for r in rows if r.family != "unknown")
