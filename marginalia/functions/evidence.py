@@ -87,21 +87,42 @@ def letters(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.when(c == "", F.lit(0).cast("long")).otherwise(F.expr("1L") * F.pow(F.lit(2.0), F.pmod(F.ascii(c), F.lit(62))).cast("long"))))
 
 
+def _segment(m: str, k: str, i: str) -> tuple[Column, Column]:
+    """(start, length) of the i-th of k + 1 nearly equal segments of a string of length m, the shorter ones first."""
+    parts, m, i = F.col(k) + 1, F.col(m), F.col(i)
+    base, short = F.floor(m / parts).cast("int"), parts - m % parts
+    return (i - 1) * base + F.greatest(F.lit(0), i - 1 - short) + 1, base + F.when(i > short, 1).otherwise(0)
+
+
 def fuzzy_join(probes: DataFrame, memory: DataFrame, at_least: float = SIMILAR) -> DataFrame:
     """(probe) x (term) -> probe, term, distance, for pairs at least so similar, without comparing all pairs.
 
-    Similar strings have lengths that differ by no more edits than the longer
-    one allows: an equality join on length finds them. One edit changes at most
-    two of the characters that occur, which drops most pairs before the edit
-    distance is measured, and that stops at its bound. Both sides are
-    deduplicated first.
+    The lengths of a pair allow k edits. Of k + 1 segments of the term, one
+    must then stand in the probe as it is, near its own place (Li, Deng, Wang
+    and Feng, "Pass-Join", 2011): an equality join on lengths, segment number
+    and segment finds them. One edit changes at most two of the characters that
+    occur, which drops most pairs before the edit distance is measured, and
+    that stops at its bound. Both sides are deduplicated first.
     """
-    most = F.floor((1 - at_least) * F.greatest("n", "m") + 1e-9).cast("int")
+    share = 1 - at_least
+    bound = lambda n: F.floor(share * n + 1e-9).cast("int")
+    numbers = F.explode(F.sequence(F.lit(1), F.col("k") + 1)).alias("i")
     left = probes.select("probe").distinct().withColumns({"n": F.length("probe"), "a": letters(F.col("probe"))}).where("n > 0")
     # A longer term of length L allows (1 - s) L edits, so L <= n / s.
     lengths = F.sequence(F.ceil(F.col("n") * at_least - 1e-9).cast("int"), F.floor(F.col("n") / at_least + 1e-9).cast("int"))
-    left = _spread(left.withColumn("m", F.explode(lengths)), "probe", "m")
-    right = memory.select("term").distinct().withColumns({"m": F.length("term"), "b": letters(F.col("term"))})
-    pairs = left.join(right, "m").withColumn("most", most)
-    pairs = pairs.where((F.abs(F.col("n") - F.col("m")) <= F.col("most")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * F.col("most")))
-    return pairs.withColumn("distance", F.expr("levenshtein(probe, term, most)")).where("distance >= 0").select("probe", "term", "distance")
+    left = _spread(left, "probe").withColumn("m", F.explode(lengths)).withColumn("k", bound(F.greatest("n", "m"))).where(F.abs(F.col("n") - F.col("m")) <= F.col("k")).select("*", numbers)
+    start, size = _segment("m", "k", "i")
+    left = left.withColumns({"start": start, "size": size, "shift": F.col("n") - F.col("m")})
+    before, after = F.col("i") - 1, F.col("k") + 1 - F.col("i")  # edits that may lie before, and after
+    low = F.greatest(F.lit(1), F.col("start") - before, F.col("start") + F.col("shift") - after)
+    high = F.least(F.col("n") - F.col("size") + 1, F.col("start") + before, F.col("start") + F.col("shift") + after)
+    left = left.withColumns({"low": low, "high": high}).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
+    left = left.select("probe", "a", "m", "k", "i", F.substring("probe", F.col("at"), F.col("size")).alias("segment")).distinct()
+    right = memory.select("term").distinct().withColumns({"m": F.length("term"), "b": letters(F.col("term"))}).where("m > 0")
+    edits = F.sequence(bound(F.col("m")), bound(F.floor(F.col("m") / at_least + 1e-9)))
+    right = right.withColumn("k", F.explode(edits)).select("*", numbers)
+    start, size = _segment("m", "k", "i")
+    right = right.select("term", "b", "m", "k", "i", F.substring("term", start, size).alias("segment"))
+    pairs = left.join(right, ["m", "k", "i", "segment"]).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * F.col("k"))
+    found = pairs.withColumn("distance", F.expr("levenshtein(probe, term, k)")).where("distance >= 0")
+    return found.select("probe", "term", "distance").distinct()

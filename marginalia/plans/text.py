@@ -381,6 +381,12 @@ def ordered_dedup(s, d):
     return V.results(s, d).select("id", F.array_join(F.array_distinct(F.split("text", " ", -1)), " ").alias("deduped"))
 
 
+@query("sum1_summary_request", "SELECT id, length(trim(text)) BETWEEN 1 AND 50000 AS accepted, trim(text) AS request FROM v_result")
+def summary_request(s, d):
+    request = F.trim("text")
+    return V.results(s, d).select("id", F.length(request).between(1, T.SUMMARY_CHARS).alias("accepted"), request.alias("request"))
+
+
 # A summary's plug-in stands for the model: it gives the first sentence.
 @query("sum1_summary", f"""WITH {SPANS_SQL}, one AS (SELECT id, count(*) FILTER (language <> 'numeric') AS real_, arg_max(language, (score, -place)) AS best FROM by_language GROUP BY 1)
 SELECT v.id, 'summarized' AS status, CASE WHEN real_ > 1 THEN 'mixed' ELSE best END AS language, trim(regexp_extract(text, '^[^.]*')) AS summary FROM v_script v JOIN one USING (id)""")
