@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: How many times the asked number of items are looked at first.
+LOOK_AHEAD = 16
+
+
 def smoothed(profile: DataFrame) -> DataFrame:
     """Mean of three neighbours with zeros beyond the edges, as ``smooth``."""
     near = Window.partitionBy("page_id").orderBy("pos").rowsBetween(-1, 1)
@@ -200,12 +204,42 @@ def match_ordered(texts: DataFrame, inks: DataFrame) -> DataFrame:
     return texts.groupBy("page_id").cogroup(inks.groupBy("page_id")).applyInPandas(of_page, "page_id long, i long, j long")
 
 
+def line_boxes(lines: DataFrame, matched: DataFrame, pages: DataFrame, usual: int = 80) -> DataFrame:
+    """page_id, i, x, y, w, h of every text line, on its page.
+
+    ``lines``: page_id, i and the recogniser's box in 0-1000 (y1, x1, y2, x2,
+    null without one); ``matched``: page_id, i, top, height of lines that lie on
+    ink; ``pages``: page_id, page_w, page_h, and of its ink lines the median
+    spacing and ink_height (null without any). Ink decides where a line is; lines
+    after the last match follow it at the median spacing; others keep the
+    recogniser's place. Lines without a box are spaced evenly over the page.
+    """
+    c = F.col
+    page = Window.partitionBy("page_id")
+    rows = lines.join(pages, "page_id").join(matched, ["page_id", "i"], "left")
+    rows = rows.withColumns({"n": F.count("*").over(page), "last": F.max(F.when(c("top").isNotNull(), c("i"))).over(page)})
+    rows = rows.withColumn("last_top", F.max(F.when(c("i") == c("last"), c("top"))).over(page))
+    after = c("top").isNull() & (c("i") > c("last"))
+    pixel = lambda v, full: (c(v) / 1000.0 * c(full)).cast("long")
+    left, right, own = F.greatest(F.lit(0), pixel("x1", "page_w")), F.least(c("page_w"), pixel("x2", "page_w")), F.greatest(F.lit(0), pixel("y1", "page_h"))
+    spacing = c("page_h") / (c("n") + 1).cast("double")
+    boxed = c("x1").isNotNull()
+    found = {
+        "x": F.when(boxed, left).otherwise(0), "w": F.when(boxed, F.greatest(right - left, F.lit(5))).otherwise(c("page_w")),
+        "y": F.when(boxed, F.when(after, c("last_top") + (c("i") - c("last")) * c("spacing")).otherwise(F.coalesce("top", own))).otherwise((c("i") * spacing).cast("long")),
+        "h": F.when(boxed, F.coalesce(F.when(after, c("ink_height")).otherwise(c("height")), "ink_height", F.lit(usual))).otherwise(spacing.cast("long")),
+    }
+    placed = rows.select("page_id", "i", "page_h", *[v.cast("long").alias(k) for k, v in found.items()])
+    return placed.withColumn("y", F.greatest(F.lit(0), F.least("y", c("page_h") - c("h")))).select("page_id", "i", "x", "y", "w", "h")
+
+
 def diverse(items: DataFrame, n: int, most: float = 0.7) -> DataFrame:
     """group, id, place: per group, the first ``n`` items by score that are not too alike, back-filled in score order.
 
-    The pick is sequential. Only the best items matter: a group is folded in
-    batches, in order, and stops once ``n`` are picked; skipped items are kept
-    for the back-fill only as far as it may need them.
+    The pick is sequential: a group is folded in batches, in order, and stops
+    once ``n`` are picked; skipped items are kept for the back-fill only as far
+    as it may need them. Of each group, LOOK_AHEAD times ``n`` items are folded
+    first.
     """
 
     def grams(text: str) -> frozenset[str]:
@@ -217,7 +251,7 @@ def diverse(items: DataFrame, n: int, most: float = 0.7) -> DataFrame:
 
         def close() -> pd.DataFrame:
             own = [i for i, _ in picked] + skipped[: n - len(picked)]
-            return pd.DataFrame({"group": [group] * len(own), "id": own, "place": range(1, len(own) + 1)})
+            return pd.DataFrame({"group": [group] * len(own), "id": own, "place": range(1, len(own) + 1), "full": [len(picked) >= n] * len(own)})
 
         for batch in rows:
             for g, i, text in zip(batch["group"], batch["id"], batch["text"]):
@@ -236,5 +270,14 @@ def diverse(items: DataFrame, n: int, most: float = 0.7) -> DataFrame:
         if group is not None:
             yield close()
 
-    ordered = items.select("group", "id", "text", "score").repartition("group").sortWithinPartitions("group", F.col("score").desc(), "id")
-    return ordered.mapInPandas(fold, "group long, id long, place int")
+    def folded(rows: DataFrame) -> DataFrame:
+        return rows.repartition("group").sortWithinPartitions("group", F.col("score").desc(), "id").mapInPandas(fold, "group long, id long, place int, full boolean")
+
+    # The best few of a group nearly always decide; only groups that these leave short, and that have more, are folded whole.
+    whole = items.select("group", "id", "text", "score")
+    nth = F.row_number().over(Window.partitionBy("group").orderBy(F.col("score").desc(), "id"))
+    best = folded(whole.withColumn("nth", nth).where(F.col("nth") <= LOOK_AHEAD * n).drop("nth"))
+    larger = whole.groupBy("group").count().where(F.col("count") > LOOK_AHEAD * n).select("group")
+    short = best.where("not full").select("group").distinct().join(larger, "group")
+    again = folded(whole.join(short, "group", "left_semi"))
+    return best.join(short, "group", "left_anti").union(again).select("group", "id", "place")

@@ -200,6 +200,25 @@ def ordered_match(s, d):
     return L.match_ordered(texts, inks)
 
 
+# Of each page of 1240 x 1000, lines 3, 8, 13 and those from 15 on lie on no ink, every seventh has no box, and page 0 of a document has no ink.
+@query("img5_line_boxes", """WITH l AS (SELECT page_id, n % 20 AS i, CASE WHEN n % 7 <> 6 THEN y END AS y1, CASE WHEN n % 7 <> 6 THEN x END AS x1, CASE WHEN n % 7 <> 6 THEN least(1000, x + w) END AS x2,
+  CASE WHEN n % 5 <> 3 AND n % 20 < 15 AND page_id % 1000 <> 0 THEN y + 4 END AS top, CASE WHEN n % 5 <> 3 AND n % 20 < 15 AND page_id % 1000 <> 0 THEN 30 + n % 9 END AS height FROM v_result),
+w AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n, max(CASE WHEN top IS NOT NULL THEN i END) OVER (PARTITION BY page_id) AS last_ FROM l),
+v AS (SELECT *, max(CASE WHEN i = last_ THEN top END) OVER (PARTITION BY page_id) AS last_top, 1000 / (n + 1)::DOUBLE AS spacing, top IS NULL AND coalesce(i > last_, false) AS after_ FROM w),
+b AS (SELECT page_id, i, CASE WHEN x1 IS NULL THEN 0 ELSE greatest(0, CAST(trunc(x1 / 1000.0::DOUBLE * 1240) AS BIGINT)) END AS x, CASE WHEN x1 IS NULL THEN 1240 ELSE greatest(5, least(1240, CAST(trunc(x2 / 1000.0::DOUBLE * 1240) AS BIGINT)) - greatest(0, CAST(trunc(x1 / 1000.0::DOUBLE * 1240) AS BIGINT))) END AS w,
+  CASE WHEN x1 IS NULL THEN CAST(trunc(i * spacing) AS BIGINT) WHEN after_ THEN last_top + (i - last_) * 48 ELSE coalesce(top, greatest(0, CAST(trunc(y1 / 1000.0::DOUBLE * 1000) AS BIGINT))) END AS y,
+  CASE WHEN x1 IS NULL THEN CAST(trunc(spacing) AS BIGINT) WHEN after_ THEN 34 ELSE coalesce(height, CASE WHEN page_id % 1000 <> 0 THEN 34 END, 80) END AS h FROM v)
+SELECT page_id, i, CAST(x AS BIGINT) AS x, CAST(greatest(0, least(y, 1000 - h)) AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h FROM b""")
+def line_boxes(s, d):
+    r, n = V.results(s, d), F.col("n")
+    boxed = lambda v: F.when(n % 7 != 6, v)
+    lines = r.select("page_id", (n % 20).alias("i"), boxed(F.col("y")).alias("y1"), boxed(F.col("x")).alias("x1"), boxed(F.col("y") + 40).alias("y2"), boxed(F.least(F.lit(1000), F.col("x") + F.col("w"))).alias("x2"))
+    inked = r.where((n % 5 != 3) & (n % 20 < 15) & (F.col("page_id") % 1000 != 0)).select("page_id", (n % 20).alias("i"), (F.col("y") + 4).alias("top"), (30 + n % 9).alias("height"))
+    ink = F.col("page_id") % 1000 != 0
+    pages = r.select("page_id").distinct().select("page_id", F.lit(1240).alias("page_w"), F.lit(1000).alias("page_h"), F.when(ink, 48).alias("spacing"), F.when(ink, 34).alias("ink_height"))
+    return L.line_boxes(lines, inked, pages)
+
+
 @query("win3_diverse_selection")
 def diverse(s, d):
     users = V.documents(s, d).select(F.col("id").alias("document_id"), F.col("user_id").cast("long").alias("group"))

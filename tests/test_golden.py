@@ -120,6 +120,25 @@ def plain_names(text):
     return out
 
 
+def test_fuzzy_join_of_many_words(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice(["an", "be", "cho", "d", "e", "ü"]) for _ in range(rng.randint(1, 6))) for _ in range(260)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    left, right = sorted(set(words[:90])), sorted(set(words[90:]))
+    got = E.fuzzy_join(spark.createDataFrame([(x,) for x in left], "probe string"), spark.createDataFrame([(x,) for x in right], "term string"))
+    expected = {(a, b, distance(a, b)) for a in left for b in right if 1 - distance(a, b) / max(len(a), len(b)) >= 0.62 - 1e-9}
+    rows = [(r.probe, r.term, r.distance) for r in got.collect()]
+    assert set(rows) == expected and len(rows) == len(expected) > 100
+
+
 def test_names(spark):
     rng = random.Random(8)
     texts = ["My company's name is FISH, and we build software.", "I like to eat fish.", "We met Acme Widgets Inc. and Foo Labs today", "our app is called $1\\E x. the platform is Zed!", "", "Our team is Team Foo Labs; the product called Bar."]
@@ -280,7 +299,9 @@ def test_ordered_match_and_nearest_peaks_by_loops(spark):
     assert {(r.page_id, r.i): r.pos for r in got} == near
 
 
-def test_diverse_by_a_loop(spark):
+@pytest.mark.parametrize("ahead", [1, 16])
+def test_diverse_by_a_loop(spark, monkeypatch, ahead):
+    monkeypatch.setattr(L, "LOOK_AHEAD", ahead)
     rng = random.Random(6)
     rows = [(g, 100 * g + i, "".join(rng.choice("ab ") for _ in range(rng.randint(1, 7))), rng.choice([0.1, 0.5, 0.9])) for g in range(5) for i in range(40)]
     grams = lambda t: {t.strip()[k : k + 2] for k in range(max(1, len(t.strip()) - 1))}
