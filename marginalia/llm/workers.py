@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Rows that an eager pass over texts hands to Python at once.
+#: Rows that an eager pass over texts hands to Python at once, and that any pass takes up at once.
 TEXTS_PER_BATCH = 1000
 
 
@@ -26,12 +26,19 @@ def release() -> None:
         pass
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches as views of bounded numbers of rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_PER_BATCH):
+            yield batch.slice(at, TEXTS_PER_BATCH)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` whose workers release unused memory when a task ends."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(_slices(batches))
         finally:
             release()
 
