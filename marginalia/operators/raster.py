@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 RASTER = "page_id long, width int, height int, gray binary"
 
@@ -42,16 +42,19 @@ def ink_mask(gray: np.ndarray, radius: int = 15, offset: float = 25.0, opening:
     return mask
 
 
-def _mapped(rasters: DataFrame, of: Callable[[np.ndarray], np.ndarray], schema: str = RASTER) -> DataFrame:
+def _mapped(rasters: DataFrame, of: Callable[..., np.ndarray], also: list[str] | None = None) -> DataFrame:
+    """Rasters that ``of`` makes of each raster and the columns ``also``."""
+    names = also or []
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for page, width, height, gray in zip(batch["page_id"], batch["width"], batch["height"], batch["gray"]):
-                out = of(np.frombuffer(gray, np.uint8).reshape(height, width))
-                rows.append((page, out.shape[1], out.shape[0], out.astype(np.uint8).tobytes()))
+            for page, width, height, gray, *more in zip(*(batch[c] for c in ("page_id", "width", "height", "gray", *names))):
+                out = of(np.frombuffer(gray, np.uint8).reshape(height, width), *more)
+                rows.append((page, out.shape[1], out.shape[0], np.ascontiguousarray(out, np.uint8).tobytes()))
             yield pd.DataFrame(rows, columns=["page_id", "width", "height", "gray"])
 
-    return rasters.select("page_id", "width", "height", "gray").mapInPandas(run, schema)
+    return rasters.select("page_id", "width", "height", "gray", *names).mapInPandas(run, RASTER)
 
 
 def binarized(rasters: DataFrame) -> DataFrame:
@@ -66,6 +69,107 @@ def rotated(rasters: DataFrame, degrees: int) -> DataFrame:
     return _mapped(rasters, lambda gray: np.rot90(gray, -(degrees // 90) % 4))
 
 
+def sampled(gray: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values at real places, between the four pixels around; beyond the edges their nearest pixels."""
+    height, width = gray.shape
+    x, y = np.clip(x, 0, width - 1), np.clip(y, 0, height - 1)
+    left, top = np.minimum(x.astype(int), max(width - 2, 0)), np.minimum(y.astype(int), max(height - 2, 0))
+    right, low = np.minimum(left + 1, width - 1), np.minimum(top + 1, height - 1)
+    u, v, own = x - left, y - top, gray.astype(float)
+    above, below = own[top, left] * (1 - u) + own[top, right] * u, own[low, left] * (1 - u) + own[low, right] * u
+    return np.rint(above * (1 - v) + below * v).astype(np.uint8)
+
+
+def straightened(gray: np.ndarray, degrees: float) -> np.ndarray:
+    """Turned back about its center by a skew of ``degrees``; the canvas grows so that nothing is lost, edges are repeated."""
+    height, width = gray.shape
+    turn = np.radians(degrees)
+    cos, sin = np.cos(turn), np.sin(turn)
+    wide, tall = int(height * abs(sin) + width * abs(cos)), int(height * abs(cos) + width * abs(sin))
+    dx, dy = np.meshgrid(np.arange(wide) - wide / 2, np.arange(tall) - tall / 2)
+    return sampled(gray, width // 2 + cos * dx - sin * dy + (width / 2 - width // 2), height // 2 + sin * dx + cos * dy + (height / 2 - height // 2))
+
+
+def warped(gray: np.ndarray, corners: list[tuple[float, float]], width: int, height: int) -> np.ndarray:
+    """The quadrangle of ``corners`` (top left, top right, bottom right, bottom left) as an upright raster."""
+    rows, values = [], []
+    for (x, y), (u, v) in zip([(0, 0), (width - 1, 0), (width - 1, height - 1), (0, height - 1)], corners):
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
+        values += [u, v]
+    a, b, c, d, e, f, g, h = np.linalg.solve(np.asarray(rows, float), np.asarray(values, float))
+    x, y = np.meshgrid(np.arange(width), np.arange(height))
+    depth = g * x + h * y + 1
+    return sampled(gray, (a * x + b * y + c) / depth, (d * x + e * y + f) / depth)
+
+
+def deskewed(rasters: DataFrame, angles: DataFrame) -> DataFrame:
+    """Rasters turned back by their page's angle (page_id, angle); without one, or with 0, they stay."""
+    rows = rasters.join(angles.select("page_id", "angle"), "page_id", "left").fillna(0.0, "angle")
+    return _mapped(rows, lambda gray, angle: straightened(gray, angle) if angle else gray, ["angle"])
+
+
+#: What undoes each EXIF orientation.
+_UPRIGHT: dict[int, Callable[[np.ndarray], np.ndarray]] = {
+    2: lambda a: a[:, ::-1], 3: lambda a: a[::-1, ::-1], 4: lambda a: a[::-1], 5: lambda a: a.T, 6: lambda a: np.rot90(a, -1), 7: lambda a: a[::-1, ::-1].T, 8: lambda a: np.rot90(a),
+}
+
+
+def exif_orientation(content: bytes) -> int:
+    """The orientation (1 to 8) that a JPEG's EXIF header names; 1 without one."""
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 4 <= len(content) and content[at] == 0xFF:
+        marker, size = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
+        body = content[at + 4 : at + 2 + size]
+        if marker == 0xE1 and body[:6] == b"Exif\0\0":
+            tiff = body[6:]
+            order = "little" if tiff[:2] == b"II" else "big"
+            number = lambda k, n: int.from_bytes(tiff[k : k + n], order)
+            first = number(4, 4)
+            for entry in range(first + 2, first + 2 + 12 * number(first, 2), 12):
+                if number(entry, 2) == 0x0112:
+                    found = number(entry + 8, 2)
+                    return found if 1 <= found <= 8 else 1
+        if marker == 0xDA:
+            break
+        at += 2 + size
+    return 1
+
+
+def decoded(images: DataFrame, kind: str = "decoder") -> DataFrame:
+    """(page_id, content) -> upright rasters: the registered decoder's gray array, turned as the EXIF header says."""
+    get = plugin(kind)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decode = get()
+        for batch in batches:
+            rows = []
+            for page, content in zip(batch["page_id"], batch["content"]):
+                gray = _UPRIGHT.get(exif_orientation(content), lambda a: a)(decode(content))
+                rows.append((page, gray.shape[1], gray.shape[0], np.ascontiguousarray(gray, np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["page_id", "width", "height", "gray"])
+
+    return images.select("page_id", "content").mapInPandas(run, RASTER)
+
+
+def read_lines(rasters: DataFrame, lines: DataFrame, kind: str = "line recognizer", offset: tuple[int, int] = (0, 0)) -> DataFrame:
+    """page_id, i, x, y, w, h, text: each line (page_id, i, x, y, w, h; a page's are few) cut out and recognised; ``offset`` is where the raster lies on its page."""
+    get = plugin(kind)
+    own = lines.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y", "w", "h"))).alias("lines"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        recognize = get()
+        for batch in batches:
+            rows = []
+            for page, width, height, gray, boxes in zip(*(batch[c] for c in ("page_id", "width", "height", "gray", "lines"))):
+                whole = np.frombuffer(gray, np.uint8).reshape(height, width)
+                for b in boxes:
+                    x, y = max(0, b["x"]), max(0, b["y"])
+                    rows.append((page, b["i"], x + offset[0], y + offset[1], b["w"], b["h"], recognize(whole[y : b["y"] + b["h"], x : b["x"] + b["w"]])))
+            yield pd.DataFrame(rows, columns=["page_id", "i", "x", "y", "w", "h", "text"])
+
+    return rasters.join(own, "page_id").select("page_id", "width", "height", "gray", "lines").mapInPandas(run, "page_id long, i long, x long, y long, w long, h long, text string")
+
+
 def otsu(gray: np.ndarray) -> int:
     """The level that parts a raster's values into two classes with the largest variance between them; the lower class holds it."""
     counts = np.bincount(gray.ravel(), minlength=256).astype(float)

@@ -190,3 +190,11 @@ def training_settings(corrections: DataFrame, models: DataFrame) -> DataFrame:
         "user_id", "resumed_from", (F.coalesce("resumed_from", F.lit(0)) + 1).alias("version"), F.lit(3).alias("epochs"), F.least(F.lit(4), n).alias("batch_size"), F.greatest(F.lit(1), F.floor(n / 4)).alias("warmup_steps"),
         F.lit(5e-5).alias("learning_rate"), F.lit(0.01).alias("weight_decay"), F.lit(8).alias("rank"), F.lit(16).alias("alpha"),
     )
+
+
+def model_choice(users: DataFrame, models: DataFrame, folder: str) -> DataFrame:
+    """user_id, model, path: each user's latest adapter, to be loaded onto the base model, which is all that others have."""
+    rows = users.select("user_id").distinct().join(_latest_versions(models), "user_id", "left")
+    version = F.col("resumed_from").cast("string")
+    path = F.concat(F.lit(f"{folder}/user_"), F.col("user_id").cast("string"), F.lit("/v"), version)
+    return rows.select("user_id", F.coalesce(F.concat(F.lit("user-v"), version), F.lit("base")).alias("model"), path.alias("path"))

@@ -408,3 +408,9 @@ def page_fan_out(s, d):
 
     pages = double_start(s, d).where("decision = 'started'").select("page_id").distinct()
     return ST.fan_out(pages, work, int(s.conf.get("spark.sql.shuffle.partitions")))
+
+
+@query("plg3_model_choice", """SELECT u.user_id, CASE WHEN max(version) IS NULL THEN 'base' ELSE 'user-v' || max(version) END AS model, 'models/user_' || u.user_id || '/v' || max(version) AS path
+FROM (SELECT DISTINCT user_id * 2 AS user_id FROM v_document) u LEFT JOIN v_user_model m ON m.user_id = u.user_id GROUP BY u.user_id""")
+def model_choice(s, d):
+    return R.model_choice(V.documents(s, d).select((F.col("user_id") * 2).alias("user_id")), V.user_models(s, d), "models")

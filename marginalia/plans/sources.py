@@ -67,7 +67,40 @@ def nearest_peaks(s, d):
 
 @query("img1_img8_binarize_rotate")
 def binarize(s, d):
+    return RA.profiles(RA.rotated(RA.binarized(_pixels(s, d)), 90)).where("axis = 'row'").select("page_id", "pos", "ink")
+
+
+def _pixels(s, d):
+    """Pages of 8 x 8 pixels: a profile's values, 255 at most."""
     flat = V.profiles(s, d).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ink"))).alias("v"))
     gray = F.unhex(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(F.least(x["ink"], F.lit(255))), 2, "0")), ""))
-    rasters = flat.where(F.size("v") == 64).select("page_id", F.lit(8).alias("width"), F.lit(8).alias("height"), gray.alias("gray"))
-    return RA.profiles(RA.rotated(RA.binarized(rasters), 90)).where("axis = 'row'").select("page_id", "pos", "ink")
+    return flat.where(F.size("v") == 64).select("page_id", F.lit(8).alias("width"), F.lit(8).alias("height"), gray.alias("gray"))
+
+
+# A recognizer that reads the sum of a line's pixels; the crop lies at (100, 200) of its page.
+@query("img9_line_recognition", """WITH p AS (SELECT page_id, pos // 8 AS k, pos % 8 AS at, least(ink, 255) AS v FROM v_profile)
+SELECT page_id, CAST(k AS BIGINT) AS i, CAST(100 + k % 3 AS BIGINT) AS x, CAST(200 + k AS BIGINT) AS y, CAST(sum(v) FILTER (at >= k % 3) AS VARCHAR) AS text FROM p GROUP BY page_id, k""")
+def line_recognition(s, d):
+    RA.register("line recognizer", lambda: lambda gray: str(int(gray.sum())))
+    pages = _pixels(s, d)
+    i = F.col("i")
+    lines = pages.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("i"))
+    lines = lines.select("page_id", "i", (i % 3).alias("x"), i.alias("y"), (8 - i % 3).alias("w"), F.lit(1).cast("long").alias("h"))
+    return RA.read_lines(pages, lines, offset=(100, 200)).select("page_id", "i", "x", "y", "text")
+
+
+# A photo of 3 x 2 pixels, the first letters of a nation's name, behind a JPEG header that names each orientation in turn.
+@query("src6_upright_photos", """WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey % 8 + 1 AS o, string_split(substr(n_name || '......', 1, 6), '') AS p FROM nation)
+SELECT id, CAST(CASE WHEN o < 5 THEN 3 ELSE 2 END AS INTEGER) AS width, array_to_string(list_transform(string_split(CASE o WHEN 1 THEN '123456' WHEN 2 THEN '321654' WHEN 3 THEN '654321' WHEN 4 THEN '456123' WHEN 5 THEN '142536' WHEN 6 THEN '415263' WHEN 7 THEN '635241' ELSE '362514' END, ''), lambda k: p[CAST(k AS INTEGER)]), '') AS pixels FROM n""")
+def upright_photos(s, d):
+    def make():
+        import numpy as np
+
+        return lambda content: np.frombuffer(content[-6:], np.uint8).reshape(2, 3)
+
+    RA.register("decoder", make)
+    # FFD8, an EXIF segment with one entry, 0112 of type 3, and the start of the image.
+    header = F.concat(F.lit("FFD8" "FFE10022" "457869660000" "49492A0008000000" "0100" "12010300010000000"), (F.col("n_nationkey") % 8 + 1).cast("string"), F.lit("000000" "00000000" "FFDA"))
+    content = F.concat(F.unhex(header), F.substring(F.concat("n_name", F.lit("......")), 1, 6).cast("binary"))
+    images = V.table(s, d, "nation").select(F.col("n_nationkey").alias("page_id"), content.alias("content"))
+    return RA.decoded(images).select(F.col("page_id").alias("id"), "width", F.col("gray").cast("string").alias("pixels"))

@@ -1,5 +1,6 @@
 """Known cases of the text expressions and layout operators."""
 
+import math
 import random
 import re
 
@@ -381,3 +382,84 @@ def test_quads_and_snapping(spark):
     found = spark.createDataFrame([(i, 0, 0, 40, 2) for i in range(1, 5)] + [(1, 0, 0, 30, 45), (3, 0, 0, 20, 0), (5, 0, 0, 1, 45)], "id long, x1 long, y1 long, x2 long, y2 long")
     flat = [[0, 0], [40, 2]]
     assert {r.id: r.points for r in L.snapped(elements, found).collect()} == {1: flat, 2: [[0, 0], [1, 1]], 3: flat, 4: [], 5: []}
+
+
+def test_ink_mask_by_loops():
+    rng = np.random.default_rng(4)
+    gray = rng.integers(120, 256, (18, 23)).astype(np.uint8)
+    gray[5:9, 4:15] = rng.integers(0, 60, (4, 11))
+    radius, offset = 3, 25.0
+    at = range(-radius, radius + 1)
+    weight = [math.exp(-0.5 * (k / (0.3 * (radius - 1) + 0.8)) ** 2) for k in at]
+    weight = [w / sum(weight) for w in weight]
+    clip = lambda v, n: min(max(v, 0), n - 1)
+    mean = lambda y, x: sum(wy * wx * float(gray[clip(y + dy, 18), clip(x + dx, 23)]) for dy, wy in zip(at, weight) for dx, wx in zip(at, weight))
+    dark = np.array([[gray[y, x] < mean(y, x) - offset for x in range(23)] for y in range(18)])
+    opened = np.zeros_like(dark)
+    for y in range(17):
+        for x in range(22):
+            if dark[y : y + 2, x : x + 2].all():
+                opened[y : y + 2, x : x + 2] = True
+    assert (RA.ink_mask(gray, radius, offset) == opened).all() and 10 < opened.sum() < dark.sum() + 1
+
+
+def test_ink_lines_by_a_loop(spark):
+    rng = random.Random(9)
+    rows, expected = [], []
+    for page in range(8):
+        ink = []
+        for _ in range(12):
+            ink += [0.0] * rng.randint(1, 12) + [rng.uniform(30, 90) for _ in range(rng.choice([4, 20, 24, 60, 90]))]
+        rows += [(page, y, v) for y, v in enumerate(ink)]
+        padded = [0.0, *ink, 0.0]
+        smooth = [sum(padded[y : y + 3]) / 3 for y in range(len(ink))]
+        some = sorted(v for v in smooth if v > 0)
+        place = (len(some) - 1) * 0.25
+        level = max(some[int(place)] + (some[min(int(place) + 1, len(some) - 1)] - some[int(place)]) * (place - int(place)), 20.0)
+        runs, y = [], 0
+        while y < len(ink):
+            stop = y
+            while stop < len(ink) and smooth[stop] >= level:
+                stop += 1
+            if stop - y > 15:
+                runs.append((y, stop))
+            y = max(stop, y + 1)
+        median = sorted(b - a for a, b in runs)[len(runs) // 2]
+        for a, b in runs:
+            parts = max(1, round((b - a) / median)) if b - a > 2 * median else 1
+            cuts = [a]
+            for k in range(1, parts):
+                middle, reach = a + (b - a) * k // parts, max(1, median // 3)
+                near = range(max(cuts[-1] + 1, middle - reach), min(b - 1, middle + reach) + 1)
+                cuts.append(min(near, key=lambda v: (smooth[v], v)) if near else middle)
+            expected += [(page, u, v) for u, v in zip(cuts, [*cuts[1:], b])]
+    got = RA.ink_lines(spark.createDataFrame(rows, "page_id long, pos int, ink double")).collect()
+    assert sorted(map(tuple, got)) == sorted(expected) and len(expected) > 30
+
+
+def test_warp_and_deskew(spark):
+    rng = np.random.default_rng(7)
+    page = rng.integers(0, 256, (40, 60)).astype(np.uint8)
+    assert (RA.warped(page, [(0, 0), (59, 0), (59, 39), (0, 39)], 60, 40) == page).all()
+    assert (RA.warped(page, [(10, 5), (29, 5), (29, 24), (10, 24)], 20, 20) == page[5:25, 10:30]).all()
+    assert (RA.warped(page, [(29, 5), (29, 24), (10, 24), (10, 5)], 20, 20) == np.rot90(page[5:25, 10:30])).all()
+    assert (RA.straightened(page, 0.0) == page).all()
+    lines = np.full((101, 201), 255, np.uint8)
+    slope = np.tan(np.radians(4))
+    for x in range(201):
+        for base in (30, 50, 70):
+            y = int(round(base + (x - 100) * slope))
+            lines[max(0, y - 1) : y + 2, x] = 0
+    rows = spark.createDataFrame([(1, 201, 101, bytearray(lines.tobytes())), (2, 201, 101, bytearray(lines.tobytes()))], RA.RASTER)
+    got = {r.page_id: np.frombuffer(r.gray, np.uint8).reshape(r.height, r.width) for r in RA.deskewed(rows, spark.createDataFrame([(1, 4.0)], "page_id long, angle double")).collect()}
+    dark = lambda a: (a[:, 30:-30] < 128).mean(1)
+    assert dark(got[1]).max() > 0.95 and dark(got[2]).max() < 0.6 and got[1].shape > lines.shape and (got[2] == lines).all()
+
+
+def test_exif_orientation():
+    body = lambda order, o: b"Exif\0\0" + (b"II*\0" if order == "little" else b"MM\0*") + (8).to_bytes(4, order) + (2).to_bytes(2, order) + b"".join(t.to_bytes(2, order) + (3).to_bytes(2, order) + (1).to_bytes(4, order) + v.to_bytes(2, order) + b"\0\0" for t, v in ((0x0100, 9), (0x0112, o)))
+    for order in ("little", "big"):
+        for o in range(1, 9):
+            own = body(order, o)
+            assert RA.exif_orientation(b"\xff\xd8\xff\xe0\0\4ab\xff\xe1" + (len(own) + 2).to_bytes(2, "big") + own + b"\xff\xda") == o
+    assert RA.exif_orientation(b"") == RA.exif_orientation(b"\x89PNG") == RA.exif_orientation(b"\xff\xd8\xff\xda\0\2") == RA.exif_orientation(b"\xff\xd8\xff\xe1\0\x08Exif\0\0") == 1
