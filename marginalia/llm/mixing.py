@@ -124,8 +124,8 @@ def mix_sources(
     """``docs`` (of its columns those in ``carry``, if given) with size, source_size, target and taken (words the mix takes of the document).
 
     ``weight`` is a column of ``docs``, by default :func:`quality_weight` of the
-    text. Texts are read once: size and key are written beside the carried
-    columns.
+    text. With ``carry``, texts are read once: size and key are written beside
+    the carried columns. Without, they are read twice and never written.
 
     Null text has size 0 and is taken 0 times; a null source is a source of its
     own, sorted last; weights that are null or not above 0 count as 0.05. Rows
@@ -143,9 +143,13 @@ def mix_sources(
     b1 = F.floor(at)
     b2 = F.floor((at - b1) * BINS)
     b3 = F.floor(((at - b1) * BINS - b2) * BINS)
-    rows = materialize(rows.withColumns({"b1": b1, "b2": b2, "b3": b3}), "mix-keys", keep=True)
-    skinny = rows.drop("row")
+    rows = rows.withColumns({"b1": b1, "b2": b2, "b3": b3})
     with scratch(docs.sparkSession):
+        if carry is None:
+            skinny = materialize(rows.drop("row"), "mix-keys")
+        else:
+            rows = materialize(rows, "mix-keys", keep=True)
+            skinny = rows.drop("row")
         plan = mix_plan(skinny, share, cap, cycle)
     joined = rows.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
     in_part = F.coalesce((F.col("key") < F.col("edge_key")) | (F.struct("key", "tie") <= F.col("inner")), F.lit(False))
@@ -156,6 +160,6 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it; documents without words are not in it. All columns stay, whatever their names."""
     own = (options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source"))
-    taken = mix_sources(pack(docs).select("row", *[F.col("row")[c].alias(c) for c in own]), carry=("row",), **options)
+    taken = mix_sources(pack(docs).select("row", *[F.col("row")[c].alias(c) for c in own]), **options)
     copies = taken.where("taken > 0").select("row", F.explode(F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))))
     return unpack(copies, docs.columns, {})

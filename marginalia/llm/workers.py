@@ -13,13 +13,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Rows that an eager pass over texts hands to Python at once, and that any pass takes up at once.
+#: Rows that a pass over texts hands to Python at once at most.
 TEXTS_PER_BATCH = 1000
+_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def release() -> None:
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -34,9 +36,17 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` whose workers release unused memory when a task ends."""
+    """``df.mapInArrow(run, schema)`` whose workers hold little: small batches, memory of the system's allocator, given back when a task ends.
+
+    The session's batches are made as small as texts need them, and stay so,
+    as the result is computed later.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_KEY)) <= TEXTS_PER_BATCH:
+        conf.set(_KEY, str(TEXTS_PER_BATCH))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(_slices(batches))
         finally:
