@@ -78,8 +78,8 @@ def _pixels(s, d):
 
 
 # A recognizer that reads the sum of a line's pixels; the crop lies at (100, 200) of its page.
-@query("img9_line_recognition", """WITH p AS (SELECT page_id, pos // 8 AS k, pos % 8 AS at, least(ink, 255) AS v FROM v_profile)
-SELECT page_id, CAST(k AS BIGINT) AS i, CAST(100 + k % 3 AS BIGINT) AS x, CAST(200 + k AS BIGINT) AS y, CAST(sum(v) FILTER (at >= k % 3) AS VARCHAR) AS text FROM p GROUP BY page_id, k""")
+@query("img9_line_recognition", """WITH p AS (SELECT page_id, pos // 8 AS k, pos % 8 AS spot, least(ink, 255) AS v FROM v_profile)
+SELECT page_id, CAST(k AS BIGINT) AS i, CAST(100 + k % 3 AS BIGINT) AS x, CAST(200 + k AS BIGINT) AS y, CAST(sum(v) FILTER (spot >= k % 3) AS VARCHAR) AS text FROM p GROUP BY page_id, k""")
 def line_recognition(s, d):
     RA.register("line recognizer", lambda: lambda gray: str(int(gray.sum())))
     pages = _pixels(s, d)
