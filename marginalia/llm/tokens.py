@@ -26,7 +26,7 @@ TAIL = b".,!?;:#$%&*|"
 #: Words kept; beyond that the cache starts anew, which bounds a worker's memory.
 MAX_WORDS = 150000
 #: Texts are handled in groups of about so many bytes.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Word that stands for the end of a document; no word holds a blank.
 END = b" "
 

@@ -20,8 +20,7 @@ _KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def release() -> None:
     gc.collect()
-    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
-        pool.release_unused()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -36,7 +35,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` whose workers hold little: small batches, memory of the system's allocator, given back when a task ends.
+    """``df.mapInArrow(run, schema)`` whose workers hold little: small batches, and memory given back when a task ends.
 
     The session's batches are made as small as texts need them, and stay so,
     as the result is computed later.
@@ -46,7 +45,6 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         conf.set(_KEY, str(TEXTS_PER_BATCH))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(_slices(batches))
         finally:
