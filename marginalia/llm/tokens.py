@@ -24,7 +24,7 @@ import pyarrow as pa
 #: Punctuation that the pre-tokenizer splits from letters before it, and that begins no special token.
 TAIL = b".,!?;:#$%&*|"
 #: Words kept; beyond that the cache starts anew, which bounds a worker's memory.
-MAX_WORDS = 150000
+MAX_WORDS = 400_000
 #: Texts are handled in groups of about so many bytes.
 CHUNK_BYTES = 1 << 19
 #: Word that stands for the end of a document; no word holds a blank.
