@@ -86,6 +86,12 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramjoin import join_ngrams
+
+    return join_ngrams(read(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .align import align_tokenizers
     from .tokens import tokenizer_path
@@ -93,6 +99,12 @@ def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .veccodes import compress_vectors
+
+    return compress_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -104,7 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_html_text": op9_html_text,
     "op10_pack_documents": op10_pack_documents,
+    "op11_ngram_join": op11_ngram_join,
     "op12_align_tokenizers": op12_align_tokenizers,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 OP5_SQL = r"""
@@ -166,4 +180,54 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mix_sources": OP5_SQL, "op6_url_rules": OP6_SQL, "op7_top_k": OP7_SQL}
+OP11_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE text IS NOT NULL),
+held AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM split, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM held a JOIN held b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS MATERIALIZED (
+  SELECT x, y FROM common c JOIN sizes a ON c.x = a.doc_id JOIN sizes b ON c.y = b.doc_id WHERE 100 * c.c >= 80 * (a.n + b.n - c.c)),
+ways AS MATERIALIZED (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reached(x, y) AS (SELECT x, y FROM ways UNION SELECT r.x, w.y FROM reached r JOIN ways w ON r.y = w.x),
+least AS (SELECT x, min(y) AS y FROM reached GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least l ON d.doc_id = l.x
+"""
+
+OP13_START = r"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT place, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM kept, range(8) AS t(p)),
+book0 AS MATERIALIZED (SELECT p, place AS e, x AS c FROM parts WHERE place < 16),
+"""
+
+#: All distances of a round; the lower entry among equals.
+OP13_NEAREST = r"""
+near{r} AS MATERIALIZED (
+  SELECT place, p, any_value(x) AS x, min(CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 16 + e) AS best
+  FROM parts JOIN book{r} USING (p) GROUP BY place, p),
+"""
+
+OP13_MEANS = r"""
+mean{r} AS MATERIALIZED (
+  SELECT p, e, list(m ORDER BY i) AS c
+  FROM (SELECT p, best % 16 AS e, i, CAST(floor(sum(x[i])::DOUBLE / count(*)) AS BIGINT) AS m FROM near{r}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY ALL) GROUP BY p, e),
+book{s} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m USING (p, e)),
+"""
+
+OP13_END = r"""
+coded AS (SELECT place, string_agg(printf('%02x', best % 16), '' ORDER BY p) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM near6 GROUP BY place)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book6) AS codebooks_sha256
+FROM coded JOIN kept USING (place)
+"""
+
+OP13_SQL = OP13_START + "".join(OP13_NEAREST.format(r=r) + OP13_MEANS.format(r=r, s=r + 1) for r in range(6)) + OP13_NEAREST.format(r=6) + OP13_END
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_mix_sources": OP5_SQL, "op6_url_rules": OP6_SQL, "op7_top_k": OP7_SQL, "op11_ngram_join": OP11_SQL, "op13_vector_codes": OP13_SQL,
+}
