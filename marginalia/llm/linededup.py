@@ -8,14 +8,18 @@ it. Each selected line is one fingerprint, however many windows selected it; it
 carries these windows' hashes and the hashes of the lines around. Fingerprints
 that occur at one position only end here, which is most of them.
 
-Of the others, positions are joined by the hashes of their windows, so that two
-documents meet only where a whole window agrees; each meets the first position
-alone. The match is extended both ways along that first position as far as the
-lines agree, and what lies at the later position is deleted.
-
-Positions are met by aggregation (the smallest one of each window), never by
-pairs, so a passage that very many documents share costs a row for each, and
-the rows of such a passage are joined where they are.
+Of the others, positions meet by fingerprint, and the hashes of its windows tell
+which matches are real. A match is extended line by line: a window and the next
+lines, one more each time, are keys of their own, each with the first position
+at which it occurs, so that every earlier position counts, not only the
+window's first. To the left the next window takes over, as a run that begins
+earlier has a window that begins there; to the right lines with fewer words
+than a window are followed. What lies at the later position is deleted; where a
+run overlaps its own first occurrence, that occurrence stays whole.
+
+Positions are met by aggregation (the smallest one of each key), never by
+pairs, so a passage that very many documents share costs a few rows for each,
+and the rows of such a passage are joined where they are.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .frames import column, join_counted, numbered, schema_of
 from .store import materialize, rows_per_batch, scratch
@@ -53,8 +57,7 @@ def _selected(text: bytes, min_words: int) -> Iterator[tuple]:
     value = np.frombuffer(b"".join(digest), "<i8")[::2]
     stops = np.searchsorted(upto, upto[:-1] + min_words)  # window i: lines i .. stops[i] - 1
     stops = stops[stops <= len(at)]
-    # Lines around with fewer words than a window: longer runs are windows of their own.
-    left = np.searchsorted(upto, upto[: len(stops)] - min_words, "right").tolist()
+    # Lines that follow, with fewer words than a window: longer runs are windows of their own.
     right = (np.searchsorted(upto, upto[stops] + min_words) - 1).tolist()
     held = value.tolist()
     windows: dict[int, list[int]] = {}
@@ -67,7 +70,7 @@ def _selected(text: bytes, min_words: int) -> Iterator[tuple]:
     for fp, own in windows.items():
         ends = stops[own].tolist()
         keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"".join(digest[i:stop])) for i, stop in zip(own, ends)), "<i8").reshape(-1, 2)
-        low = left[own[0]]
+        low = own[0]
         yield held[fp], fp, low, own, ends, keys[:, 0], keys[:, 1], value[low : max(ends[-1], right[own[-1]])]
 
 
@@ -94,12 +97,6 @@ def _fingerprints(min_words: int):
     return run
 
 
-def _same_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two arrays without nulls."""
-    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
-    return F.when(differ == 0, F.size(a)).otherwise(differ.cast("int") - 1)
-
-
 def fingerprints(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """A row for each selected line of each of ``docs`` (doc_id, text_hash, text)."""
     return map_arrow(docs.select("doc_id", "text_hash", "text"), _fingerprints(min_words), FINGERPRINTS)
@@ -117,19 +114,25 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     shared = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a < b").select("fp", "n")
     met = join_counted(found, materialize(shared, "line-shared"), ["fp"], found.count(), "left_semi")
     each = F.inline(F.arrays_zip("starts", "stops", "k1", "k2")).alias("start", "stop", "k1", "k2")
+    # Of each window and the lines after it: 0, then a hash of one line more each time.
+    further = F.aggregate(
+        F.slice("lines", F.col("stop") - F.col("low") + 1, F.size("lines")), F.array(F.lit(0).cast("long")), lambda upto, line: F.concat(upto, F.array(F.xxhash64(F.element_at(upto, -1), line)))
+    )
     windows = met.select("doc_id", "text_hash", "low", "lines", each).select(
-        F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start").alias("at"), "stop", "k1", "k2",
-        F.reverse(F.slice("lines", F.lit(1), F.col("start") - F.col("low"))).alias("before"),
-        F.slice("lines", F.col("stop") - F.col("low") + 1, F.size("lines")).alias("after"),
+        F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start").alias("at"), (F.col("stop") - F.col("start")).alias("size"), "k1", "k2", further.alias("further")
     )
     windows = materialize(windows, "line-windows")
-    first = windows.groupBy("k1", "k2").agg(F.min(F.struct("at", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = join_counted(windows, materialize(first, "line-first"), ["k1", "k2"], windows.count()).where(F.col("at") > F.col("first.at"))
-    run = F.struct(
-        (F.col("at.start") - _same_prefix(F.col("before"), F.col("first.before"))).alias("first"),
-        (F.col("stop") - 1 + _same_prefix(F.col("after"), F.col("first.after"))).alias("last"),
-    )
-    return later.groupBy("at.doc_id", "at.text_hash").agg(F.collect_set(run).alias("runs"))  # a set: repeated rows add nothing
+    keys = ["k1", "k2", "upto"]
+    runs = windows.select("at", "size", "k1", "k2", F.posexplode("further").alias("more", "upto"))
+    first = runs.groupBy(*keys).agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
+    total = windows.agg(F.coalesce(F.sum(F.size("further")), F.lit(0))).first()[0]
+    later = join_counted(runs, materialize(first, "line-first"), keys, total).where(F.col("at") > F.col("first"))
+    size = F.col("size") + F.col("more")
+    own = F.col("at.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at.text_hash") == F.col("first.text_hash"))
+    begin = F.when(own, F.greatest(F.col("at.start"), F.col("first.start") + size)).otherwise(F.col("at.start"))
+    cut = later.select("at.doc_id", "at.text_hash", begin.alias("first"), (F.col("at.start") + size - 1).alias("last"))
+    cut = cut.groupBy("doc_id", "text_hash", "first").agg(F.max("last").alias("last"))
+    return cut.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
 def _cut(columns: int, text_at: int, names: list[str], filtering: bool):
@@ -159,8 +162,9 @@ def _cut(columns: int, text_at: int, names: list[str], filtering: bool):
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from the text, n_lines (with a word, before) and n_removed.
 
-    A run counts from ``min_words`` words on, and then with the shorter ends
-    that its first occurrence has too. Lines are compared without white space at
+    A run of ``min_words`` words or more goes where it occurs at any earlier
+    position; where it overlaps its first occurrence, only the lines after that
+    go. Lines are compared without white space at
     their ends; lines without a word stay and break no run. Null and empty texts
     are unchanged. Rows with one id and one text are one document and get one
     result; ids may be null, those documents come last. An empty table gives an

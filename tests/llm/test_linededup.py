@@ -8,32 +8,18 @@ from .cases import documents, empty, frame
 
 
 def brute_force(docs, least):
-    """id -> number of deleted lines, from all windows of all documents."""
-    found, info = {}, {}
+    """id -> number of deleted lines: all runs of at least so many words, each at its first position and all later ones."""
+    first, gone = {}, {d: set() for d, _ in docs}
     for d, text in docs:
         lines = [x.strip(" \t\n\x0b\x0c\r") for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-        info[d] = lines, [len(x.encode().split()) for x in lines]
+        words = [len(x.encode().split()) for x in lines]
         for i in range(len(lines)):
-            total = 0
             for j in range(i, len(lines)):
-                total += info[d][1][j]
-                if total >= least:
-                    found.setdefault(tuple(lines[i : j + 1]), []).append((d, i, j))
-                    break
-    gone = {d: set() for d, _ in docs}
-    for places in found.values():
-        d0, i0, j0 = min(places)
-        for d, i, j in sorted(places)[1:]:
-            (own, n), first = info[d], info[d0][0]
-            a = b = total = 0
-            while i - a and i0 - a and own[i - a - 1] == first[i0 - a - 1] and total + n[i - a - 1] < least:
-                a += 1
-                total += n[i - a]
-            total = 0
-            while j + b + 1 < len(own) and j0 + b + 1 < len(first) and own[j + b + 1] == first[j0 + b + 1] and total + n[j + b + 1] < least:
-                b += 1
-                total += n[j + b]
-            gone[d] |= set(range(i - a, j + b + 1))
+                if sum(words[i : j + 1]) < least:
+                    continue
+                d0, i0 = first.setdefault(tuple(lines[i : j + 1]), (d, i))
+                if (d0, i0) != (d, i):
+                    gone[d] |= set(range(max(i, i0 + j + 1 - i) if d0 == d else i, j + 1))
     return {d: len(x) for d, x in gone.items()}
 
 
@@ -47,6 +33,15 @@ def test_all_windows(spark, seed):
     assert sum(got.values()) > 100
 
 
+def test_every_earlier_position_counts(spark):
+    """A run that goes on in the second occurrence only is known from there; a run that overlaps itself stays once."""
+    run = "\n".join(f"line {i} has ten words in all so that is enough" for i in range(5))
+    docs = [(1, run), (2, f"{run}\ntail one two"), (3, f"{run}\ntail one two\nown end"), (4, "\n".join(["ten words of one line that is there many times"] * 40))]
+    rows = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_removed for r in rows] == [0, 5, 6, 35] and rows[2].text == "own end"
+    assert [r.n_removed for r in rows] == list(brute_force(docs, 50).values())
+
+
 def test_passage_in_many_documents_stays_once(spark):
     passage = " ".join(f"w{i}" for i in range(55))
     docs = [(i, f"own {i} a\n{passage}\nend {i} b") for i in range(40)]
