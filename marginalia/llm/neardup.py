@@ -433,5 +433,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
     """``docs`` without the documents of a component other than its smallest id; all columns stay, whatever their names."""
     gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     gone = materialize(gone, "near-gone")
-    kept = pack(docs).withColumn("own_id", F.col("row")[id_col].cast("long")).join(gone, F.col("own_id") == F.col("gone_id"), "left_anti")
-    return unpack(kept, docs.columns, {})
+    rows = pack(docs).withColumn("own_id", F.col("row")[id_col].cast("long"))
+    kept = rows.where("own_id is not null").join(gone, F.col("own_id") == F.col("gone_id"), "left_anti")
+    return unpack(kept.unionByName(rows.where("own_id is null")), docs.columns, {})  # rows with a null id meet no join
