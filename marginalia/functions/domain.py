@@ -144,12 +144,14 @@ def _guidance(text: Column, domain: str) -> Column:
 
 
 def context(text: Column, forced: Column | None = None) -> Column:
-    """struct<domain, confidence, vocabulary, evidence, alternatives, score_margin, forced> that guides a reading.
+    """struct<domain, confidence, vocabulary, evidence, alternatives, score_margin, forced, context> that guides a reading.
 
     A forced domain counts as certain, an unknown one as general; null, blank
     and auto force nothing. Weak evidence gives general, with the confidence
     and at most two alternatives; strong evidence gives the domain's terms in
-    the text, or its first twelve, and what speaks for it.
+    the text, or its first twelve, and what speaks for it. ``context`` is the
+    domain's guidance; an unknown forced domain and a text without any evidence
+    have a sentence of their own, apart from weak evidence.
     """
     asked = F.lower(F.trim(F.coalesce(F.lit(None).cast("string") if forced is None else forced, F.lit(""))))
     is_forced, is_known = ~asked.isin("", "auto"), asked.isin(*DOMAINS)
@@ -175,6 +177,7 @@ def context(text: Column, forced: Column | None = None) -> Column:
             pairs(F.when(domain.isNotNull(), F.slice(others, 1, 2)).when(is_forced, F.slice(order, 1, 0)).otherwise(weak)).alias("alternatives"),
             F.when(domain.isNotNull(), own / 10.0 - F.coalesce(F.get(F.filter(order, lambda e: e["domain"] != domain), F.lit(0))["score"], F.lit(0)) / 10.0).alias("score_margin"),
             (is_forced & is_known).alias("forced"),
+            F.when(domain.isNotNull(), guidance(domain)).when(is_forced | (F.get(order, F.lit(0))["score"] <= 0), F.lit(NOTHING)).otherwise(F.lit(WEAK)).alias("context"),
         )
 
     def weigh(order: Column) -> Column:
@@ -192,6 +195,7 @@ GUIDANCE = {
     "science": "This appears to be scientific/technical writing. Preserve symbols, units, equations, scientific names and technical abbreviations exactly. Use scientific vocabulary to resolve ambiguous handwriting only when supported by visible context.",
     "education": "This appears to be educational/class notes. Preserve subject terminology, formulas, numbered questions and examples. Use academic vocabulary to help resolve ambiguous words when supported by surrounding text.",
 }
+NOTHING = "General handwriting OCR. Transcribe only what is visually supported."
 WEAK = "Domain evidence is weak or ambiguous. Transcribe conservatively without assuming a specialist domain."
 RULES = (
     "Use this domain only as a spelling/terminology hint. The image is the source of truth. Do not infer missing words, diagnoses, medicine names, doses, dates, names, or numbers. "
@@ -211,7 +215,7 @@ def prompt(found: Column) -> Column:
     listed = lambda items: F.when(F.size(items) > 0, F.array_join(items, ", ")).otherwise("none")
     others = F.transform(found["alternatives"], lambda e: F.concat(e["domain"], F.lit(" (evidence score "), e["score"].cast("string"), F.lit(")")))
     return F.concat(
-        F.lit("DOMAIN HYPOTHESIS: "), found["domain"], F.format_string(" (confidence %.2f)\nDOMAIN GUIDANCE: ", F.bround(found["confidence"], 2)), guidance(found["domain"]),
+        F.lit("DOMAIN HYPOTHESIS: "), found["domain"], F.format_string(" (confidence %.2f)\nDOMAIN GUIDANCE: ", F.bround(found["confidence"], 2)), found["context"],
         F.lit("\nOBSERVED DOMAIN CLUES IN CANDIDATE: "), listed(F.slice(found["evidence"], 1, 12)), F.lit("\nRELEVANT VOCABULARY: "), listed(F.slice(found["vocabulary"], 1, 24)),
         F.lit("\nCOMPETING DOMAINS: "), listed(F.slice(others, 1, 2)), F.lit("\n" + RULES),
     )

@@ -7,6 +7,10 @@ regular expression finds them all; no character loop is needed.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Code-point ranges by script, the first that fits decides.
@@ -33,12 +37,22 @@ NAMES = {
 #: Codes that are no languages.
 PSEUDO = ("mixed", "unknown", "numeric")
 
-#: Characters with a digit value, also superscript and circled ones.
-_DIGIT = r"\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}"
+
+def _digit_ranges() -> list[tuple[int, int]]:
+    """Code points that have a digit value: decimal digits, also superscript, circled, bracketed and other ones."""
+    own = [i for i in range(sys.maxunicode + 1) if unicodedata.digit(chr(i), None) is not None]
+    groups = [[i for _, i in g] for _, g in groupby(enumerate(own), lambda p: p[1] - p[0])]
+    return [(g[0], g[-1]) for g in groups]
+
+
+DIGIT_RANGES = _digit_ranges()
+_DIGIT = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in DIGIT_RANGES)
+#: White space of texts: Unicode's, and the four separators U+001C to U+001F.
+_SPACE = r"\s\x{1C}-\x{1F}"
 _LETTERS = "".join(r for _, r in RANGES)
 _COMMON = rf"[{_DIGIT}[\p{{P}}\p{{S}}&&[^{_LETTERS}]]]"
 _SCRIPT = {name: rf"[{r}&&[^{_DIGIT}]]" for name, r in RANGES}
-_OTHER = rf"[^\s{_DIGIT}\p{{P}}\p{{S}}{_LETTERS}]"
+_OTHER = rf"[^{_SPACE}{_DIGIT}\p{{P}}\p{{S}}{_LETTERS}]"
 #: Single classes, matched without going back: a group's repetition would need stack for each character of a long run.
 SPAN = "(?U)" + "|".join([*(f"{c}[{c}{_COMMON}]*+" for c in _SCRIPT.values()), f"{_COMMON}++", f"{_OTHER}[{_OTHER}{_COMMON}]*+"])
 

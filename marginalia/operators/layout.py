@@ -176,32 +176,27 @@ def skew_angle(lines: DataFrame, angle: Column) -> DataFrame:
 
 
 def match_ordered(texts: DataFrame, inks: DataFrame) -> DataFrame:
-    """page_id, i, j: text lines matched in order to ink lines, each used once; null where none is near enough.
+    """page_id, i, j: text lines (page_id, i, gy) matched in order to ink lines (page_id, j, center, height), each used once; null where none is near enough.
 
     Ink lines more than 2.5 times as high as the page's median are blobs and
     skipped; a pair is near if its centers lie within twice 1.5 of the median
-    spacing. The match is sequential, so a page is one group; a page's lines
-    are few.
+    spacing. The pass over a page's lines is a fold over arrays inside its row.
     """
-
-    def of_page(key: tuple, own: pd.DataFrame, ink: pd.DataFrame) -> pd.DataFrame:
-        own, ink = own.sort_values(["gy", "i"]), ink.sort_values(["center", "j"])
-        heights = np.sort(ink["height"].to_numpy())
-        if len(heights):
-            ink = ink[ink["height"] <= 2.5 * heights[len(heights) // 2]]
-        gaps = np.sort(np.diff(ink["center"].to_numpy()))
-        reach = 2 * int(1.5 * (gaps[len(gaps) // 2] if len(gaps) else 40))
-        at, out = 0, []
-        centers, names = ink["center"].to_numpy(), ink["j"].to_numpy()
-        for i, gy in zip(own["i"], own["gy"]):
-            if at < len(centers) and abs(gy - centers[at]) < reach:
-                out.append((key[0], i, int(names[at])))
-                at += 1
-            else:
-                out.append((key[0], i, None))
-        return pd.DataFrame(out, columns=["page_id", "i", "j"]).astype({"j": "Int64"})
-
-    return texts.groupBy("page_id").cogroup(inks.groupBy("page_id")).applyInPandas(of_page, "page_id long, i long, j long")
+    c, at = F.col, lambda items, k: F.get(items, k)
+    middle = lambda items: at(F.array_sort(items), F.floor(F.size(items) / 2).cast("int"))
+    own = texts.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(c("gy").cast("double").alias("gy"), c("i").cast("long").alias("i")))).alias("texts"))
+    ink = inks.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(c("center").cast("double").alias("center"), c("j").cast("long").alias("j"), c("height").cast("double").alias("height")))).alias("inks"))
+    ink = ink.withColumn("high", middle(F.transform("inks", lambda x: x.height))).withColumn("inks", F.filter("inks", lambda x: x.height <= 2.5 * c("high")))
+    gaps = F.transform(F.slice("inks", 2, F.greatest(F.size("inks") - 1, F.lit(0))), lambda x, k: x.center - at(c("inks"), k).center)
+    ink = ink.withColumn("reach", 2 * F.floor(1.5 * F.coalesce(middle(gaps), F.lit(40.0))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i: long, j: long>>").alias("out"))
+
+    def step(state: Column, text: Column) -> Column:
+        ink_line = at(c("inks"), state["at"])
+        near = F.coalesce(F.abs(text.gy - ink_line.center) < c("reach"), F.lit(False))
+        return F.struct((state["at"] + near.cast("int")).alias("at"), F.concat(state["out"], F.array(F.struct(text.i.alias("i"), F.when(near, ink_line.j).alias("j")))).alias("out"))
+
+    return own.join(ink, "page_id", "left").select("page_id", F.inline(F.aggregate("texts", start, step)["out"]))
 
 
 def line_boxes(lines: DataFrame, matched: DataFrame, pages: DataFrame, usual: int = 80) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 RASTER = "page_id long, width int, height int, gray binary"
 
@@ -254,18 +254,21 @@ def ink_lines(profile_rows: DataFrame) -> DataFrame:
 
 
 def nearest_peaks(expected: DataFrame, peaks: DataFrame, least_gap: int) -> DataFrame:
-    """page_id, i, pos: each expected line's nearest peak, in order, ``least_gap`` apart; null where none is left."""
-
-    def of_page(key: tuple, lines: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        places, last, out = np.sort(own["pos"].to_numpy()), -np.inf, []
-        for i, at in lines.sort_values("at")[["i", "at"]].itertuples(index=False):
-            free = places[places >= last + least_gap]
-            pos = int(free[np.abs(free - at).argmin()]) if len(free) else None
-            last = last if pos is None else pos
-            out.append((key[0], i, pos))
-        return pd.DataFrame(out, columns=["page_id", "i", "pos"]).astype({"pos": "Int64"})
-
-    return expected.groupBy("page_id").cogroup(peaks.groupBy("page_id")).applyInPandas(of_page, "page_id long, i long, pos long")
+    """page_id, i, pos: each expected line's (page_id, i, at) nearest peak (page_id, pos), in order, ``least_gap`` apart; null where none is left.
+
+    A page's lines and peaks are folded as arrays inside its row; of two peaks
+    as near, the upper one is taken.
+    """
+    lines = expected.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), F.col("i").cast("long").alias("i")))).alias("lines"))
+    places = peaks.groupBy("page_id").agg(F.sort_array(F.collect_list(F.col("pos").cast("long"))).alias("places"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<i: long, pos: long>>").alias("out"))
+
+    def step(state: Column, line: Column) -> Column:
+        free = F.filter("places", lambda p: state["last"].isNull() | (p >= state["last"] + least_gap))
+        pos = F.array_min(F.transform(free, lambda p: F.struct(F.abs(p - line["at"]).alias("off"), p.alias("p"))))["p"]
+        return F.struct(F.coalesce(pos, state["last"]).alias("last"), F.concat(state["out"], F.array(F.struct(line["i"].alias("i"), pos.alias("pos")))).alias("out"))
+
+    return lines.join(places, "page_id", "left").select("page_id", F.inline(F.aggregate("lines", start, step)["out"]))
 
 
 #: What builds the function of a kind (decoder, recognizer, translator, summarizer), as registered on the driver.

@@ -192,7 +192,15 @@ def region_json(s, d):
     return made.select("id", F.get_json_object("j", "$.label").alias("label"), F.get_json_object("j", "$.bbox[0]").cast("long").alias("x"))
 
 
-@query("jn11_img5_ordered_match")
+@query("jn11_img5_ordered_match", """WITH RECURSIVE texts AS MATERIALIZED (SELECT page_id, n % 20 AS i, (y + 20)::DOUBLE AS gy, row_number() OVER (PARTITION BY page_id ORDER BY y, n % 20) AS k FROM v_result),
+inks AS (SELECT page_id, n % 20 AS j, (y + 24)::DOUBLE AS center, CASE WHEN n % 13 = 0 THEN 200.0::DOUBLE ELSE 40.0::DOUBLE END AS height FROM v_result WHERE n % 5 <> 3),
+usual AS (SELECT page_id, list(height ORDER BY height)[count(*) // 2 + 1] AS high FROM inks GROUP BY 1),
+kept AS (SELECT *, center - lag(center) OVER (PARTITION BY page_id ORDER BY center, j) AS gap FROM inks JOIN usual USING (page_id) WHERE height <= 2.5::DOUBLE * high),
+lists AS MATERIALIZED (SELECT page_id, list({'c': center, 'j': j} ORDER BY center, j) AS ls, 2 * floor(1.5::DOUBLE * coalesce((list(gap ORDER BY gap) FILTER (gap IS NOT NULL))[count(gap) // 2 + 1], 40.0::DOUBLE)) AS reach FROM kept GROUP BY 1),
+tried(page_id, k, next_, i, j) AS (SELECT page_id, 0::BIGINT, 1::BIGINT, NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT page_id FROM texts)
+  UNION ALL SELECT p.page_id, t.k, p.next_ + CASE WHEN abs(t.gy - l.ls[p.next_].c) < l.reach THEN 1 ELSE 0 END, t.i, CASE WHEN abs(t.gy - l.ls[p.next_].c) < l.reach THEN l.ls[p.next_].j END
+  FROM tried p JOIN texts t ON t.page_id = p.page_id AND t.k = p.k + 1 LEFT JOIN lists l ON l.page_id = p.page_id)
+SELECT page_id, i, j FROM tried WHERE k > 0""")
 def ordered_match(s, d):
     r = V.results(s, d)
     texts = r.select("page_id", (F.col("n") % 20).alias("i"), (F.col("y") + 20).cast("double").alias("gy"))

@@ -57,7 +57,13 @@ def ink_lines(s, d):
     return RA.ink_lines(flat)
 
 
-@query("jn12_nearest_peaks")
+@query("jn12_nearest_peaks", """WITH RECURSIVE lines AS MATERIALIZED (SELECT page_id, n % 20 AS i, y::DOUBLE AS at, row_number() OVER (PARTITION BY page_id ORDER BY y, n % 20) AS k FROM v_result),
+places AS MATERIALIZED (SELECT page_id, list(y + 7 ORDER BY y) AS ps FROM v_result WHERE n % 4 <> 1 GROUP BY 1),
+tried(page_id, k, last, i, pos) AS (SELECT page_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT page_id FROM lines)
+  UNION ALL SELECT page_id, k, coalesce(pos, last), i, pos FROM (
+    SELECT p.page_id, l.k, p.last, l.i, CAST((list_sort(list_transform(list_filter(s.ps, lambda q: p.last IS NULL OR q >= p.last + 20), lambda q: {'off': abs(q - l.at), 'q': q}))[1]).q AS BIGINT) AS pos
+    FROM tried p JOIN lines l ON l.page_id = p.page_id AND l.k = p.k + 1 LEFT JOIN places s ON s.page_id = p.page_id))
+SELECT page_id, i, pos FROM tried WHERE k > 0""")
 def nearest_peaks(s, d):
     r = V.results(s, d)
     expected = r.select("page_id", (F.col("n") % 20).alias("i"), F.col("y").cast("double").alias("at"))

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import domain as D, evidence as E, script as S, text as T
-from ..operators import search as SE
+from ..operators import search as SE, searchindex as SI
 from ..sources import views as V
+from ..sources.folders import fresh_folder
 from .registry import query
 
 # Every script's case: a literal, by line number, before the text.
-SCRIPT_SQL = """v_script AS (SELECT id, CASE n % 6 WHEN 0 THEN 'நாளைக்கு ' WHEN 1 THEN 'कल बैठक ' WHEN 2 THEN '10AM 42 ' WHEN 3 THEN 'বাংলা 7 ' WHEN 4 THEN '123 ' ELSE '' END || text AS text FROM v_result)"""
-PIECE = "[A-Za-zÀ-ɏ](?:[A-Za-zÀ-ɏ]|[\\d\\pP\\pS])*|[ஂ-ௗ](?:[ஂ-ௗ]|[\\d\\pP\\pS])*|[ऀ-ॣ](?:[ऀ-ॣ]|[\\d\\pP\\pS])*|[ঀ-৥](?:[ঀ-৥]|[\\d\\pP\\pS])*|[\\d\\pP\\pS]+"
+SCRIPT_SQL = """v_script AS (SELECT id, CASE n % 6 WHEN 0 THEN 'நாளைக்கு ' WHEN 1 THEN 'कल बैठक ' WHEN 2 THEN '10AM' || chr(31) || '42 ' WHEN 3 THEN 'বাংলা 7 ' WHEN 4 THEN '123 ⑴❶⓪² ' ELSE '' END || text AS text FROM v_result)"""
+# The characters with a digit value besides 0 to 9 that occur, and all others that Unicode lists up to U+2792.
+DIGITS = "\\d²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
+PIECE = f"[A-Za-zÀ-ɏ](?:[A-Za-zÀ-ɏ]|[{DIGITS}\\pP\\pS])*|[ஂ-ௗ](?:[ஂ-ௗ]|[{DIGITS}\\pP\\pS])*|[ऀ-ॣ](?:[ऀ-ॣ]|[{DIGITS}\\pP\\pS])*|[ঀ-৥](?:[ঀ-৥]|[{DIGITS}\\pP\\pS])*|[{DIGITS}\\pP\\pS]+"
 SPANS_SQL = SCRIPT_SQL + f""",
 pieces AS (SELECT id, unnest(regexp_extract_all(text, '{PIECE}')) AS span, unnest(range(len(regexp_extract_all(text, '{PIECE}')))) AS place FROM v_script),
 spans AS (SELECT id, CAST(place AS INTEGER) AS place, span, CASE WHEN regexp_matches(span, '^[A-Za-zÀ-ɏ]') THEN 'Latin' WHEN regexp_matches(span, '^[ஂ-ௗ]') THEN 'Tamil' WHEN regexp_matches(span, '^[ऀ-ॣ]') THEN 'Devanagari'
@@ -23,7 +26,7 @@ by_language AS (SELECT id, language, any_value(script) AS script, sum(score) AS
 
 def script_lead():
     n = F.col("n")
-    return F.when(n % 6 == 0, "நாளைக்கு ").when(n % 6 == 1, "कल बैठक ").when(n % 6 == 2, "10AM 42 ").when(n % 6 == 3, "বাংলা 7 ").when(n % 6 == 4, "123 ").otherwise("")
+    return F.when(n % 6 == 0, "நாளைக்கு ").when(n % 6 == 1, "कल बैठक ").when(n % 6 == 2, "10AM\x1f42 ").when(n % 6 == 3, "বাংলা 7 ").when(n % 6 == 4, "123 ⑴❶⓪² ").otherwise("")
 
 
 def script_texts(s, d):
@@ -51,15 +54,25 @@ def alternatives(s, d):
     return S.alternatives(script_texts(s, d))
 
 
-@query("lng5_blank_annotation", "SELECT n_nationkey AS id, 'unknown' AS language, 'Unknown' AS language_name, 'Unknown' AS script, 0.0::DOUBLE AS confidence FROM nation")
+# Lines without their letters: nothing is left to detect in most; digits are.
+@query("lng5_blank_annotation", """WITH t AS (SELECT id, regexp_matches(text, '[0-9]') AS digits FROM v_result)
+SELECT id, CASE WHEN digits THEN 'numeric' ELSE 'unknown' END AS language, CASE WHEN digits THEN 'Number' ELSE 'Unknown' END AS language_name, CASE WHEN digits THEN 'Common' ELSE 'Unknown' END AS script, CASE WHEN digits THEN 0.99::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM t""")
 def blank_annotation(s, d):
-    return S.detect_language(V.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.lit("  ").alias("text")))
+    return S.detect_language(V.results(s, d).select("id", F.regexp_replace("text", "[^0-9]", " ").alias("text")))
 
 
-@query("lng6_registry", """SELECT r_regionkey AS id, CASE r_regionkey WHEN 0 THEN 'Tamil' WHEN 1 THEN 'Hindi' ELSE 'Unknown' END AS language_name, CASE r_regionkey WHEN 0 THEN 'ta' WHEN 1 THEN 'hi' ELSE 'xx' END AS language FROM region""")
+CODES = ["as", "bn", "brx", "doi", "gu", "hi", "kn", "ks", "kok", "mai", "ml", "mni", "mr", "ne", "or", "pa", "sa", "sat", "sd", "ta", "te", "ur", "en", "numeric", "unknown", "mixed", "EN", ""]
+
+
+# Each document's own code, and one of all others.
+@query("lng6_registry", f"""WITH named(code, name) AS (VALUES ('as', 'Assamese'), ('bn', 'Bengali'), ('brx', 'Bodo'), ('doi', 'Dogri'), ('gu', 'Gujarati'), ('hi', 'Hindi'), ('kn', 'Kannada'), ('ks', 'Kashmiri'), ('kok', 'Konkani'), ('mai', 'Maithili'), ('ml', 'Malayalam'), ('mni', 'Manipuri'),
+  ('mr', 'Marathi'), ('ne', 'Nepali'), ('or', 'Odia'), ('pa', 'Punjabi'), ('sa', 'Sanskrit'), ('sat', 'Santali'), ('sd', 'Sindhi'), ('ta', 'Tamil'), ('te', 'Telugu'), ('ur', 'Urdu'), ('en', 'English'), ('numeric', 'Number'), ('unknown', 'Unknown'), ('mixed', 'Mixed')),
+asked AS (SELECT doc_id AS id, unnest([lang, {CODES}[doc_id % {len(CODES)} + 1]]) AS language FROM documents)
+SELECT a.id, a.language, coalesce(n.name, 'Unknown') AS language_name FROM asked a LEFT JOIN named n ON n.code = a.language""")
 def registry(s, d):
-    code = F.when(F.col("r_regionkey") == 0, "ta").when(F.col("r_regionkey") == 1, "hi").otherwise("xx")
-    return V.table(s, d, "region").select(F.col("r_regionkey").alias("id"), S.language_name(code).alias("language_name"), code.alias("language"))
+    other = F.element_at(F.array(*map(F.lit, CODES)), (F.col("doc_id") % len(CODES)).cast("int") + 1)
+    asked = V.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array("lang", other)).alias("language"))
+    return asked.select("id", "language", S.language_name(F.col("language")).alias("language_name"))
 
 
 @query("lng7_source_language", f"""WITH {SPANS_SQL}, one AS (SELECT id, count(*) FILTER (language <> 'numeric') AS real_, arg_max(language, (score, -place)) AS best FROM by_language GROUP BY 1)
@@ -192,23 +205,43 @@ def _vocabulary_sql(name: str) -> str:
 
 PROMPT_SQL = "WITH " + DOMAIN_SQL + f""",
 sided AS (SELECT id, list(domain || ' (evidence score ' || CAST(score / 10.0::DOUBLE AS VARCHAR) || ')' ORDER BY k) FILTER (score > 0) AS ds, list(domain ORDER BY k) FILTER (score > 0) AS names FROM ranked GROUP BY 1),
-told AS (SELECT s.id, s.confidence, s.confidence >= 0.62::DOUBLE AS sure, s.domain, {_by_domain(lambda n: f"'{D.GUIDANCE[n]}'")} AS guidance,
+told AS (SELECT s.id, s.score, s.confidence, s.confidence >= 0.62::DOUBLE AS sure, s.domain, {_by_domain(lambda n: f"'{D.GUIDANCE[n]}'")} AS guidance,
   {_by_domain(lambda n: _found_sql(list(dict.fromkeys([*D.DOMAINS[n][0], *D.DOMAINS[n][1]]))))}[1:12] AS clues, {_by_domain(_vocabulary_sql)}[1:24] AS vocabulary, d.ds FROM sure s JOIN sided d USING (id))
-SELECT id, 'DOMAIN HYPOTHESIS: ' || CASE WHEN sure THEN domain ELSE 'general' END || printf(' (confidence %.2f)', round_even(confidence, 2)) || chr(10) || 'DOMAIN GUIDANCE: ' || CASE WHEN sure THEN guidance ELSE '{D.WEAK}' END
+SELECT id, 'DOMAIN HYPOTHESIS: ' || CASE WHEN sure THEN domain ELSE 'general' END || printf(' (confidence %.2f)', round_even(confidence, 2)) || chr(10) || 'DOMAIN GUIDANCE: ' || CASE WHEN sure THEN guidance WHEN score <= 0 THEN 'General handwriting OCR. Transcribe only what is visually supported.' ELSE '{D.WEAK}' END
   || chr(10) || 'OBSERVED DOMAIN CLUES IN CANDIDATE: ' || CASE WHEN sure AND len(clues) > 0 THEN array_to_string(clues, ', ') ELSE 'none' END || chr(10) || 'RELEVANT VOCABULARY: ' || CASE WHEN sure THEN array_to_string(vocabulary, ', ') ELSE 'none' END
   || chr(10) || 'COMPETING DOMAINS: ' || coalesce(nullif(array_to_string(CASE WHEN sure THEN ds[2:3] ELSE ds[1:2] END, ', '), ''), 'none') || chr(10) || '{D.RULES.replace("'", "''")}' AS prompt FROM told"""
 
 
+FORCED = [None, "auto", "poetry", " Medical", "", "legal"]
+
+
+# The sentence that a reader gets for each kind of outcome, stated by its case.
+@query("dom7_context_text", "WITH " + DOMAIN_SQL + """ SELECT id, CASE WHEN id % 6 = 2 THEN 'general' WHEN id % 6 = 3 THEN 'medical' WHEN id % 6 = 5 THEN 'legal' WHEN confidence >= 0.62::DOUBLE THEN domain ELSE 'general' END AS domain,
+CASE WHEN id % 6 = 2 THEN 'General handwriting OCR. Transcribe only what is visually supported.' WHEN id % 6 = 3 THEN 'This appears to be medical/clinical handwriting.' WHEN id % 6 = 5 THEN 'This appears to be legal writing.'
+  WHEN score <= 0 THEN 'General handwriting OCR. Transcribe only what is visually supported.' WHEN confidence < 0.62::DOUBLE THEN 'Domain evidence is weak or ambiguous. Transcribe conservatively without assuming a specialist domain.'
+  ELSE CASE domain WHEN 'medical' THEN 'This appears to be medical/clinical handwriting.' WHEN 'legal' THEN 'This appears to be legal writing.' WHEN 'finance' THEN 'This appears to be financial/accounting writing.'
+    WHEN 'science' THEN 'This appears to be scientific/technical writing.' WHEN 'education' THEN 'This appears to be educational/class notes.' END END AS context FROM sure""")
+def context_text(s, d):
+    forced = F.element_at(F.array(*[F.lit(x).cast("string") for x in FORCED]), (F.col("id") % 6).cast("int") + 1)
+    c = domain_texts(s, d).select("id", D.context(F.col("text"), forced).alias("c"))
+    text = F.when(F.col("c.context").startswith("This appears"), F.regexp_extract("c.context", r"^[^.]*\.", 0)).otherwise(F.col("c.context"))
+    return c.select("id", "c.domain", text.alias("context"))
+
+
 @query("dom8_prompt", PROMPT_SQL)
 def prompt(s, d):
     return domain_texts(s, d).select("id", D.bound(D.context(F.col("text")), D.prompt).alias("prompt"))
 
 
-@query("dom9_profile_lookup", """SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'legal' WHEN 1 THEN 'finance' END AS profile FROM nation""")
+ASKED = [" Legal ", "FINANCE", "poetry", "medical", "Medical.", "", "education\t", "science", "general"]
+
+
+@query("dom9_profile_lookup", f"""WITH a AS (SELECT id, lower(trim(CASE WHEN n % 10 = 9 THEN text ELSE {[a for a in ASKED]}[id % 9 + 1] END)) AS asked FROM v_result)
+SELECT id, CASE WHEN asked IN ('medical', 'legal', 'finance', 'science', 'education') THEN asked END AS profile FROM a""".replace("\\t", "' || chr(9) || '"))
 def profile_lookup(s, d):
-    asked = F.when(F.col("n_nationkey") % 3 == 0, " Legal ").when(F.col("n_nationkey") % 3 == 1, "FINANCE").otherwise("poetry")
+    asked = F.when(F.col("n") % 10 == 9, F.col("text")).otherwise(F.element_at(F.array(*map(F.lit, ASKED)), (F.col("id") % 9).cast("int") + 1))
     key = F.lower(F.trim(asked))
-    return V.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(key.isin(*D.DOMAINS), key).alias("profile"))
+    return V.results(s, d).select("id", F.when(key.isin(*D.DOMAINS), key).alias("profile"))
 
 
 def bytewise(expr: str) -> str:
@@ -334,6 +367,32 @@ def hydrated_search(s, d):
     return SE.hydrated(SE.search(r, "les ment der", limit=30), r, docs)
 
 
+#: Query, user, words: frequent and rare ones, stop words, words of one letter, words that nobody holds.
+SEARCHES = [
+    (1, 3, "the ention und ingly"), (2, 5, "les ment der"), (3, 0, "a to of und"), (4, 1, "ingly ingly ingly Ention"), (5, 2, "zzzz qqqq"), (6, 4, "ous des tion la"),
+    (7, 6, "x y z el"), (8, 3, "ment"), (9, 7, "und der la les ing"), (10, 8, "licensed under the MIT License"), (11, 9, "ed"), (12, 0, "copyright 2019 all rights reserved"),
+]
+ASKED_SQL = ", ".join(f"({q}, {u}, '{t.lower()}')" for q, u, text in SEARCHES for t in dict.fromkeys(text.split()))
+
+
+@query("txt1_indexed_search", rf"""WITH lines AS (SELECT r.id, d.user_id, list_filter(regexp_extract_all(lower(r.text), '[\pL\pN_]+(?:\.?[\pL\pN_]+)*'), lambda t: len(t) >= 2 AND t NOT IN ({", ".join(f"'{w}'" for w in SI.STOP_WORDS)})) AS ts FROM v_result r JOIN v_document d ON d.id = r.document_id),
+stats AS (SELECT user_id, count(*)::DOUBLE AS n, sum(len(ts))::DOUBLE / count(*)::DOUBLE AS mean FROM lines WHERE len(ts) > 0 GROUP BY 1),
+asked(query_id, user_id, term) AS (VALUES {ASKED_SQL}),
+tf AS (SELECT id, user_id, len(ts) AS length, t AS term, count(*) AS tf FROM lines, unnest(ts) AS x(t) WHERE t IN (SELECT term FROM asked) GROUP BY ALL),
+hits AS (SELECT a.query_id, t.*, count(*) OVER (PARTITION BY a.query_id, t.term) AS df FROM tf t JOIN asked a ON a.term = t.term AND a.user_id = t.user_id),
+scored AS (SELECT query_id, id, CAST(sum(floor(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)) * 1000000)) AS BIGINT) AS score FROM hits JOIN stats USING (user_id) GROUP BY 1, 2)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM scored QUALIFY rank <= 10""")
+def indexed_search(s, d):
+    path = fresh_folder(s, "search-index")
+    SI.write_segment(owned_lines(s, d), path, 0, stem=False)
+    return SI.SearchIndex(s, path, stem=False).search(SEARCHES, 10)
+
+
+def owned_lines(s, d):
+    users = V.documents(s, d).select(F.col("id").alias("document_id"), "user_id")
+    return V.results(s, d).join(users, "document_id").select("user_id", "id", "text")
+
+
 @query("txt2_highlight", "SELECT id, regexp_replace(text, '(?i)(the)', '<mark>\\1</mark>', 'g') AS marked, len(regexp_extract_all(text, '(?i)the')) AS hits FROM v_result")
 def highlight(s, d):
     return V.results(s, d).select("id", T.highlighted(F.col("text"), "the").alias("marked"), F.regexp_count("text", F.lit("(?i)the")).cast("long").alias("hits"))
@@ -394,11 +453,17 @@ def summary(s, d):
     return T.summaries(script_texts(s, d), S.source_language, lambda text, _language: text.split(".")[0]).select("id", "status", "language", "summary")
 
 
-@query("src3_camera_capture", "SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.webp' ELSE '.png' END AS extension, n_name AS body FROM nation")
+HEADERS = ["data:image/jpeg;base64,", "data:image/webp;base64,", "", "data:image/png;base64,", "data:image/jpg,"]
+
+
+@query("src3_camera_capture", f"""WITH uris AS (SELECT doc_id AS id, {HEADERS}[doc_id % 5 + 1] || base64(encode(text)) AS uri FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT id, CASE WHEN contains(uri, ',') THEN split_part(uri, ',', 1) ELSE '' END AS head, CASE WHEN contains(uri, ',') THEN split_part(uri, ',', 2) ELSE uri END AS body FROM uris)
+SELECT id, CASE WHEN head LIKE '%jpeg%' OR head LIKE '%jpg%' THEN '.jpg' WHEN head LIKE '%webp%' THEN '.webp' ELSE '.png' END AS extension, decode(from_base64(body)) AS body FROM cut""")
 def camera(s, d):
-    kind = F.when(F.col("n_nationkey") % 3 == 0, "data:image/jpeg;base64,").when(F.col("n_nationkey") % 3 == 1, "data:image/webp;base64,").otherwise("")
-    image = T.camera_image(F.concat(kind, F.base64(F.col("n_name").cast("binary"))))
-    return V.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), image.alias("i")).select("id", "i.extension", F.col("i.bytes").cast("string").alias("body"))
+    header = F.element_at(F.array(*map(F.lit, HEADERS)), (F.col("doc_id") % 5).cast("int") + 1)
+    image = T.camera_image(F.concat(header, F.base64(F.col("text").cast("binary"))))
+    docs = V.table(s, d, "documents").where("text is not null")
+    return docs.select(F.col("doc_id").alias("id"), image.alias("i")).select("id", "i.extension", F.col("i.bytes").cast("string").alias("body"))
 
 
 @query("src7_src8_model_items", """SELECT id, trim(text) AS text, 'text' AS kind, 0.9::DOUBLE AS confidence FROM v_result UNION ALL
@@ -414,21 +479,38 @@ def model_items(s, d):
     return rows.select("id", "e.text", "e.kind", "e.confidence")
 
 
-@query("snk4_public_url", "SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 3 THEN '' ELSE '/uploads/7/' || n_name || '.png' END AS url FROM nation")
+# Every page's URL, stored as a file in one of several places.
+STORED_SQL = """stored AS (SELECT page_id AS id, list_value('./data/uploads/7/', '/srv/uploads/7/', 'data\\uploads\\7\\', '/tmp/', './data/uploads/../', 'uploads/', '')[page_id % 7 + 1] || regexp_replace(url, '^[a-z]+://', '') || '.png' AS path FROM pages)"""
+
+
+def stored_paths(s, d):
+    lead = F.element_at(F.array(*map(F.lit, ["./data/uploads/7/", "/srv/uploads/7/", "data\\uploads\\7\\", "/tmp/", "./data/uploads/../", "uploads/", ""])), (F.col("page_id") % 7).cast("int") + 1)
+    return V.table(s, d, "pages").select(F.col("page_id").alias("id"), F.concat(lead, F.regexp_replace("url", "^[a-z]+://", ""), F.lit(".png")).alias("path"))
+
+
+@query("snk4_public_url", f"""WITH {STORED_SQL}, p AS (SELECT id, replace(path, '\\', '/') AS p FROM stored)
+SELECT id, CASE WHEN starts_with(p, './data/uploads/') THEN '/uploads/' || substr(p, 16) WHEN contains(p, '/uploads/') THEN '/uploads/' || regexp_extract(p, '.*/uploads/(.*)', 1) WHEN starts_with(p, 'data/uploads/') THEN '/uploads/' || substr(p, 14) ELSE '' END AS url FROM p""")
 def public_url(s, d):
-    k = F.col("n_nationkey") % 4
-    lead = F.when(k == 0, "./data/uploads/7/").when(k == 1, "/srv/uploads/7/").when(k == 2, "data\\uploads\\7\\").otherwise("/tmp/")
-    return V.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), T.public_url(F.concat(lead, "n_name", F.lit(".png"))).alias("url"))
+    return stored_paths(s, d).select("id", T.public_url(F.col("path")).alias("url"))
 
 
-@query("snk5_normalised_path", "SELECT n_nationkey AS id, 'data/uploads/' || n_name || '.jpeg' AS path FROM nation")
+# A file's path with detours: '.' and empty parts go, '..' takes the part before it along.
+@query("snk5_normalised_path", f"""WITH {STORED_SQL}, odd AS (SELECT id, CASE id % 3 WHEN 0 THEN path WHEN 1 THEN './/x/./' || path ELSE 'a/b/../' || path END AS path FROM stored),
+plain AS (SELECT id, starts_with(path, '/') AS rooted, list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x NOT IN ('', '.')) AS parts FROM odd)
+SELECT id, CASE WHEN rooted THEN '/' ELSE '' END || array_to_string(list_filter(list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN parts[i] = '..' OR coalesce(parts[i + 1], '') = '..' THEN '' ELSE parts[i] END), lambda x: x <> ''), '/') AS path FROM plain""")
 def path(s, d):
-    raw = F.concat(F.lit(".\\data\\x\\..\\uploads/./"), "n_name", F.lit(".jpeg"))
-    return V.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), T.normalized_path(raw).alias("path"))
+    i = F.col("id")
+    odd = F.when(i % 3 == 0, F.col("path")).when(i % 3 == 1, F.concat(F.lit(".//x/./"), "path")).otherwise(F.concat(F.lit("a/b/../"), "path"))
+    return stored_paths(s, d).select("id", T.normalized_path(odd).alias("path"))
 
 
-@query("img14_rotation_answer", "SELECT n_nationkey AS id, CAST(CASE n_nationkey % 4 WHEN 0 THEN 90 WHEN 1 THEN 270 ELSE 0 END AS INTEGER) AS rotation FROM nation")
+# An answer for every line: angles with and without signs, and the line itself.
+@query("img14_rotation_answer", """WITH a AS (SELECT id, CASE n % 5 WHEN 0 THEN (n * 30) % 390 || '° clockwise' WHEN 1 THEN '  ' || (n * 90) % 450 || '.' WHEN 2 THEN (n * 18) % 360 || ', I think' WHEN 3 THEN '°' || n || '0' ELSE text END AS answer FROM v_result),
+w AS (SELECT id, regexp_replace(regexp_extract(answer, '[^ ]+'), '[°.,]', '', 'g') AS word FROM a) SELECT id, CASE WHEN word IN ('0', '90', '180', '270') THEN CAST(word AS INTEGER) ELSE 0 END AS rotation FROM w""")
 def rotation(s, d):
-    k = F.col("n_nationkey") % 4
-    answer = F.when(k == 0, "90° clockwise").when(k == 1, " 270.").when(k == 2, "sideways").otherwise("45")
-    return V.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), T.rotation_answer(answer).alias("rotation"))
+    n = F.col("n")
+    made = {0: F.concat((n * 30 % 390).cast("string"), F.lit("° clockwise")), 1: F.concat(F.lit("  "), (n * 90 % 450).cast("string"), F.lit(".")), 2: F.concat((n * 18 % 360).cast("string"), F.lit(", I think")), 3: F.concat(F.lit("°"), n.cast("string"), F.lit("0"))}
+    answer = F.col("text")
+    for k, value in made.items():
+        answer = F.when(n % 5 == k, value).otherwise(answer)
+    return V.results(s, d).select("id", T.rotation_answer(answer).alias("rotation"))

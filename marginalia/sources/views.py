@@ -109,4 +109,7 @@ def with_views(sql: str) -> str:
         return sql
     head = ",\n".join(f"{v} AS ({SQL[v]})" for v in wanted)
     body = sql.lstrip()
-    return f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
+    for begin in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(begin):
+            return f"{begin}{head},\n{body[len(begin):]}"
+    return f"WITH {head}\n{body}"

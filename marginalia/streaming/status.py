@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Status changes as they are written to a folder of Parquet files."""
-    return spark.readStream.schema(schema).parquet(path)
+def read_log(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """Status changes as they are written to a folder of Parquet files, so many files in a batch at most."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def notices(log: DataFrame, delay: str = "1 hour") -> DataFrame:
