@@ -62,13 +62,14 @@ def suggest(probes: DataFrame, document_terms: DataFrame, counts: DataFrame, lim
     """(document_id, probe) -> term, score, place: similar terms of the probe's document, weighted by their counts everywhere; of equal ones the first remembered.
 
     Terms hold no white space, so they are folded by lower() alone, once each;
-    the edit distance stops at its bound.
+    one edit changes at most two of the characters that occur, which drops most
+    pairs before the edit distance, and that stops at its bound.
     """
-    asked = _spread(probes.where(F.trim("probe") != ""), "document_id").withColumn("target", F.lower(F.trim("probe")))
-    known = _spread(document_terms, "document_id").withColumn("low", F.lower("term"))
+    asked = _spread(probes.where(F.trim("probe") != ""), "document_id").withColumn("target", F.lower(F.trim("probe"))).withColumn("a", letters(F.col("target")))
+    known = _spread(document_terms, "document_id").withColumn("low", F.lower("term")).withColumn("b", letters(F.col("low")))
     near = asked.join(known, "document_id").where(F.col("term") != F.col("target"))
     near = near.withColumn("n", F.greatest(F.length("target"), F.length("low"))).withColumn("most", F.floor((1 - SIMILAR) * F.col("n") + 1e-9).cast("int"))
-    near = near.where(F.abs(F.length("target") - F.length("low")) <= F.col("most")).withColumn("distance", F.expr("levenshtein(target, low, most)")).where("distance >= 0")
+    near = near.where((F.abs(F.length("target") - F.length("low")) <= F.col("most")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * F.col("most"))).withColumn("distance", F.expr("levenshtein(target, low, most)")).where("distance >= 0")
     near = near.withColumn("similarity", 1 - F.col("distance") / F.col("n").cast("double")).where(F.col("similarity") >= SIMILAR).join(counts, "term")
     scored = near.withColumn("score", F.col("similarity") * (1 + F.least(F.col("count"), F.lit(10)) / 20.0))
     order = Window.partitionBy("document_id", "probe").orderBy(F.col("score").desc(), "first")

@@ -7,8 +7,10 @@ regular expression finds them all; no character loop is needed.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
+from functools import reduce
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -62,12 +64,24 @@ def spans(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SPAN), 0)
 
 
+def _points(own: str) -> list[tuple[int, int]]:
+    """The code points of ranges as a character class states them."""
+    return [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{([0-9A-F]+)\}-\\x\{([0-9A-F]+)\}", own)]
+
+
+def _within(point: Column, ranges: list[tuple[int, int]]) -> Column:
+    return reduce(lambda found, one: found | one, (point.between(a, b) for a, b in ranges))
+
+
 def script_of(span: Column) -> Column:
-    """A span's script, told by its first character."""
-    out = F.when(span.rlike(f"(?U)^{_COMMON}"), "Common")
-    for name, own in _SCRIPT.items():
-        out = out.when(span.rlike(f"(?U)^{own}"), name)
-    return out.otherwise("Unknown")
+    """A span's script, told by its first character; that is a number, and only characters of no known range ask for their category."""
+    point = F.ascii(span)  # the code point of the first character
+    letter = point.between(ord("A"), ord("Z")) | point.between(ord("a"), ord("z"))
+    out = F.when(letter, "Latin").when(point < 0x80, F.when(point.between(0x21, 0x7E), "Common").otherwise("Unknown"))
+    out = out.when(_within(point, [r for r in DIGIT_RANGES if r[0] >= 0x80]), "Common")
+    for name, own in RANGES:
+        out = out.when(_within(point, _points(own)), name)
+    return out.when(span.rlike(r"(?U)^[\p{P}\p{S}]"), "Common").otherwise("Unknown")
 
 
 def _lookup(pairs: dict, key: Column) -> Column:

@@ -16,7 +16,7 @@ def test_queue_is_an_anti_join_and_a_top_k(spark):
     assert "LeftAnti" in text and "TakeOrderedAndProject" in text and "Cartesian" not in text
 
 
-@pytest.mark.parametrize("name", ["lng3_detect_language", "dom4_dom5_detect_domain", "gat3_evidence_gate", "txt5_reliability", "jn8_ink_region", "mem2_suggestions", "win4_ink_islands"])
+@pytest.mark.parametrize("name", ["lng3_detect_language", "dom4_dom5_detect_domain", "gat3_evidence_gate", "txt5_reliability", "jn8_ink_region", "mem2_suggestions", "win4_ink_islands", "geo4_detected_lines", "img6_ink_runs", "img7_ink_regions", "img10_aligned_lines", "jn11_img5_ordered_match", "jn12_nearest_peaks", "txt1_indexed_search"])
 def test_no_python(spark, name):
     text = plan(spark, name)
     assert not any(x in text for x in ("Python", "Pandas", "Arrow", "BroadcastNestedLoop", "Cartesian"))
@@ -30,3 +30,9 @@ def test_pushdown_and_pruning(spark):
 
 def test_latest_model_limits_groups(spark):
     assert "WindowGroupLimit" in plan(spark, "win1_latest_model")
+
+
+def test_line_votes_are_counted_where_the_pages_are(spark):
+    """Pixels are dealt out by page once; votes, peaks and pieces need no other shuffle."""
+    text = plan(spark, "geo4_detected_lines")
+    assert text.count("hashpartitioning(page_id") <= 2 and "hashpartitioning(page_id#" in text and not any(f"hashpartitioning(page_id, {x}" in text for x in ("step", "x#", "rho"))
