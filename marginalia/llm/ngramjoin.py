@@ -212,7 +212,8 @@ def _links(signed: DataFrame, same: DataFrame, texts: DataFrame, words: int, per
     shared = shared.groupBy(F.col("node").alias("h1")).agg(F.count("*").alias("shared"))
     left = same.join(shared, "h1").where(F.col("shared") >= need * F.col("n")).select(F.col("least_id").alias("doc_id"), "node", "h1", "h2", F.col("size").alias("n_shingles"))
     left = materialize(left, "join-left")
-    found = left.join(texts, "doc_id").select("node", "h1", "h2", "n_shingles", F.col("text").alias("value"))
+    # By sort and merge at every size: what is left grows with the corpus.
+    found = texts.join(left.hint("merge"), "doc_id").select("node", "h1", "h2", "n_shingles", F.col("text").alias("value"))
     with rows_per_batch(texts.sparkSession, TEXTS_PER_BATCH):
         payload = materialize(map_arrow(found, _matching(words), "node long, n_shingles long, value string"), "join-texts")
 
