@@ -130,14 +130,16 @@ def repeated_tokens(rows: DataFrame, some: DataFrame, total: int) -> DataFrame:
     """``rows`` (token, node, ...) whose token several nodes hold, with ``n``, one number for each token that orders tokens by frequency.
 
     ``some`` is one in ONE_IN of the rows. Tokens that are frequent in it, at
-    most 1 / HOT_SHARE or so, are told to the rows where they are; a window
-    counts the others, none of which is large.
+    most 1 / HOT_SHARE or so, are told to the rows where they are; each of their
+    rows is a group of its own in the window that counts the others, so no
+    task gets all rows of a frequent token.
     """
     most = max(HOT_ROWS, int(total * HOT_SHARE)) / ONE_IN
-    hot = F.broadcast(materialize(some.groupBy("token").agg((F.count("*") * ONE_IN).alias("n")).where(F.col("n") > most * ONE_IN), "join-hot"))
-    alike = Window.partitionBy("token")
-    cold = rows.join(hot.select("token"), "token", "left_anti").withColumns({"n": F.count("*").over(alike), "a": F.min("node").over(alike), "b": F.max("node").over(alike)})
-    return rows.join(hot, "token").unionByName(cold.where("a < b").drop("a", "b"))
+    hot = materialize(some.groupBy("token").agg((F.count("*") * ONE_IN).alias("told")).where(F.col("told") > most * ONE_IN), "join-hot")
+    apart = F.when(F.col("told").isNotNull(), F.xxhash64("node")).otherwise(0)
+    alike = Window.partitionBy("token", "apart")
+    counted = rows.join(F.broadcast(hot), "token", "left").withColumn("apart", apart).withColumns({"n": F.count("*").over(alike), "a": F.min("node").over(alike), "b": F.max("node").over(alike)})
+    return counted.where("told is not null or a < b").withColumn("n", F.coalesce("told", "n")).drop("a", "b", "told", "apart")
 
 
 class JoinKernel(SetKernel):
