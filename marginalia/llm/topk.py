@@ -181,6 +181,19 @@ def _resolve(k: int, lists: int):
     return run
 
 
+def meeting(blocks: DataFrame, rows: DataFrame, entry: Column, groups: int, fan: int) -> DataFrame:
+    """Each block beside each of ``groups`` lists of queries, ``entry`` of ``rows``.
+
+    A list is copied for ``fan`` groups of candidate blocks, so that one key is
+    never all of the work. The copies are made behind the sizes that the planner
+    knows, so it would broadcast all of them from the driver: they are merged.
+    """
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    spread = blocks.select("*", every(groups).alias("group"), F.pmod(F.xxhash64("block"), F.lit(fan)).alias("fan"))
+    grouped = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("group")).agg(F.collect_list(entry).alias("queries")).select("*", every(fan).alias("fan"))
+    return spread.join(grouped.hint("merge"), ["group", "fan"]).select("block", "n", "width", "ids", "flat", "queries")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates with the highest integer inner products of each query.
 
@@ -203,14 +216,10 @@ def _top_k(spark: SparkSession, queries: DataFrame, candidates: DataFrame, name:
     asked = queries.select(name, vector.alias("vector")).where("vec_id is not null").groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = materialize(asked, "top-queries")
     groups = max(1, -(-asked.count() // BLOCK_QUERIES))
-    # Each block of queries is copied for several groups of candidate blocks, so that one key is never all of the work.
     fan = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(groups))
-    spread = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.pmod(F.xxhash64("block"), F.lit(fan)).alias("fan"))
 
     def met(entry: Column, rows: DataFrame) -> DataFrame:
-        grouped = rows.groupBy(part.alias("group")).agg(F.collect_list(entry).alias("queries")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))).alias("fan"))
-        return spread.join(grouped, ["group", "fan"]).select("block", "n", "width", "ids", "flat", "queries")
+        return meeting(blocks, rows, entry, groups, fan)
 
     with rows_per_batch(spark, PAIRS_PER_BATCH):
         gathered = met(F.struct("vec_id", "vector"), asked).mapInArrow(_gather(k, lists), "query_id long, list int, vec_id long, part double, low double, block long, place long")

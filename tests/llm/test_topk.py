@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from marginalia.llm import topk
 from marginalia.llm.topk import top_k
 
 
@@ -39,3 +41,16 @@ def test_odd_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     one = spark.createDataFrame([(1, [1.0, 2.0], 7)], "vec_id long, embedding array<float>, score int")
     assert top_k(none, one).count() == 0 and top_k(one, none).count() == 0 and top_k(one, one).count() == 0
+
+
+def test_queries_are_not_broadcast(spark):
+    """Copies of the queries, one for each partition, are never gathered on the driver, however small the planner takes them to be."""
+    blocks = spark.createDataFrame([(b, 1, 1, b"", b"") for b in range(6)], "block long, n long, width long, ids binary, flat binary")
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "vec_id long, vector array<double>")
+    met = topk.meeting(blocks, rows, F.struct("vec_id", "vector"), 2, 4)
+    found = {}
+    for r in met.collect():
+        found.setdefault(r.block, []).extend(q.vec_id for q in r.queries)
+    assert len(found) == 6 and all(sorted(x) == list(range(10)) for x in found.values())
+    text = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
