@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .strokes import opened, runs
+from .strokes import by_page, opened, runs
 
 #: The blur along a profile: rows on either side, spread, and fraction bits of its whole-number weights.
 BLUR_ROWS, BLUR_SPREAD, BLUR_BITS = 7, 2.0, 16
@@ -32,17 +32,35 @@ def handwriting(pixels: DataFrame, width: int) -> DataFrame:
     return pixels.join(ruled.distinct(), ["page_id", "x", "y"], "left_anti")
 
 
+def handwriting_rows(found: DataFrame, width: int) -> DataFrame:
+    """page_id, y, n: how many pixels :func:`handwriting` leaves of each row, from the ink's runs (page_id, y, x1, x2) alone; none for rows without any."""
+    c = F.col
+    ruled = opened(found, F.lit(max(width // 4, 100))).select("page_id", F.explode(F.array(c("y") - 1, c("y"), c("y") + 1)).alias("y"), "x1", "x2")
+    spans = runs(ruled).groupBy("page_id", "y").agg(F.collect_list(F.struct("x1", "x2")).alias("spans"))  # of one row, few
+    shared = F.aggregate("spans", F.lit(0).cast("long"), lambda n, r: n + F.greatest(F.lit(0).cast("long"), F.least(c("x2"), r["x2"]) - F.greatest(c("x1"), r["x1"]) + 1))
+    size = c("x2") - c("x1") + 1
+    left = found.join(spans.hint("shuffle_hash"), ["page_id", "y"], "left").select("page_id", "y", F.when(c("spans").isNull(), size).otherwise(size - shared).alias("n"))
+    return left.groupBy("page_id", "y").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def profile_peaks(pixels: DataFrame, height: int) -> DataFrame:
-    """page_id, y: local maxima of each page's blurred row counts, above 0.08 of the largest and above one pixel; mirrored at the page's ends."""
+    """:func:`row_peaks` of the rows of pixels (page_id, x, y)."""
+    return row_peaks(pixels.groupBy("page_id", "y").agg(F.count("*").alias("n")), height)
+
+
+def row_peaks(rows: DataFrame, height: int) -> DataFrame:
+    """page_id, y: local maxima of each page's blurred row counts (page_id, y, n), above 0.08 of the largest and above one pixel; mirrored at the page's ends."""
     c = F.col
-    rows = pixels.groupBy("page_id", "y").agg(F.count("*").alias("n"))
     copies = F.array(c("y"), F.when(c("y") >= 1, -c("y")), F.when(c("y") <= height - 2, 2 * (height - 1) - c("y")))
     weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights()]), (F.abs(c("k")) + 1).cast("int"))
-    spread = rows.withColumn("v", F.explode(copies)).where("v is not null").withColumn("k", F.explode(F.sequence(F.lit(-BLUR_ROWS), F.lit(BLUR_ROWS))))
+    # All that follows works page by page.
+    near = by_page(rows).withColumn("v", F.explode(copies)).where((c("v") >= -BLUR_ROWS) & (c("v") < height + BLUR_ROWS))
+    spread = near.withColumn("k", F.explode(F.sequence(F.lit(-BLUR_ROWS), F.lit(BLUR_ROWS))))
     smooth = spread.select("page_id", (c("v") + c("k")).alias("y"), (c("n") * weight).alias("part")).where((c("y") >= 0) & (c("y") < height)).groupBy("page_id", "y").agg(F.sum("part").alias("p"))
     page = Window.partitionBy("page_id")
-    order = page.orderBy("y").rangeBetween(-1, -1), page.orderBy("y").rangeBetween(1, 1)
-    around = smooth.select("page_id", "y", "p", F.coalesce(F.sum("p").over(order[0]), F.lit(0)).alias("before"), F.coalesce(F.sum("p").over(order[1]), F.lit(0)).alias("after"), F.max("p").over(page).alias("most"))
+    order = page.orderBy("y")
+    beside = lambda step: F.coalesce(F.when(F.lag("y", step).over(order) == c("y") - step, F.lag("p", step).over(order)), F.lit(0))
+    around = smooth.select("page_id", "y", "p", beside(1).alias("before"), beside(-1).alias("after"), F.max("p").over(page).alias("most"))
     enough = (c("p") * 100 > c("most") * 8) & (c("p") > (1 << BLUR_BITS))
     return around.where(enough & (c("p") > c("before")) & (c("p") >= c("after")) & (c("y") >= 1) & (c("y") < height - 1)).select("page_id", "y")
 

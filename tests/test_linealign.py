@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from marginalia.operators import linealign as A
+from marginalia.operators import linealign as A, strokes as K
 
 
 def plain_greedy(centers, peaks, height):
@@ -121,3 +121,22 @@ def test_calibration_by_rounds(spark, tmp_path):
     got = A.calibrated_spacing(frame, read, keep).collect()
     assert {r.page_id: r.spacing for r in got} == expected and max(r.calls for r in got) <= 7
     assert any(v is None for v in expected.values()) and sum(v is not None for v in expected.values()) > 10 and len(list(tmp_path.iterdir())) <= 7
+
+
+def test_rows_of_handwriting_from_runs(spark):
+    """Counted from runs as from pixels, where ruled lines overlap ink of the rows beside them."""
+    rng = random.Random(6)
+    ink = set()
+    for p in range(5):
+        ink |= {(p, rng.randrange(300), rng.randrange(40)) for _ in range(900)}
+        for _ in range(4):
+            x, y = rng.randrange(120), rng.randrange(40)
+            ink |= {(p, x + a, y) for a in range(rng.choice([99, 100, 101, 160]))}
+    pixels = spark.createDataFrame(sorted(ink), "page_id long, x long, y long")
+    expected = {}
+    for r in A.handwriting(pixels, 300).collect():
+        expected[r.page_id, r.y] = expected.get((r.page_id, r.y), 0) + 1
+    got = A.handwriting_rows(K.runs(pixels), 300)
+    assert {(r.page_id, r.y): r.n for r in got.collect()} == expected
+    peaks = lambda rows: sorted(tuple(r) for r in rows.collect())
+    assert peaks(A.row_peaks(got, 40)) == peaks(A.profile_peaks(A.handwriting(pixels, 300), 40)) != []
