@@ -124,6 +124,7 @@ def fuzzy_join(probes: DataFrame, memory: DataFrame, at_least: float = SIMILAR)
     right = right.withColumn("k", F.explode(edits)).select("*", numbers)
     start, size = _segment("m", "k", "i")
     right = right.select("term", "b", "m", "k", "i", F.substring("term", start, size).alias("segment"))
-    pairs = left.join(right, ["m", "k", "i", "segment"]).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * F.col("k"))
+    # Segments are many times what the planner knows of the probes, which it would broadcast from the driver.
+    pairs = left.hint("merge").join(right, ["m", "k", "i", "segment"]).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * F.col("k"))
     found = pairs.withColumn("distance", F.expr("levenshtein(probe, term, k)")).where("distance >= 0")
     return found.select("probe", "term", "distance").distinct()

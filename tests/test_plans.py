@@ -36,3 +36,9 @@ def test_line_votes_are_counted_where_the_pages_are(spark):
     """Pixels are dealt out by page once; votes, peaks and pieces need no other shuffle."""
     text = plan(spark, "geo4_detected_lines")
     assert text.count("hashpartitioning(page_id") <= 2 and "hashpartitioning(page_id#" in text and not any(f"hashpartitioning(page_id, {x}" in text for x in ("step", "x#", "rho"))
+
+
+def test_segments_are_not_broadcast(spark):
+    """Each probe makes a hundred segments, which the driver would hold all at once."""
+    text = plan(spark, "jn10_fuzzy_join")
+    assert "SortMergeJoin [m" in text and "Broadcast" not in text
