@@ -1,8 +1,12 @@
 """Physical plans that the operators are meant to have."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia import plans
+from marginalia.functions import script as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +46,15 @@ def test_segments_are_not_broadcast(spark):
     """Each probe makes a hundred segments, which the driver would hold all at once."""
     text = plan(spark, "jn10_fuzzy_join")
     assert "SortMergeJoin [m" in text and "Broadcast" not in text
+
+
+def test_scripts_are_told_in_few_steps(spark):
+    """Comparisons with every range of digits made a method that the JVM does not compile; spans are those of the classes alone."""
+    rng = random.Random(8)
+    some = [rng.choice("aZé7²⑴❶.,$^`~_ \t\x1f\x00कবத一١𝟎😀́") for _ in range(6000)]
+    texts = spark.createDataFrame([(i, "".join(some[i * 20 : i * 20 + 20])) for i in range(300)], "id long, text string")
+    plainly = F.regexp_extract_all("text", F.lit("(?U)" + S._BY_CLASS), 0)
+    assert texts.where(~S.spans(F.col("text")).eqNullSafe(plainly)).count() == 0
+    digits = spark.createDataFrame([(chr(i),) for a, b in S.DIGIT_RANGES for i in range(a, b + 1)], "span string").select(S.script_of(F.col("span")).alias("script"))
+    assert {r.script for r in digits.collect()} == {"Common"}
+    assert S.text_spans(texts)._jdf.queryExecution().optimizedPlan().toString().count(">=") < 60
