@@ -1,5 +1,9 @@
 """Streams whose files arrive out of order, batches that fail after they have written, and late changes."""
 
+import random
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +63,39 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert failed and sorted(r.id for r in got.collect()) == list(range(30)) and got.select("batch").distinct().count() == 3
     assert O.newest(spark, str(tmp_path / "out"), "id long, n long, batch int", "id", ["batch"]).count() == 30
+
+
+def test_a_page_has_one_timer_however_many_changes_wait():
+    """A timer for each change would wake a page as often as it has changes; each waking reads all that wait."""
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        appendList = lambda self, rows: self.rows.extend(rows)
+        put = lambda self, rows: self.rows.__setitem__(slice(None), rows)
+        update = lambda self, row: self.rows.__setitem__(slice(None), row)
+        clear = lambda self: self.rows.clear()
+        get = lambda self: tuple(self.rows)
+
+    timers, waiting, last = [], State(), State()
+    handle = SimpleNamespace(getListState=lambda *_: waiting, getValueState=lambda *_: last, registerTimer=timers.append)
+    page = O._InOrder()
+    page.init(handle)
+    changes = [(i, f"s{i}", pd.Timestamp(i * 1500 + 7, unit="us")) for i in range(1, 301)]
+    random.Random(2).shuffle(changes)
+    out = []
+    for k in range(3):
+        page.handleInputRows((5,), iter([pd.DataFrame(changes[k * 100 : k * 100 + 100], columns=["id", "status", "ts"])]), None)
+    assert len(timers) == 3
+    wakings = 0
+    for watermark in (100, 333, 10_000):
+        while due := [ms for ms in timers if ms <= watermark]:
+            timers.remove(due[0])
+            wakings += 1
+            for frame in page.handleExpiredTimer((5,), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), None):
+                out += frame.values.tolist()
+        assert all(r[4] <= watermark * 1000 for r in out)
+    assert [r[0] for r in out] == list(range(1, 301)) and [r[3] for r in out] == [None, *(f"s{i}" for i in range(1, 300))] and not timers and not waiting.rows
+    assert wakings <= 8
