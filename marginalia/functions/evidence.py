@@ -40,17 +40,27 @@ def gate(raw: Column, candidates: Column, quality: Column, agreement: Column, me
     return F.struct(decision.alias("decision"), accepted.alias("accepted"), r4(risk).alias("risk"), r4(visual).alias("visual"), top["text"].alias("best"), r4(top["s"]).alias("best_similarity"))
 
 
-def terms(text: Column) -> Column:
-    """Terms of at least two characters, in their case: words cut at / and -, without outer punctuation."""
-    words = F.split(F.trim(F.translate(text, "/-", "  ")), r"(?U)\s+")
-    cleaned = F.transform(words, lambda w: F.regexp_replace(w, "^[.,;:!?()\\[\\]{}\"']+|[.,;:!?()\\[\\]{}\"']+$", ""))
-    return F.filter(cleaned, lambda w: F.length(w) >= 2)
+#: What terms are freed of at both ends.
+OUTER = ".,;:!?()[]{}\"'"
+
+
+def _terms(texts: DataFrame, *keys: Column | str) -> DataFrame:
+    """``keys`` with i, term: terms of at least two characters, in their case: words cut at white space, / and -, without outer punctuation."""
+    words = texts.select(*keys, F.posexplode(F.split("text", r"(?U)[\s/-]+")).alias("i", "term"))
+    return words.withColumn("term", F.btrim("term", F.lit(OUTER))).where(F.length("term") >= 2)
 
 
 def remember(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(document_id, id, text) -> each document's terms, and all terms with their counts and first places, in order of id."""
-    own = texts.select("document_id", "id", F.posexplode(terms(F.col("text"))).alias("i", "term"))
-    return own.select("document_id", "term").distinct(), own.groupBy("term").agg(F.count("*").alias("count"), F.min(F.struct("id", "i")).alias("first"))
+    """(document_id, id, text) -> each document's terms, and all terms with their counts and first places, in order of id.
+
+    Texts meet their document's others before they are cut, so that its terms
+    stay where they are. A first place is one number, of id and place: the
+    least of them is kept in a hash table, where a pair would need a sort.
+    """
+    own = _terms(_spread(texts.select("document_id", "text"), "document_id"), "document_id").select("document_id", "term").distinct()
+    place = (F.col("id").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)")).alias("place")  # below it there is room for each i
+    counts = _terms(texts, place).groupBy("term").agg(F.count("*").alias("count"), F.min(F.col("place") + F.col("i")).alias("first"))
+    return own, counts
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -61,15 +71,14 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
 def suggest(probes: DataFrame, document_terms: DataFrame, counts: DataFrame, limit: int = 5) -> DataFrame:
     """(document_id, probe) -> term, score, place: similar terms of the probe's document, weighted by their counts everywhere; of equal ones the first remembered.
 
-    Terms hold no white space, so they are folded by lower() alone, once each;
-    one edit changes at most two of the characters that occur, which drops most
-    pairs before the edit distance, and that stops at its bound.
+    Terms hold no white space, so they are folded by lower() alone; lengths drop
+    pairs before the edit distance, and that stops at its bound. Terms as
+    :func:`remember` gives them are not shuffled again.
     """
-    asked = _spread(probes.where(F.trim("probe") != ""), "document_id").withColumn("target", F.lower(F.trim("probe"))).withColumn("a", letters(F.col("target")))
-    known = _spread(document_terms, "document_id").withColumn("low", F.lower("term")).withColumn("b", letters(F.col("low")))
-    near = asked.join(known, "document_id").where(F.col("term") != F.col("target"))
+    asked = probes.where(F.trim("probe") != "").withColumn("target", F.lower(F.trim("probe")))
+    near = asked.join(document_terms.withColumn("low", F.lower("term")), "document_id").where(F.col("term") != F.col("target"))
     near = near.withColumn("n", F.greatest(F.length("target"), F.length("low"))).withColumn("most", F.floor((1 - SIMILAR) * F.col("n") + 1e-9).cast("int"))
-    near = near.where((F.abs(F.length("target") - F.length("low")) <= F.col("most")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * F.col("most"))).withColumn("distance", F.expr("levenshtein(target, low, most)")).where("distance >= 0")
+    near = near.where(F.abs(F.length("target") - F.length("low")) <= F.col("most")).withColumn("distance", F.expr("levenshtein(target, low, most)")).where("distance >= 0")
     near = near.withColumn("similarity", 1 - F.col("distance") / F.col("n").cast("double")).where(F.col("similarity") >= SIMILAR).join(counts, "term")
     scored = near.withColumn("score", F.col("similarity") * (1 + F.least(F.col("count"), F.lit(10)) / 20.0))
     order = Window.partitionBy("document_id", "probe").orderBy(F.col("score").desc(), "first")

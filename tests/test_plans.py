@@ -1,6 +1,7 @@
 """Physical plans that the operators are meant to have."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,13 @@ def test_segments_are_not_broadcast(spark):
     assert "SortMergeJoin [m" in text and "Broadcast" not in text
 
 
+@pytest.mark.parametrize("name", ["mem2_suggestions", "mem3_allowed"])
+def test_terms_are_counted_without_a_sort(spark, name):
+    """A document's terms stay where its texts were dealt; first places are numbers, which a hash table keeps."""
+    text = plan(spark, name)
+    assert "min(struct(" not in text and "hashpartitioning(document_id" in text and not re.search(r"hashpartitioning\(document_id#\d+L?, term", text)
+
+
 def test_scripts_are_told_in_few_steps(spark):
     """Comparisons with every range of digits made a method that the JVM does not compile; spans are those of the classes alone."""
     rng = random.Random(8)
