@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.folders import fresh_folder
+
 #: Least similarity of a remembered term.
 SIMILAR = 0.62
 
@@ -92,48 +99,134 @@ def evaluated(asked: DataFrame, suggested: DataFrame) -> DataFrame:
     return found.withColumn("allowed", F.coalesce("suggested", F.lit(False)) & (F.col("support") >= 0.5) & (F.col("margin") <= 0.35)).drop("suggested")
 
 
-def letters(text: Column) -> Column:
-    """The characters that occur, folded into 64 bits."""
-    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.when(c == "", F.lit(0).cast("long")).otherwise(F.expr("1L") * F.pow(F.lit(2.0), F.pmod(F.ascii(c), F.lit(62))).cast("long"))))
+#: Terms and probes of a block, all lengths together (a large tree is shared more), probes that are followed at once, and cells of edit distances that a task holds at once.
+BLOCK_TERMS, BLOCK_PROBES, TOGETHER, CELLS = 2_000_000, 16_000, 4096, 1 << 24
+
+
+def _points(texts: np.ndarray, length: int) -> np.ndarray:
+    """Code points of strings of one length, a row for each."""
+    return np.array(["".join(texts)]).view(np.uint32).reshape(-1, length)
+
 
+def _tree(terms: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of a beginning, of sorted code points: its last letters, and for each beginning one shorter its first and its number among these."""
+    new = np.logical_or.accumulate(np.vstack([np.ones((1, terms.shape[1]), bool), terms[1:] != terms[:-1]]), axis=1)
+    out, above = [], np.zeros(1, np.int64)
+    for i in range(terms.shape[1]):
+        starts = np.flatnonzero(new[:, i])
+        first = np.searchsorted(starts, above)
+        out.append((terms[starts, i], first.astype(np.int32), np.diff(first, append=len(starts)).astype(np.int32)))
+        above = starts
+    return out
 
-def _segment(m: str, k: str, i: str) -> tuple[Column, Column]:
-    """(start, length) of the i-th of k + 1 nearly equal segments of a string of length m, the shorter ones first."""
-    parts, m, i = F.col(k) + 1, F.col(m), F.col(i)
-    base, short = F.floor(m / parts).cast("int"), parts - m % parts
-    return (i - 1) * base + F.greatest(F.lit(0), i - 1 - short) + 1, base + F.when(i > short, 1).otherwise(0)
+
+def _near(probes: np.ndarray, tree: list, most: int, half: int, early: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probe, term, edits) of all pairs with ``most`` edits at most, of which ``early`` at most fall on the term's first ``half`` letters.
+
+    Probes go down the tree of the terms' beginnings together. Of a row of the
+    table of distances only the cells are held that such a pair can pass, and a
+    beginning that no such pair can have is left.
+    """
+    size, n, m = len(probes), probes.shape[1], len(tree)
+    spare = (most - abs(n - m)) // 2
+    shifts = np.arange(min(0, n - m) - spare, max(0, n - m) + spare + 1)  # by how much a probe's place may be ahead of a term's
+    least = np.abs(n - m - shifts)[:, None]  # edits that the lengths left over need
+    far, letters = most + 1, np.ascontiguousarray(probes.T)
+    who, node = np.arange(size, dtype=np.int32), np.zeros(size, np.int32)
+    cells = np.repeat(np.where(shifts < 0, far, np.minimum(shifts, far)).astype(np.int16)[:, None], size, axis=1)
+    for at, (letter, first, below) in enumerate(tree):
+        count = below[node]
+        if size > 1 and int(count.sum()) * len(shifts) > CELLS:
+            parts = [_near(some, tree, most, half, early) for some in (probes[: size // 2], probes[size // 2 :])]
+            parts[1] = (parts[1][0] + size // 2, *parts[1][1:])
+            return tuple(map(np.concatenate, zip(*parts)))
+        came = np.repeat(np.arange(len(node), dtype=np.int32), count)
+        node = np.arange(len(came), dtype=np.int32) + np.repeat(first[node] - np.cumsum(count, dtype=np.int32) + count, count)
+        who, own, cells = who[came], letter[node], cells[:, came]
+        for k, shift in enumerate(shifts):
+            place = at + shift  # of the probe's letter that stands across
+            if not -1 <= place < n:
+                cells[k] = far
+                continue
+            left = cells[k] + (letters[place][who] != own) if place >= 0 else np.full(len(who), far, np.int16)
+            if k + 1 < len(shifts):
+                np.minimum(left, cells[k + 1] + 1, out=left)
+            if k:
+                np.minimum(left, cells[k - 1] + 1, out=left)
+            cells[k] = left
+        if at < half:
+            cells[cells > early] = far
+        if at == half - 1:  # what a probe has more behind these letters is not theirs
+            for k in range(1, len(shifts)):
+                if at + shifts[k] < n:
+                    np.minimum(cells[k], cells[k - 1] + 1, out=cells[k])
+        cells[cells > most - least] = far
+        kept = np.flatnonzero((cells < far).any(axis=0))
+        who, node, cells = who[kept], node[kept], cells[:, kept]
+    return who, node, cells[n - m - shifts[0]]
+
+
+def _pairs(probes: list[str], terms: list[str], at_least: float) -> Iterator[pd.DataFrame]:
+    """probe, term, distance of the pairs among probes and terms of one length.
+
+    Of a pair's edits, either half of them at most fall on the term's first
+    letters, or fewer than half on its last: the tree of beginnings finds the
+    former, that of reversed terms the latter, and the smaller number is right.
+    """
+    m, terms = len(terms[0]), np.sort(np.array(terms, dtype=str)).astype(object)
+    points = _points(terms, m)
+    order = np.lexsort(points[:, ::-1].T[::-1])  # by last letters
+    half, trees = (m + 1) // 2, (_tree(points), _tree(points[order][:, ::-1]))
+    by_length: dict[int, list[str]] = {}
+    for probe in sorted(probes):
+        by_length.setdefault(len(probe), []).append(probe)
+    for n, own in by_length.items():
+        most = math.floor((1 - at_least) * max(n, m) + 1e-9)
+        for at in range(0, len(own), TOGETHER):
+            some = np.array(own[at : at + TOGETHER], dtype=object)
+            asked = _points(some, n)
+            who, term, edits = _near(asked, trees[0], most, half, most // 2)
+            if most:
+                back = _near(asked[:, ::-1], trees[1], most, m - half, (most - 1) // 2)
+                who, term, edits = np.concatenate([who, back[0]]), np.concatenate([term, order[back[1]]]), np.concatenate([edits, back[2]])
+            by = np.lexsort((edits, term, who))
+            who, term, edits = who[by], term[by], edits[by]
+            first = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (term[1:] != term[:-1]))[: len(who)])
+            yield pd.DataFrame({"probe": some[who[first]], "term": terms[term[first]], "distance": edits[first].astype(np.int32)})
 
 
 def fuzzy_join(probes: DataFrame, memory: DataFrame, at_least: float = SIMILAR) -> DataFrame:
     """(probe) x (term) -> probe, term, distance, for pairs at least so similar, without comparing all pairs.
 
-    The lengths of a pair allow k edits. Of k + 1 segments of the term, one
-    must then stand in the probe as it is, near its own place (Li, Deng, Wang
-    and Feng, "Pass-Join", 2011): an equality join on lengths, segment number
-    and segment finds them. One edit changes at most two of the characters that
-    occur, which drops most pairs before the edit distance is measured, and
-    that stops at its bound. Both sides are deduplicated first.
+    Both sides are deduplicated and dealt into blocks, terms of one length to a
+    block; blocks of probes meet blocks of terms whose length theirs allow.
+    Where they meet, the terms are trees of their beginnings and of their ends
+    (after Shang and Merrettal, "Tries for approximate string matching", 1996),
+    which probes go down while half of the allowed edits last, and then while
+    all do. The number of blocks follows the number of strings, so a task holds
+    a bounded part of each side, whatever their sizes.
     """
-    share = 1 - at_least
-    bound = lambda n: F.floor(share * n + 1e-9).cast("int")
-    numbers = F.explode(F.sequence(F.lit(1), F.col("k") + 1)).alias("i")
-    left = probes.select("probe").distinct().withColumns({"n": F.length("probe"), "a": letters(F.col("probe"))}).where("n > 0")
+    spark, path = probes.sparkSession, fresh_folder(probes.sparkSession, "fuzzy")
+    probes.select("probe").distinct().withColumn("n", F.length("probe")).where("n > 0").write.parquet(f"{path}/probes")
+    memory.select("term").distinct().withColumn("m", F.length("term")).where("m > 0").write.parquet(f"{path}/terms")
+    left, right = spark.read.schema("probe string, n int").parquet(f"{path}/probes"), spark.read.schema("term string, m int").parquet(f"{path}/terms")
+    rows, columns = -(-left.count() // BLOCK_PROBES) or 1, -(-right.count() // BLOCK_TERMS) or 1
     # A longer term of length L allows (1 - s) L edits, so L <= n / s.
     lengths = F.sequence(F.ceil(F.col("n") * at_least - 1e-9).cast("int"), F.floor(F.col("n") / at_least + 1e-9).cast("int"))
-    left = _spread(left, "probe").withColumn("m", F.explode(lengths)).withColumn("k", bound(F.greatest("n", "m"))).where(F.abs(F.col("n") - F.col("m")) <= F.col("k")).select("*", numbers)
-    start, size = _segment("m", "k", "i")
-    left = left.withColumns({"start": start, "size": size, "shift": F.col("n") - F.col("m")})
-    before, after = F.col("i") - 1, F.col("k") + 1 - F.col("i")  # edits that may lie before, and after
-    low = F.greatest(F.lit(1), F.col("start") - before, F.col("start") + F.col("shift") - after)
-    high = F.least(F.col("n") - F.col("size") + 1, F.col("start") + before, F.col("start") + F.col("shift") + after)
-    left = left.withColumns({"low": low, "high": high}).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
-    left = left.select("probe", "a", "m", "k", "i", F.substring("probe", F.col("at"), F.col("size")).alias("segment")).distinct()
-    right = memory.select("term").distinct().withColumns({"m": F.length("term"), "b": letters(F.col("term"))}).where("m > 0")
-    edits = F.sequence(bound(F.col("m")), bound(F.floor(F.col("m") / at_least + 1e-9)))
-    right = right.withColumn("k", F.explode(edits)).select("*", numbers)
-    start, size = _segment("m", "k", "i")
-    right = right.select("term", "b", "m", "k", "i", F.substring("term", start, size).alias("segment"))
-    # Segments are many times what the planner knows of the probes, which it would broadcast from the driver.
-    pairs = left.hint("merge").join(right, ["m", "k", "i", "segment"]).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * F.col("k"))
-    found = pairs.withColumn("distance", F.expr("levenshtein(probe, term, k)")).where("distance >= 0")
-    return found.select("probe", "term", "distance").distinct()
+    edits = F.floor((1 - at_least) * F.greatest("n", "m") + 1e-9)
+    dealt = lambda name, count: F.pmod(F.xxhash64(name), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    keys, few = ["m", "row", "column"], 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(few, 8 * rows * columns)
+    met = left.repartition(few).select("probe", "n", F.explode(lengths).alias("m"), dealt("probe", rows).alias("row")).where(F.abs(F.col("n") - F.col("m")) <= edits)
+    met = met.select("probe", "m", "row", every(columns).alias("column")).repartition(parts, *keys).groupBy(*keys).agg(F.collect_list("probe").alias("probes"))
+    held = right.select("term", "m", dealt("term", columns).alias("column")).select("term", "m", every(rows).alias("row"), "column")
+    held = held.repartition(parts, *keys).groupBy(*keys).agg(F.collect_list("term").alias("terms"))
+    blocks = met.hint("merge").join(held, keys).select("probes", "terms")
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for some, terms in zip(batch["probes"], batch["terms"]):
+                yield from _pairs(list(some), list(terms), at_least)
+
+    return blocks.mapInPandas(pairs, "probe string, term string, distance int")
